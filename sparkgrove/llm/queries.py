@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkgrove.llm import exact_dedup, simhash
+from sparkgrove.llm import exact_dedup, mixing, pieces, secrets, simhash
 from sparkgrove.tables import table
 
 
@@ -14,12 +14,33 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(spark, table(spark, sf_dir, "documents"), width=3, radius=2)
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.poisson_mix(spark, table(spark, sf_dir, "documents"))
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_spans(spark, table(spark, sf_dir, "documents"))
+
+
+def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_digests(spark, table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.lsm_dedup(spark, table(spark, sf_dir, "documents"), keep="largest")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
+    "op3_mixing": op3_mixing,
+    "op6_secrets": op6_secrets,
+    "op9_pieces": op9_pieces,
     "op10_exact_dedup": op10_exact_dedup,
 }
-ORACLES: dict[str, str] = {"op10_exact_dedup": exact_dedup.SQL}
+ORACLES: dict[str, str] = {"op3_mixing": mixing.SQL, "op6_secrets": secrets.SQL, "op10_exact_dedup": exact_dedup.SQL}
