@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkgrove.llm import exact_dedup, mixing, pieces, secrets, simhash
+from sparkgrove.llm import exact_dedup, langid, mixing, pieces, secrets, simhash, toxicity
 from sparkgrove.tables import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(spark, table(spark, sf_dir, "documents"), width=3, radius=2)
 
@@ -18,6 +22,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.poisson_mix(spark, table(spark, sf_dir, "documents"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language(spark, table(spark, sf_dir, "documents"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(spark, table(spark, sf_dir, "documents"))
 
@@ -37,8 +45,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_simhash": op2_simhash,
     "op3_mixing": op3_mixing,
+    "op4_language": op4_language,
     "op6_secrets": op6_secrets,
     "op9_pieces": op9_pieces,
     "op10_exact_dedup": op10_exact_dedup,
