@@ -21,13 +21,13 @@ from pyspark.sql import functions as F
 from sparkgrove.llm.common import fold, steps, texts
 
 LETTER = re.compile(r"[^\W\d_]")
-WINDOW, HIDDEN = 64, 12
+WINDOW, HIDDEN = 64, 8
 #: Documented bounds of the training sample: documents, and windows of each.
 DOCUMENTS, WINDOWS = 3_000, 8
 HELD_OUT_FOLDS, HELD_OUT = 3, 1
 UNDETERMINED = "und"
 #: Windows that advance together; their state then fits the processor's cache.
-LANES = 2048
+LANES = 4096
 
 
 def windows(docs: list[bytes], size: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
