@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkgrove.llm import exact_dedup, langid, mixing, pieces, secrets, simhash, toxicity
+from sparkgrove.llm import exact_dedup, langid, mixing, pieces, ppm, repetition, secrets, simhash, toxicity
 from sparkgrove.tables import table
 
 
@@ -30,6 +30,14 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(spark, table(spark, sf_dir, "documents"))
 
 
+def op7_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score_texts(spark, table(spark, sf_dir, "documents"))
+
+
+def op8_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.quality(spark, table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
     import public_tokenizers
 
@@ -50,6 +58,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op4_language": op4_language,
     "op6_secrets": op6_secrets,
+    "op7_ppm": op7_ppm,
+    "op8_repetition": op8_repetition,
     "op9_pieces": op9_pieces,
     "op10_exact_dedup": op10_exact_dedup,
 }
