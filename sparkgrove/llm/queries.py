@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkgrove.llm import exact_dedup, langid, mixing, pieces, ppm, repetition, secrets, simhash, toxicity
+from sparkgrove.llm import exact_dedup, langid, mixing, pieces, ppm, repetition, secrets, simhash, toxicity, url_filter
 from sparkgrove.tables import table
 
 
@@ -26,6 +26,10 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language(spark, table(spark, sf_dir, "documents"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(spark, table(spark, sf_dir, "pages"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(spark, table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_mixing": op3_mixing,
     "op4_language": op4_language,
+    "op5_url_filter": op5_url_filter,
     "op6_secrets": op6_secrets,
     "op7_ppm": op7_ppm,
     "op8_repetition": op8_repetition,
