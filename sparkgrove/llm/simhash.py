@@ -20,7 +20,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkgrove.llm.common import Scratch, small, steps, texts
@@ -40,9 +40,9 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: list[bytes], width: int = 3) -> np.ndarray:
+def fingerprints(docs: list[bytes], width: int = 3, seed: int = SEED) -> np.ndarray:
     """One unsigned 64-bit SimHash a text, over its shingles of ``width`` words, repeats included."""
-    digest, join = partial(xxhash.xxh64_digest, seed=SEED), b" ".join
+    digest, join = partial(xxhash.xxh64_digest, seed=seed), b" ".join
     hashes, counts = [], np.zeros(len(docs), np.int64)
     for i, text in enumerate(docs):
         words = text.lower().split()  # of bytes: A-Z only, and white space is \x20 \x09-\x0D
@@ -114,3 +114,84 @@ def simhash_components(spark: SparkSession, docs: DataFrame, width: int = 3, rad
     # a fingerprint that links to no other is its own component and needs no second join
     classes = scratch.table(rooted.join(small(named.where("n > 1")), "root", "left").select("fp", F.when(F.col("n").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id")), "classes")
     return prints.join(classes, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Near-duplicates share this Jaccard similarity of five-word shingles, or more.
+WIDTH, SIMILARITY = 5, 0.8
+#: Word fingerprints with these seeds place a text; each covering mask of each is a table.
+VIEWS = (42, 43)
+#: Bits of a shingle fingerprint that refine a bucket at a time; all its blocks are tried.
+BLOCK_BITS = 8
+#: Shingle fingerprints of pairs of that similarity differ in 10 bits on average, in more than this many hardly ever.
+MOST_APART = 24
+
+
+def _shingle_sets(docs: DataFrame) -> DataFrame:
+    """(id, shingles): distinct 64-bit hashes of the shingles of ``WIDTH`` words; a shorter text is one shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, join = partial(xxhash.xxh64_digest, seed=SEED), b" ".join
+        for part in steps(batches, "text"):
+            sets = []
+            for text in texts(part, "text"):
+                words = text.lower().split()
+                shingles = map(join, zip(*(words[k:] for k in range(WIDTH)), strict=False)) if len(words) >= WIDTH else [join(words)] if words else []
+                sets.append(np.unique(np.frombuffer(b"".join(map(digest, shingles)), np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
+
+    return docs.mapInArrow(run, "id bigint, shingles array<bigint>")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, root) of every text that has near-duplicates; root is the smallest id of its group.
+
+    Two texts link at a Jaccard similarity of ``SIMILARITY`` or more of their five-word
+    shingles; groups are the connected components. A few changed words move the
+    fingerprint of single words by a bit or two, so its covering masks bring such texts
+    into one bucket; a block of the five-word fingerprint keeps unrelated long texts out
+    of it. In a bucket nobody meets everybody: each text is compared with the bucket's
+    most central one (the one with the fullest buckets, as an original among its edited
+    copies) and with its neighbour in fingerprint order, and every such link is verified
+    on the whole shingle sets. Ids must be distinct; null ids and word-less texts have no
+    near-duplicates. An empty table gives an empty result.
+    """
+    scratch = Scratch(spark, "near")
+    read = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in steps(batches, "text"):
+            got = texts(part, "text")
+            keep = pa.array([bool(t.strip()) for t in got], pa.bool_())
+            views = [pa.array(fingerprints(got, 1, seed).view(np.int64)) for seed in VIEWS]
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(fingerprints(got, WIDTH).view(np.int64)), *views], names=["id", "fp", *[f"v{k}" for k in range(len(VIEWS))]]).filter(keep)
+
+    prints = scratch.table(read.mapInArrow(run, "id bigint, fp bigint, " + ", ".join(f"v{k} bigint" for k in range(len(VIEWS)))), "prints")
+    family = masks(RADIUS)
+    keys = [F.xxhash64(F.lit(k * 64 + t), F.col(f"v{k}").bitwiseAND(F.lit(signed(m)))) for k in range(len(VIEWS)) for t, m in enumerate(family)]
+    blocks = [F.shiftrightunsigned("fp", b).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)) for b in range(0, BITS, BLOCK_BITS)]
+    placed = prints.select("id", "fp", F.explode(F.array(*keys)).alias("bucket"), F.array(*blocks).alias("blocks")).select("id", "fp", "bucket", F.posexplode("blocks").alias("b", "part"))
+    placed = placed.select("id", "fp", F.xxhash64("bucket", "b", "part").alias("key"))
+    shared = placed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
+    shared = scratch.table(shared, "shared")
+    central = shared.groupBy("id").agg(F.sum("n").alias("weight"))
+    weighed = shared.join(small(central), "id")
+    by_weight = Window.partitionBy("key").orderBy(F.desc("weight"), "id")
+    by_print = Window.partitionBy("key").orderBy("fp", "id")
+    met = weighed.select("id", "fp", F.struct(F.first("id").over(by_weight).alias("id"), F.first("fp").over(by_weight).alias("fp")).alias("hub"), F.struct(F.lag("id").over(by_print).alias("id"), F.lag("fp").over(by_print).alias("fp")).alias("last"))
+    pairs = met.select("id", "fp", F.explode(F.array("hub", "last")).alias("o")).where((F.col("o.id") != F.col("id")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("o.fp"))) <= MOST_APART))
+    pairs = scratch.table(pairs.select(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b")).distinct(), "pairs")
+    ids = scratch.table(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
+    sets = scratch.table(_shingle_sets(read.join(small(ids), "id")), "sets")
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    alike = both.where(common >= SIMILARITY * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    return components(spark, scratch.table(alike, "alike")).select(F.col("node").alias("id"), "root")
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` but for near-duplicates of a row with a smaller id; all columns stay.
+
+    Rows that share an id share its fate.
+    """
+    gone = near_duplicates(spark, docs, id_col, text_col).where("id <> root").select(F.col("id").alias("__sg_id"))
+    return docs.join(small(Scratch(spark, "near").table(gone, "gone")), F.col(id_col) == F.col("__sg_id"), "left_anti")
