@@ -38,6 +38,8 @@ HELD_OUT_FOLDS, HELD_OUT = 10, 0
 SMOOTH = 0.1
 #: Bytes of text in a block; it bounds a worker's memory and the rows that a block sends.
 BLOCK = 4 << 20
+#: Bytes of text whose positions are held as numbers at a time.
+PART = 1 << 19
 
 
 def symbols(docs: list[bytes], order: int = ORDER) -> np.ndarray:
@@ -65,6 +67,29 @@ def counted(docs: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarr
     return keys[first], np.diff(np.append(first, len(keys)))
 
 
+def parts(docs: list[bytes], most: int = PART) -> Iterator[list[bytes]]:
+    """The texts in order, in lists of at most ``most`` bytes or one text."""
+    now: list[bytes] = []
+    held = 0
+    for d in docs:
+        if now and held + len(d) > most:
+            yield now
+            now, held = [], 0
+        now.append(d)
+        held += len(d)
+    if now:
+        yield now
+
+
+def counted_block(docs: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`counted` of many texts, part by part."""
+    found = [counted(p, order) for p in parts(docs)]
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    keys, inverse = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+    return keys, np.bincount(inverse, np.concatenate([n for _, n in found]), minlength=len(keys)).astype(np.int64)
+
+
 class Lookup:
     """Places of numbers in an array of distinct ones, by open addressing."""
 
@@ -167,8 +192,9 @@ class Trie:
 
     def score(self, docs: list[bytes]) -> np.ndarray:
         """log10 probability of each whole text with its end."""
-        if not docs:
-            return np.zeros(0)
+        return np.concatenate([np.zeros(0), *[self._score(p) for p in parts(docs)]])
+
+    def _score(self, docs: list[bytes]) -> np.ndarray:
         sizes = np.array([len(d) + self.order + 1 for d in docs])
         return np.add.reduceat(self.log10(symbols(docs, self.order)), np.cumsum(sizes) - sizes)
 
@@ -212,7 +238,7 @@ def score_texts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in steps(batches, "text", BLOCK):
-            keys, n = counted([t.lower() for t in texts(part, "text")])
+            keys, n = counted_block([t.lower() for t in texts(part, "text")])
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
 
     leaves = read.where("not held_out").select("text").mapInArrow(count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
