@@ -1,18 +1,15 @@
-"""The registered queries and their DuckDB oracles."""
+"""All plans: importing this module registers them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from sparkgrove.tables import table
+from sparkgrove.plans import collections_, search, texts
+from sparkgrove.plans.registry import ORACLES, QUERIES
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES", "collections_", "flagship", "texts"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Document counts by language, until the search plans land."""
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"))
+    """Hybrid search of all benchmark questions over the documents."""
+    return search.hybrid_search(spark, sf_dir)
