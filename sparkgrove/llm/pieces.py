@@ -28,8 +28,11 @@ from sparkgrove.llm.common import steps, texts
 SPACE = "▁"
 #: A run of space marks and what follows; a text starts with one.
 UNIT = re.compile(f"{SPACE}+[^{SPACE}]*")
-#: Units that a worker remembers before it starts anew.
-MEMO = 300_000
+#: Units of each of the two generations that a worker remembers; the older one goes when the newer is full.
+MEMO = 400_000
+#: From this length on, an agenda is a heap.
+LONG_UNIT = 48
+NEVER = float("inf")
 
 
 def model_fields(data: bytes) -> list[tuple[int, object]]:
@@ -72,6 +75,7 @@ class PieceModel:
         if normal.get(1) != b"identity" or normal.get(3, 1) != 1 or normal.get(4, 1) != 0 or normal.get(5, 1) != 1 or trainer.get(24, 0):
             raise ValueError("only an identity normaliser with a leading space mark is known here")
         self.rank: dict[str, tuple[float, int]] = {}  # piece: (minus its score, id)
+        self.score: dict[str, float] = {}  # piece: minus its score
         self.byte: list[int] = [-1] * 256
         self.out: list[bytes | None] = []  # by id, for decoding; bytes of byte pieces, None for control ids
         self.raw: list[bool] = []
@@ -79,7 +83,8 @@ class PieceModel:
             got = dict(model_fields(piece))
             name, kind = got[1].decode(), got.get(3, 1)
             if kind == 1:
-                self.rank[name] = (-struct.unpack("<f", got[2])[0], i)
+                self.score[name] = -struct.unpack("<f", got[2])[0]
+                self.rank[name] = (self.score[name], i)
                 if re.search(f"[^{SPACE}]{SPACE}", name):
                     raise ValueError(f"piece {name!r} joins a character to a space mark")
             elif kind == 6:
@@ -93,10 +98,34 @@ class PieceModel:
         self.end, self.unknown = trainer.get(42, 2), trainer.get(40, 0)
         self.most, self.verify, self.path = memo, verify, path
         self.known: dict[str, tuple[str, int, str]] = {}
+        self.older: dict[str, tuple[str, int, str]] = {}
+        self.text = [None if raw or piece is None else piece.decode() for piece, raw in zip(self.out, self.raw, strict=True)]
         self.library = None
 
     def merge(self, unit: str) -> list[int]:
-        """Ids of one unit by the agenda."""
+        """Ids of one unit by the agenda; a short unit's agenda is a list, a long one's a heap."""
+        if len(unit) > LONG_UNIT:
+            return self._merge_long(unit)
+        get = self.score.get
+        symbols = list(unit)
+        agenda = [get(a + b, NEVER) for a, b in zip(unit, unit[1:])]  # noqa: B905
+        while agenda and (best := min(agenda)) < NEVER:
+            i = agenda.index(best)  # the leftmost of equals
+            del agenda[i]
+            symbols[i] = both = symbols[i] + symbols.pop(i + 1)
+            if i:
+                agenda[i - 1] = get(symbols[i - 1] + both, NEVER)
+            if i < len(agenda):
+                agenda[i] = get(both + symbols[i + 1], NEVER)
+        ids: list[int] = []
+        for s in symbols:
+            if found := self.rank.get(s):
+                ids.append(found[1])
+            else:
+                ids.extend(self.byte[b] for b in s.encode())
+        return ids
+
+    def _merge_long(self, unit: str) -> list[int]:
         rank = self.rank
         symbols: list[str] = list(unit)
         n = len(symbols)
@@ -170,26 +199,35 @@ class PieceModel:
 
     def learn(self, batch: list[list[str]]) -> None:
         """Encode and decode the units of a batch that the memo lacks, and compare them with the library."""
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        new = list({u for units in batch for u in units if u not in known})
+        if len(self.known) > self.most:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        new = []
+        for u in {u for units in batch for u in units}.difference(known):
+            if found := older.get(u):
+                known[u] = found
+            else:
+                new.append(u)
         ids = [self.merge(u) for u in new]
-        back = [self.decode(x, first=False) for x in ids]
+        text = self.text
+        back = ["".join(got) if None not in (got := [text[i] for i in x]) else self.decode(x, first=False) for x in ids]
         if self.verify and new:
-            if self.library is None:
-                import sentencepiece
-
-                self.library = sentencepiece.SentencePieceProcessor(model_file=self.path)
-            bare = [u[1:].replace(SPACE, " ") for u in new]  # the library puts the first space mark back
-            for u, x, theirs in zip(new, ids, self.library.encode([b or "a" for b in bare], num_threads=1), strict=True):
-                if x != theirs and u != SPACE:
-                    raise ValueError(f"unit {u!r}: {x} here, {theirs} in the library")
-            for u, x, text, theirs in zip(new, ids, back, self.library.decode(ids, num_threads=1), strict=True):
-                if text[text.startswith(" ") :] != theirs:
-                    raise ValueError(f"unit {u!r}: decodes to {text!r} here, {theirs!r} in the library")
-        for u, x, text in zip(new, ids, back, strict=True):
-            known[u] = (" ".join(map(str, x)), len(x), text)
+            self.check(new, ids, back)
+        for u, x, t in zip(new, ids, back, strict=True):
+            known[u] = (" ".join(map(str, x)), len(x), t)
+
+    def check(self, units: list[str], ids: list[list[int]], back: list[str]) -> None:
+        """The library must give the same ids and text for the units as one text."""
+        if self.library is None:
+            import sentencepiece
+
+            self.library = sentencepiece.SentencePieceProcessor(model_file=self.path)
+        whole = "".join(units)[1:].replace(SPACE, " ")  # the library puts the first space mark back
+        flat = [i for x in ids for i in x]
+        if whole and self.library.encode(whole) != flat:
+            raise ValueError(f"other ids than the library's among {units[:5]} and {len(units) - 1} more units")
+        if self.library.decode(flat) != "".join(back)[1:]:
+            raise ValueError(f"another text than the library's among {units[:5]} and {len(units) - 1} more units")
 
     def encode(self, text: str, end: bool = True) -> list[int]:
         """Ids of a whole text, with the end id."""
