@@ -130,10 +130,10 @@ _JUDGED = [(1, "SCORE: 250\nREASON: all there"), (2, "REASON: no number"), (3, "
 
 @query(
     "judge_parse",
-    f"""SELECT id, CASE WHEN regexp_matches(reply, '(?i)SCORE:\\s*\\d') THEN least(100, regexp_extract(reply, '(?i)SCORE:\\s*(\\d+)', 1)::INT) END AS score, coalesce(nullif(trim(regexp_extract(reply, '(?is)REASON:\\s*(.+)', 1)), ''), left(reply, 200)) AS reason FROM {sql_rows(_JUDGED, "id, reply")}""",
+    f"""SELECT id, CASE WHEN regexp_matches(reply, '(?i)SCORE:\\s*\\d') THEN least(100, regexp_extract(reply, '(?i)SCORE:\\s*(\\d+)', 1)::INT)::VARCHAR END AS score, coalesce(nullif(trim(regexp_extract(reply, '(?is)REASON:\\s*(.+)', 1)), ''), left(reply, 200)) AS reason FROM {sql_rows(_JUDGED, "id, reply")}""",
 )
 def judge_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return values(spark, _JUDGED, "id int, reply string").select("id", grounding.parse_judgement(F.col("reply")).alias("j")).select("id", "j.score", "j.reason")
+    return values(spark, _JUDGED, "id int, reply string").select("id", grounding.parse_judgement(F.col("reply")).alias("j")).select("id", F.col("j.score").cast("string").alias("score"), "j.reason")
 
 
 @query("answer_questions")
@@ -182,13 +182,13 @@ _WANT = [(1, "ec2"), (2, "s3"), (3, "lambda")]
     "doc_rank_prefix",
     f"""WITH h AS {sql_rows(_HITS, "query_id, doc_id, rank")}, w AS {sql_rows(_WANT, "query_id, want")},
     m AS (SELECT query_id, doc_id, min(rank) AS first FROM h GROUP BY ALL), o AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY first) AS doc_rank FROM m)
-    SELECT w.query_id, want, min(doc_rank) FILTER (doc_id = want OR starts_with(doc_id, want || '-')) AS rank, min(doc_rank) FILTER (doc_id = want OR regexp_matches(doc_id, '^' || want || '-[0-9a-f]{{6}}$')) AS exact_rank FROM w LEFT JOIN o USING (query_id) GROUP BY w.query_id, want""",
+    SELECT w.query_id, want, min(doc_rank) FILTER (doc_id = want OR starts_with(doc_id, want || '-'))::VARCHAR AS rank, min(doc_rank) FILTER (doc_id = want OR regexp_matches(doc_id, '^' || want || '-[0-9a-f]{{6}}$'))::VARCHAR AS exact_rank FROM w LEFT JOIN o USING (query_id) GROUP BY w.query_id, want""",
 )
 def doc_rank_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = evaluation.document_ranks(values(spark, _HITS, "query_id int, doc_id string, rank int"))
     wanted = values(spark, _WANT, "query_id int, want string")
-    exact = evaluation.wanted_rank(ranks, wanted, exact=True).select("query_id", F.col("rank").cast("bigint").alias("exact_rank"))
-    return evaluation.wanted_rank(ranks, wanted).withColumn("rank", F.col("rank").cast("bigint")).join(exact, "query_id")
+    exact = evaluation.wanted_rank(ranks, wanted, exact=True).select("query_id", F.col("rank").cast("string").alias("exact_rank"))
+    return evaluation.wanted_rank(ranks, wanted).withColumn("rank", F.col("rank").cast("string")).join(exact, "query_id")
 
 
 _ANSWERS = [(1, "It has 11 nines and stores objects", "11 nines", 6, 1, "fact"), (2, "Refers to GB", "128 MB", 6, 2, "fact"), (3, "", "x", 0, 0, "adjacent"), (4, "stores OBJECTS", "objects?", 4, 2, "adjacent")]

@@ -134,12 +134,12 @@ _HEADS = [("# A",), ("   ## B b ##",), ("    # code",), ("== W ==",), ("=== V===
     "headings_levels",
     f"""WITH w AS {sql_rows(_HEADS, "line")}, a AS (SELECT line, regexp_extract(line, '^\\s{{0,3}}(#{{1,6}})\\s+(.+?)\\s*#*\\s*$', 1) AS h, regexp_extract(line, '^\\s{{0,3}}(#{{1,6}})\\s+(.+?)\\s*#*\\s*$', 2) AS t,
       regexp_extract(line, '^\\s*(={{2,}})\\s*[^=].*?[^=]*\\s*(={{2,}})\\s*$', 1) AS o, regexp_extract(line, '(={{2,}})\\s*$', 1) AS c FROM w)
-    SELECT line, CASE WHEN h <> '' THEN len(h) WHEN o <> '' AND len(c) >= len(o) THEN len(o) END AS level,
+    SELECT line, (CASE WHEN h <> '' THEN len(h) WHEN o <> '' AND len(c) >= len(o) THEN len(o) END)::VARCHAR AS level,
       CASE WHEN h <> '' THEN trim(t) WHEN o <> '' AND len(c) >= len(o) THEN trim(substr(trim(line), len(o) + 1, len(trim(line)) - 2 * len(o))) END AS name FROM a""",
 )
 def headings_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = T.heading(F.col("line"))
-    return values(spark, _HEADS, "line string").select("line", h["level"].cast("bigint").alias("level"), h["name"].alias("name"))
+    return values(spark, _HEADS, "line string").select("line", h["level"].cast("string").alias("level"), h["name"].alias("name"))
 
 
 _SECTIONED = [(1, "Guide", "lead\n# Guide\nintro\n### Deep\ndeep text\n## Next\n```\n# not a heading\n```\nnext text"), (2, "W", "start\n== One ==\na\n=== Two ===\nb\n== Three ==\nc"), (3, "E", "\n \n")]
