@@ -58,7 +58,7 @@ def secret_spans(spark: SparkSession, docs: DataFrame, common_owners: int = COMM
     the empty name. Rows that repeat keep rows of their own, and their values count
     once a repository and owner. ``n_copied`` counts spans whose value ``common_owners``
     owners or more hold; ``most_owners`` is the greatest number of owners of a value
-    that is held so widely, else null. An empty table gives an empty result; columns
+    that is held so widely, else 0. An empty table gives an empty result; columns
     not named here are not looked at.
     """
     scratch = Scratch(spark, "secrets")
@@ -90,7 +90,7 @@ def secret_spans(spark: SparkSession, docs: DataFrame, common_owners: int = COMM
         F.collect_list(F.when(base | live, place)).alias("every"),
         F.count_if(live).alias("n_opaque"),
         F.count_if((base | live) & F.col("owners").isNotNull()).alias("n_copied"),
-        F.max(F.when(base | live, F.col("owners"))).alias("most_owners"),
+        F.coalesce(F.max(F.when(base | live, F.col("owners"))), F.lit(0)).alias("most_owners"),
     )
     return rows.select(id_col, "n_assign", "n_access", "n_hex", F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("every")).alias("spans"), "n_opaque", "n_copied", "most_owners")
 
@@ -112,6 +112,6 @@ o AS (SELECT v, count(DISTINCT owner) AS owners FROM f WHERE fits GROUP BY v HAV
 j AS (SELECT row, kind, (stop - len)::BIGINT AS start, stop::BIGINT AS stop, owners, {list(KINDS)}[kind + 1] || ':' || (stop - len)::BIGINT || ':' || stop::BIGINT AS span FROM f LEFT JOIN o USING (v) WHERE fits AND (kind < 3 OR owners IS NULL)),
 g AS (SELECT row, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
   string_agg(span, ',' ORDER BY start, kind) FILTER (kind < 3) AS base, string_agg(span, ',' ORDER BY start, kind) AS spans, count(*) FILTER (kind = 3) AS n_opaque, count(owners) AS n_copied, max(owners) AS most_owners FROM j GROUP BY row)
-SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_opaque, 0) AS n_opaque, coalesce(n_copied, 0) AS n_copied, most_owners
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_opaque, 0) AS n_opaque, coalesce(n_copied, 0) AS n_copied, coalesce(most_owners, 0) AS most_owners
 FROM d LEFT JOIN g USING (row)
 """
