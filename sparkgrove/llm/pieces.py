@@ -222,12 +222,16 @@ class PieceModel:
             import sentencepiece
 
             self.library = sentencepiece.SentencePieceProcessor(model_file=self.path)
-        whole = "".join(units)[1:].replace(SPACE, " ")  # the library puts the first space mark back
-        flat = [i for x in ids for i in x]
-        if whole and self.library.encode(whole) != flat:
-            raise ValueError(f"other ids than the library's among {units[:5]} and {len(units) - 1} more units")
-        if self.library.decode(flat) != "".join(back)[1:]:
-            raise ValueError(f"another text than the library's among {units[:5]} and {len(units) - 1} more units")
+        # units of space marks alone would run into the next one: each is a text of its own
+        blank = [k for k, u in enumerate(units) if not u.strip(SPACE)]
+        for k in blank:
+            if len(units[k]) > 1 and (self.library.encode(units[k][1:].replace(SPACE, " ")) != ids[k] or self.library.decode(ids[k]) != back[k][1:]):
+                raise ValueError(f"{units[k]!r} differs from the library")
+        rest = sorted(set(range(len(units))).difference(blank))
+        flat = [i for k in rest for i in ids[k]]
+        whole = "".join([units[k] for k in rest])[1:].replace(SPACE, " ")  # the library puts the first space mark back
+        if rest and (self.library.encode(whole) != flat or self.library.decode(flat) != "".join([back[k] for k in rest])[1:]):
+            raise ValueError(f"ids or text differ from the library's among {[units[k] for k in rest[:5]]} and {len(rest) - 1} more units")
 
     def encode(self, text: str, end: bool = True) -> list[int]:
         """Ids of a whole text, with the end id."""
