@@ -101,6 +101,8 @@ class Network:
 
     def documents(self, docs: list[bytes]) -> np.ndarray:
         """Mean probabilities (documents x L) over all positions; zero for an empty text."""
+        if not self.languages:
+            return np.zeros((len(docs), 0))
         cut, sizes, counts = windows(docs)
         sums = np.zeros((cut.shape[1], len(self.languages)), np.float64)
         for i in range(0, cut.shape[1], LANES):

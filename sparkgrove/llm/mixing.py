@@ -46,8 +46,8 @@ def poisson(mean: Column, key: Column, seed: int) -> Column:
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, total: float | None = None, source_col: str = "source") -> DataFrame:
     """(source, n, rate): the mean number of copies of each row of a source.
 
-    ``weights`` are target shares by source (others get none; a null source goes by
-    the empty name); without them a share is in proportion to size ** ``power``.
+    ``weights`` are target shares by source, taken over the sources there are (others get
+    none; a null source goes by the empty name); without them a share is in proportion to size ** ``power``.
     ``total`` is the wanted number of rows, that of the input by default.
     """
     counted = docs.groupBy(F.coalesce(F.col(source_col), F.lit("")).alias("source")).agg(F.count("*").alias("n"))
