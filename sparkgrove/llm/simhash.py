@@ -40,6 +40,28 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _ones(bits: np.ndarray) -> np.ndarray:
+    """Sums of the columns of a matrix of zeros and ones; sums of up to 255 rows fit a byte."""
+    total = np.zeros(bits.shape[1], np.int64)
+    for k in range(0, len(bits), 255):
+        total += np.add.reduce(bits[k : k + 255], axis=0, dtype=np.uint8)
+    return total
+
+
+def word_views(docs: list[bytes], seeds: tuple[int, ...]) -> np.ndarray:
+    """(texts x seeds) unsigned SimHashes of single words: the fingerprints of width 1 with these seeds.
+
+    Every distinct word of the list is hashed once.
+    """
+    number: dict[bytes, int] = {}
+    put = number.setdefault
+    tokens = [np.array([put(w, len(number)) for w in d.lower().split()], np.int64) for d in docs]
+    raw = np.array([[xxhash.xxh64_intdigest(w, s) for s in seeds] for w in number], np.uint64).reshape(len(number), len(seeds))
+    bits = np.unpackbits(raw.astype(">u8").view(np.uint8), axis=1) if len(number) else np.zeros((0, 64 * len(seeds)), np.uint8)
+    major = np.array([2 * _ones(bits[t]) > len(t) for t in tokens], bool).reshape(len(docs), 64 * len(seeds))
+    return np.packbits(major, axis=1).view(">u8").astype(np.uint64).reshape(len(docs), len(seeds))
+
+
 def fingerprints(docs: list[bytes], width: int = 3, seed: int = SEED) -> np.ndarray:
     """One unsigned 64-bit SimHash a text, over its shingles of ``width`` words, repeats included."""
     digest, join = partial(xxhash.xxh64_digest, seed=seed), b" ".join
@@ -59,7 +81,7 @@ def fingerprints(docs: list[bytes], width: int = 3, seed: int = SEED) -> np.ndar
         starts = np.concatenate(([0], np.cumsum(counts[full])[:-1]))
         ones = np.empty((len(full), 64), np.int64)
         for j, (s, n) in enumerate(zip(starts.tolist(), counts[full].tolist(), strict=True)):
-            ones[j] = np.unpackbits(raw[s : s + n], axis=1).sum(axis=0, dtype=np.int32)
+            ones[j] = _ones(np.unpackbits(raw[s : s + n], axis=1))
         major = 2 * ones > counts[full][:, None]
         out[full] = np.packbits(major, axis=1).view(">u8").ravel().astype(np.uint64)
     return out
@@ -119,9 +141,9 @@ def simhash_components(spark: SparkSession, docs: DataFrame, width: int = 3, rad
 #: Near-duplicates share this Jaccard similarity of five-word shingles, or more.
 WIDTH, SIMILARITY = 5, 0.8
 #: Word fingerprints with these seeds place a text; each covering mask of each is a table.
-VIEWS = (42, 43)
-#: Bits of a shingle fingerprint that refine a bucket at a time; all its blocks are tried.
-BLOCK_BITS = 8
+VIEWS = (42, 43, 44, 45)
+#: Bits of a shingle fingerprint that refine a bucket at a time, and the blocks that each view tries.
+BLOCK_BITS, BLOCKS = 8, 4
 #: Shingle fingerprints of pairs of that similarity differ in 10 bits on average, in more than this many hardly ever.
 MOST_APART = 24
 
@@ -147,7 +169,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
 
     Two texts link at a Jaccard similarity of ``SIMILARITY`` or more of their five-word
     shingles; groups are the connected components. A few changed words move the
-    fingerprint of single words by a bit or two, so its covering masks bring such texts
+    fingerprints of single words by a bit or two, so their covering masks bring such texts
     into one bucket; a block of the five-word fingerprint keeps unrelated long texts out
     of it. In a bucket nobody meets everybody: each text is compared with the bucket's
     most central one (the one with the fullest buckets, as an original among its edited
@@ -162,15 +184,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
         for part in steps(batches, "text"):
             got = texts(part, "text")
             keep = pa.array([bool(t.strip()) for t in got], pa.bool_())
-            views = [pa.array(fingerprints(got, 1, seed).view(np.int64)) for seed in VIEWS]
+            views = [pa.array(v.view(np.int64)) for v in np.ascontiguousarray(word_views(got, VIEWS).T)]
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(fingerprints(got, WIDTH).view(np.int64)), *views], names=["id", "fp", *[f"v{k}" for k in range(len(VIEWS))]]).filter(keep)
 
     prints = scratch.table(read.mapInArrow(run, "id bigint, fp bigint, " + ", ".join(f"v{k} bigint" for k in range(len(VIEWS)))), "prints")
     family = masks(RADIUS)
-    keys = [F.xxhash64(F.lit(k * 64 + t), F.col(f"v{k}").bitwiseAND(F.lit(signed(m)))) for k in range(len(VIEWS)) for t, m in enumerate(family)]
     blocks = [F.shiftrightunsigned("fp", b).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)) for b in range(0, BITS, BLOCK_BITS)]
-    placed = prints.select("id", "fp", F.explode(F.array(*keys)).alias("bucket"), F.array(*blocks).alias("blocks")).select("id", "fp", "bucket", F.posexplode("blocks").alias("b", "part"))
-    placed = placed.select("id", "fp", F.xxhash64("bucket", "b", "part").alias("key"))
+    # each view tries its own choice of blocks, so that together they try all of them evenly
+    keys = [F.xxhash64(F.lit((k * 64 + t) * 64 + b), F.col(f"v{k}").bitwiseAND(F.lit(signed(m))), blocks[b]) for k in range(len(VIEWS)) for t, m in enumerate(family) for b in [(2 * k + i) % len(blocks) for i in range(BLOCKS)]]
+    placed = prints.select("id", "fp", F.explode(F.array(*keys)).alias("key"))
     shared = placed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
     shared = scratch.table(shared, "shared")
     central = shared.groupBy("id").agg(F.sum("n").alias("weight"))
