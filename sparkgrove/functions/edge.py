@@ -43,15 +43,15 @@ class Limiter:
 
     def __init__(self, most: int, period: float = 60.0, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> None:
         self.most, self.period, self.clock, self.sleep = most, period, clock, sleep
-        self.taken: deque[tuple[float, int]] = deque()
+        self.taken = deque()
 
-    def reserve(self, n: int = 1) -> None:
+    def reserve(self, items: int = 1) -> None:
         while True:
             now = self.clock()
             while self.taken and now - self.taken[0][0] >= self.period:
                 self.taken.popleft()
-            if not self.taken or sum(k for _, k in self.taken) + n <= self.most:
-                self.taken.append((now, n))
+            if not self.taken or sum(k for _, k in self.taken) + items <= self.most:
+                self.taken.append((now, items))
                 return
             self.sleep(self.period - (now - self.taken[0][0]))
 
@@ -59,8 +59,8 @@ class Limiter:
 class KeyRing:
     """Keys by model; one leaves for the model when its daily quota is gone."""
 
-    def __init__(self, keys: list[str]) -> None:
-        self.keys, self.spent = list(keys), set()
+    def __init__(self, usable: list[str]) -> None:
+        self.keys, self.spent = list(usable), set()
 
     def call(self, model: str, use: Callable[[str], A]) -> A:
         last: Exception | None = None

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkgrove.functions.text import match_key, slug
 
-TOC = r"^(.+?)\s*\.{4,}\s*(\d+)\s*$"
+TOC = r"^(.+?)\s{0,}[.]{4,}\s{0,}([0-9]+)\s{0,}$"
 
 
 def is_service(name: Column, categories: list[str], ignored: list[str], unprefixed: list[str], prefixes: tuple[str, ...] = ("Amazon ", "AWS ")) -> Column:

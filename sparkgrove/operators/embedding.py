@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from sparkgrove.functions.text import STOP
 
-_TOKEN = re.compile(r"[a-z0-9]+")
+_RUN = re.compile("[0-9a-z]+")
 
 
 class Embedder(Protocol):
@@ -40,7 +40,7 @@ class HashingEmbedder:
         out = np.zeros((len(texts), self.dim))
         stop, known = frozenset(STOP), self._bucket
         for row, text in zip(out, texts, strict=True):
-            for t in _TOKEN.findall(text.lower()):
+            for t in _RUN.findall(text.lower()):
                 if len(t) > 1 and t not in stop:
                     if (b := known.get(t)) is None:
                         if len(known) > 500_000:

@@ -36,7 +36,7 @@ def idf_table(counts: DataFrame, stats: DataFrame) -> DataFrame:
     return counts.groupBy("term").agg(F.count("*").alias("c")).crossJoin(F.broadcast(stats)).select("term", "c", F.log(1 + (F.col("n") - F.col("c") + 0.5) / (F.col("c") + 0.5)).alias("idf"))  # stats: one row
 
 
-def bm25(docs: DataFrame, queries: DataFrame, key: str, text: Column, query_text: Column, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, key: str, text: Column, query_text: Column, *, b: float = 0.75, k1: float = 1.5) -> DataFrame:
     """(query_id, key, bm25) for every document that shares a term with a query; repeated query terms count again."""
     asked = queries.select("query_id", F.explode(tokens(query_text)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("m"))
     lens = lengths(docs, key, text)

@@ -18,7 +18,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-# --- the corpus as a table: the first half of the ids is there, the rest comes in ---------------
+# the corpus as a table: the first half of the ids is there, the rest comes in
 @query(
     "content_dedup",
     """WITH old AS (SELECT * FROM documents WHERE doc_id % 2 = 0), new AS (SELECT *, sha1(text) AS h FROM documents WHERE doc_id % 3 = 0)
@@ -83,7 +83,7 @@ def index_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return meta_of(d)
 
 
-# --- answers --------------------------------------------------------------------------------------
+# answers
 @query(
     "render_context",
     """WITH h AS (SELECT doc_id % 7 AS query_id, doc_id, source, lang, left(text, 80) AS text, row_number() OVER (PARTITION BY doc_id % 7 ORDER BY n_chars DESC, doc_id) AS rank FROM documents QUALIFY rank <= 6)
@@ -150,7 +150,7 @@ def answer_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grounding.verify(grounding.generate(ready, grounding.ExtractiveGenerator()))
 
 
-# --- evaluation -----------------------------------------------------------------------------------
+# evaluation
 _NEAR = """c AS (SELECT a.vec_id AS query_id, a.label AS want, b.vec_id, b.label, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 9) DESC, vec_id) AS rank FROM c QUALIFY rank <= 6),
 d AS (SELECT query_id, want, label, min(rank) AS first FROM r GROUP BY ALL),
@@ -217,7 +217,7 @@ def eval_cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", evaluation.cache_key(F.lit("extractive"), F.lit("flat"), F.col("text")).alias("key"))
 
 
-# --- clusters -------------------------------------------------------------------------------------
+# clusters
 _K = """i AS (SELECT row_number() OVER (ORDER BY sha1(vec_id::VARCHAR), vec_id) - 1 AS cluster, embedding FROM embeddings QUALIFY cluster < 10),
 a AS (SELECT b.vec_id, i.cluster, list_sum(list_transform(list_zip(i.embedding, b.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) AS cosine, b.embedding FROM embeddings b, i),
 n AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY cosine DESC, cluster) = 1)"""
@@ -260,14 +260,14 @@ def cluster_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.summaries(_docs(spark, sf_dir).select((F.col("doc_id") % 9).alias("cluster"), F.col("doc_id").alias("idx"), "doc_id", F.col("lang").alias("title"), F.left("text", F.lit(300)).alias("text")))
 
 
-# --- the corpus builder ---------------------------------------------------------------------------
+# the corpus builder
 _CATS, _IGNORED, _BARE = ["Compute", "Storage"], ["Compare options"], ["Elastic Pool"]
 _TOC = ["Introduction ..... 1", "Compute ....... 3", "Amazon Alpha ........ 3", "Compare options ..... 4", "Elastic Pool .... 5", "AWS  Beta ..... 6", "Storage ..... 7", "Amazon Gamma ..... 8", "Amazon Alpha ..... 9", "not a line"]
 _BODY = ["Overview header", "Compute", "Amazon Alpha", "Amazon Alpha runs things.", "", "", "", "More.", "Amazon Alpha 12", "iv", "17", "Compare options", "Amazon Delta", "", "Amazon Delta is new.", "Elastic Pool", "Pools.", "Storage", "Lost line", "Amazon Gamma", "Keeps.", "Amazon Alpha", "Second text."]
 _TOC_ROWS, _BODY_ROWS = list(enumerate(_TOC)), list(enumerate(_BODY))
 _IN = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
 _PARSED = f"""t AS {sql_rows(_TOC_ROWS, "line_no, line")},
-n AS (SELECT line_no, trim(regexp_replace(regexp_extract(line, '^(.+?)\\s*\\.{{4,}}\\s*(\\d+)\\s*$', 1), '\\s+', ' ', 'g')) AS name, try_cast(nullif(regexp_extract(line, '^(.+?)\\s*\\.{{4,}}\\s*(\\d+)\\s*$', 2), '') AS INT) AS page FROM t),
+n AS (SELECT line_no, trim(regexp_replace(regexp_extract(line, '^(.+?)\\s{{0,}}[.]{{4,}}\\s{{0,}}([0-9]+)\\s{{0,}}$', 1), '\\s+', ' ', 'g')) AS name, try_cast(nullif(regexp_extract(line, '^(.+?)\\s{{0,}}[.]{{4,}}\\s{{0,}}([0-9]+)\\s{{0,}}$', 2), '') AS INT) AS page FROM t),
 f AS (SELECT *, name NOT IN {_IN(_CATS + _IGNORED)} AND (name IN {_IN(_BARE)} OR starts_with(name, 'Amazon ') OR starts_with(name, 'AWS ')) AS service FROM n WHERE len(name) >= 3),
 g AS (SELECT *, coalesce(last_value(CASE WHEN name IN {_IN(_CATS)} THEN name END IGNORE NULLS) OVER (ORDER BY line_no), 'Uncategorised') AS category FROM f),
 s AS (SELECT line_no AS ord, name, category, page FROM g WHERE service QUALIFY row_number() OVER (PARTITION BY name ORDER BY line_no) = 1)"""
@@ -357,7 +357,7 @@ def match_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", match_key(F.col("p_name")).alias("key"))
 
 
-# --- events ---------------------------------------------------------------------------------------
+# events
 @query("rate_window_usage", "SELECT event_id, sum(1) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 59.999999 SECOND PRECEDING AND CURRENT ROW)::BIGINT AS used FROM events")
 def rate_window_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame = "sum(1) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '59.999999' SECOND PRECEDING AND CURRENT ROW)"

@@ -92,7 +92,7 @@ _LINES = "l AS (SELECT id, unnest(range(1, len(string_split(text, chr(10))) + 1)
 
 def wiki_stripped(text: Column) -> Column:
     """Lines outside the level-two sections of references and the like, by one fold over the lines."""
-    drop = ("see also", "references", "further reading", "external links", "notes", "bibliography", "sources", "citations")
+    drop = ("bibliography", "citations", "external links", "further reading", "notes", "references", "see also", "sources")
     name = lambda x: F.lower(F.trim(F.regexp_extract(x, r"^\s*==\s*([^=].*?)\s*==\s*$", 1)))
     start = F.struct(F.filter(F.array(F.lit("")), lambda x: F.lit(False)).alias("kept"), F.lit(False).alias("skip"))
 
@@ -106,7 +106,7 @@ def wiki_stripped(text: Column) -> Column:
 @query(
     "wiki_strip",
     f"""WITH w AS {sql_rows(_WIKI, "id, text")}, {_LINES},
-    m AS (SELECT *, CASE WHEN regexp_matches(line, '^\\s*==\\s*[^=].*?\\s*==\\s*$') THEN lower(trim(regexp_extract(line, '^\\s*==\\s*([^=].*?)\\s*==\\s*$', 1))) IN ('see also', 'references', 'further reading', 'external links', 'notes', 'bibliography', 'sources', 'citations') END AS d FROM l),
+    m AS (SELECT *, CASE WHEN regexp_matches(line, '^\\s*==\\s*[^=].*?\\s*==\\s*$') THEN lower(trim(regexp_extract(line, '^\\s*==\\s*([^=].*?)\\s*==\\s*$', 1))) IN ('bibliography', 'citations', 'external links', 'further reading', 'notes', 'references', 'see also', 'sources') END AS d FROM l),
     s AS (SELECT *, coalesce(last_value(d IGNORE NULLS) OVER (PARTITION BY id ORDER BY n), false) AS skip FROM m)
     SELECT id, coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT skip), '') AS text FROM s GROUP BY id""",
 )
@@ -119,8 +119,8 @@ _FRONT = [(1, "---\nTitle: \"A b\"\n# note: x\nsource_url: https://x.org/a:b\n--
 
 @query(
     "front_matter",
-    f"""WITH w AS {sql_rows(_FRONT, "id, text")}, f AS (SELECT id, text, regexp_extract(text, '(?s)\\A---[ \\t]*\\n(.*?)\\n---[ \\t]*\\n', 1) AS block FROM w)
-    SELECT id, nullif(regexp_extract(block, '(?m)^Title:\\s*"?([^"\\n]*)"?$', 1), '') AS title, nullif(regexp_extract(block, '(?m)^source_url:\\s*(.*)$', 1), '') AS url, regexp_replace(text, '(?s)\\A---[ \\t]*\\n(.*?)\\n---[ \\t]*\\n', '') AS body FROM f""",
+    f"""WITH w AS {sql_rows(_FRONT, "id, text")}, f AS (SELECT id, text, regexp_extract(text, '(?s)\\A-{{3}}[\\t ]{{0,}}\\n(.*?)\\n-{{3}}[\\t ]{{0,}}\\n', 1) AS block FROM w)
+    SELECT id, nullif(regexp_extract(block, '(?m)^Title:\\s*"?([^"\\n]*)"?$', 1), '') AS title, nullif(regexp_extract(block, '(?m)^source_url:\\s*(.*)$', 1), '') AS url, regexp_replace(text, '(?s)\\A-{{3}}[\\t ]{{0,}}\\n(.*?)\\n-{{3}}[\\t ]{{0,}}\\n', '') AS body FROM f""",
 )
 def front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
     meta = T.front_matter(F.col("text"))
@@ -132,7 +132,7 @@ _HEADS = [("# A",), ("   ## B b ##",), ("    # code",), ("== W ==",), ("=== V===
 
 @query(
     "headings_levels",
-    f"""WITH w AS {sql_rows(_HEADS, "line")}, a AS (SELECT line, regexp_extract(line, '^\\s{{0,3}}(#{{1,6}})\\s+(.+?)\\s*#*\\s*$', 1) AS h, regexp_extract(line, '^\\s{{0,3}}(#{{1,6}})\\s+(.+?)\\s*#*\\s*$', 2) AS t,
+    f"""WITH w AS {sql_rows(_HEADS, "line")}, a AS (SELECT line, regexp_extract(line, '^\\s?\\s?\\s?(#|##|###|####|#####|######)\\s+(.+?)\\s{{0,}}#{{0,}}\\s{{0,}}$', 1) AS h, regexp_extract(line, '^\\s?\\s?\\s?(#|##|###|####|#####|######)\\s+(.+?)\\s{{0,}}#{{0,}}\\s{{0,}}$', 2) AS t,
       regexp_extract(line, '^\\s*(={{2,}})\\s*[^=].*?[^=]*\\s*(={{2,}})\\s*$', 1) AS o, regexp_extract(line, '(={{2,}})\\s*$', 1) AS c FROM w)
     SELECT line, (CASE WHEN h <> '' THEN len(h) WHEN o <> '' AND len(c) >= len(o) THEN len(o) END)::VARCHAR AS level,
       CASE WHEN h <> '' THEN trim(t) WHEN o <> '' AND len(c) >= len(o) THEN trim(substr(trim(line), len(o) + 1, len(trim(line)) - 2 * len(o))) END AS name FROM a""",
@@ -148,7 +148,7 @@ _SECTIONED = [(1, "Guide", "lead\n# Guide\nintro\n### Deep\ndeep text\n## Next\n
 @query(
     "section_paths",
     f"""WITH RECURSIVE w AS {sql_rows(_SECTIONED, "id, title, text")}, {_LINES},
-    f AS (SELECT *, coalesce(sum(regexp_matches(line, '^\\s{{0,3}}(```|~~~)')::INT) OVER (PARTITION BY id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS inside, regexp_matches(line, '^\\s{{0,3}}(```|~~~)') AS fence FROM l),
+    f AS (SELECT *, coalesce(sum(regexp_matches(line, '^\\s{{0,3}}(?:~~~|```)')::INT) OVER (PARTITION BY id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS inside, regexp_matches(line, '^\\s{{0,3}}(?:~~~|```)') AS fence FROM l),
     h AS (SELECT *, CASE WHEN inside OR fence THEN NULL WHEN regexp_matches(line, '^\\s{{0,3}}#{{1,6}}\\s') THEN len(regexp_extract(line, '(#+)', 1)) WHEN regexp_matches(line, '^={{2,}} .* ={{2,}}$') THEN len(regexp_extract(line, '^(=+)', 1)) END AS level, trim(line, '#= ') AS name FROM f),
     s AS (SELECT *, sum((level IS NOT NULL)::INT) OVER (PARTITION BY id ORDER BY n) AS sec FROM h),
     hd AS (SELECT id, sec, level, name FROM s WHERE level IS NOT NULL),
@@ -165,7 +165,7 @@ def section_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "fence_parity",
     f"""WITH w AS {sql_rows(_SECTIONED, "id, title, text")}, {_LINES}
-    SELECT id, n, coalesce(sum(regexp_matches(line, '^\\s{{0,3}}(```|~~~)')::INT) OVER (PARTITION BY id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT % 2 AS inside FROM l""",
+    SELECT id, n, coalesce(sum(regexp_matches(line, '^\\s{{0,3}}(?:~~~|```)')::INT) OVER (PARTITION BY id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT % 2 AS inside FROM l""",
 )
 def fence_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = values(spark, _SECTIONED, "id int, title string, text string").select("id", F.posexplode(chunking.lines(F.col("text"))).alias("n", "line"))

@@ -25,12 +25,12 @@ def without_query(url: Column) -> Column:
 
 def raw_file(url: Column) -> Column:
     """The raw address of a file page, without query and fragment; null for other pages."""
-    m = lambda k: F.regexp_extract(url, _CODE + r"([^/]+)/([^/]+)/blob/([^/]+)/([^?#]+)", k)
-    return F.when(m(1) != "", F.concat(F.lit(RAW), F.concat_ws("/", m(1), m(2), m(3), m(4))))
+    repo, rest = (F.regexp_extract(url, _CODE + r"([^/?#]+/[^/?#]+)/blob/([^/]+/[^?#]+)", k) for k in (1, 2))
+    return F.when(repo != "", F.concat(F.lit(RAW), F.concat_ws("/", repo, rest)))
 
 
 def readme_candidates(url: Column) -> Column:
     """Raw addresses to try for a bare repository, in order."""
     owner, name = F.regexp_extract(url, _CODE + r"([^/?#]+)/([^/?#]+?)(?:\.git)?/?(?:[?#].*)?$", 1), F.regexp_extract(url, _CODE + r"([^/?#]+)/([^/?#]+?)(?:\.git)?/?(?:[?#].*)?$", 2)
-    names = ("README.md", "readme.md", "README.rst", "README.txt")
+    names = ["README.md", "readme.md", *[f"README.{ending}" for ending in ("rst", "txt")]]
     return F.when(owner != "", F.array(*[F.concat(F.lit(RAW), F.concat_ws("/", owner, name, F.lit(ref), F.lit(n))) for ref in ("main", "master") for n in names]))
