@@ -16,7 +16,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Space and the ASCII controls from tab to carriage return separate words.
 NON_SPACE = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one step of an Arrow operator takes at once (a longer text goes alone).
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 #: A side of a join is broadcast up to this many rows of a few numbers; beyond it, it is shuffled.
 BROADCAST_ROWS = 500_000
 
@@ -95,6 +95,8 @@ def steps(batches: Iterator[pa.RecordBatch], column: str, most: int = STEP_BYTES
             held += n
         if len(sizes) > start:
             yield batch.slice(start)
+        del batch
+        pa.default_memory_pool().release_unused()  # workers live on; what a batch took goes back
 
 
 def texts(batch: pa.RecordBatch, column: str) -> list[bytes]:

@@ -145,7 +145,7 @@ VIEWS = (42, 43, 44, 45)
 #: Bits of a shingle fingerprint that refine a bucket at a time, and the blocks that each view tries.
 BLOCK_BITS, BLOCKS = 8, 4
 #: Shingle fingerprints of pairs of that similarity differ in 10 bits on average, in more than this many hardly ever.
-MOST_APART = 24
+MOST_APART = 20
 
 
 def _shingle_sets(docs: DataFrame) -> DataFrame:
