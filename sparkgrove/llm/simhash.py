@@ -141,9 +141,9 @@ def simhash_components(spark: SparkSession, docs: DataFrame, width: int = 3, rad
 #: Near-duplicates share this Jaccard similarity of five-word shingles, or more.
 WIDTH, SIMILARITY = 5, 0.8
 #: Word fingerprints with these seeds place a text; each covering mask of each is a table.
-VIEWS = (42, 43, 44, 45)
+VIEWS = (42, 43, 44, 45, 46, 47, 48, 49)
 #: Bits of a shingle fingerprint that refine a bucket at a time, and the blocks that each view tries.
-BLOCK_BITS, BLOCKS = 8, 4
+BLOCK_BITS, BLOCKS = 8, 2
 #: Shingle fingerprints of pairs of that similarity differ in 10 bits on average, in more than this many hardly ever.
 MOST_APART = 20
 
@@ -181,7 +181,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     read = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in steps(batches, "text"):
+        for part in steps(batches, "text", 1 << 19):
             got = texts(part, "text")
             keep = pa.array([bool(t.strip()) for t in got], pa.bool_())
             views = [pa.array(v.view(np.int64)) for v in np.ascontiguousarray(word_views(got, VIEWS).T)]
