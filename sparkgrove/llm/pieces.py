@@ -29,7 +29,7 @@ SPACE = "▁"
 #: A run of space marks and what follows; a text starts with one.
 UNIT = re.compile(f"{SPACE}+[^{SPACE}]*")
 #: Units of each of the two generations that a worker remembers; the older one goes when the newer is full.
-MEMO = 400_000
+MEMO = 200_000
 #: From this length on, an agenda is a heap.
 LONG_UNIT = 48
 NEVER = float("inf")
@@ -97,8 +97,8 @@ class PieceModel:
             raise ValueError("the vocabulary has no bytes to fall back to")
         self.end, self.unknown = trainer.get(42, 2), trainer.get(40, 0)
         self.most, self.verify, self.path = memo, verify, path
-        self.known: dict[str, tuple[str, int, str]] = {}
-        self.older: dict[str, tuple[str, int, str]] = {}
+        self.known: dict[str, tuple[str, int, str | None]] = {}
+        self.older: dict[str, tuple[str, int, str | None]] = {}
         self.text = [None if raw or piece is None else piece.decode() for piece, raw in zip(self.out, self.raw, strict=True)]
         self.library = None
 
@@ -214,7 +214,8 @@ class PieceModel:
         if self.verify and new:
             self.check(new, ids, back)
         for u, x, t in zip(new, ids, back, strict=True):
-            known[u] = (" ".join(map(str, x)), len(x), t)
+            # most units decode to themselves; only another text is kept
+            known[u] = (" ".join(map(str, x)), len(x), None if t == u.replace(SPACE, " ") else t)
 
     def check(self, units: list[str], ids: list[list[int]], back: list[str]) -> None:
         """The library must give the same ids and text for the units as one text."""
@@ -249,7 +250,7 @@ class PieceModel:
         for units in cut:
             got = [known[u] for u in units]
             ids = " ".join([g[0] for g in got] + [tail])
-            text = "".join([g[2] for g in got])
+            text = "".join([u if g[2] is None else g[2] for u, g in zip(units, got, strict=True)]).replace(SPACE, " ")
             out.append((sum(g[1] for g in got) + 1, sha(ids.encode()).hexdigest(), sha(text[text.startswith(" ") :].encode()).hexdigest()))
         return out
 
