@@ -14,13 +14,15 @@ members. Rows thus grow in proportion to fingerprints, however full a bucket is.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from fractions import Fraction
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkgrove.llm.common import Scratch, small, steps, texts
@@ -138,76 +140,135 @@ def simhash_components(spark: SparkSession, docs: DataFrame, width: int = 3, rad
     return prints.join(classes, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Near-duplicates share this Jaccard similarity of five-word shingles, or more.
-WIDTH, SIMILARITY = 5, 0.8
-#: Word fingerprints with these seeds place a text; each covering mask of each is a table.
-VIEWS = (42, 43, 44, 45, 46, 47, 48, 49)
-#: Bits of a shingle fingerprint that refine a bucket at a time, and the blocks that each view tries.
-BLOCK_BITS, BLOCKS = 8, 2
-#: Shingle fingerprints of pairs of that similarity differ in 10 bits on average, in more than this many hardly ever.
-MOST_APART = 20
+#: Near-duplicates share this Jaccard similarity of five-word shingles, or more: a whole fraction, so that its bounds are exact.
+WIDTH, SIMILARITY = 5, Fraction(4, 5)
+#: Texts sampled for the order of shingles, the texts of the sample that make a shingle common, and the common ones that are told apart.
+SAMPLED_TEXTS, COMMON_TEXTS, MOST_COMMON = 20_000, 3, 200_000
+
+
+def shingle_set(text: bytes) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the shingles of ``WIDTH`` words; a shorter text is one shingle."""
+    digest, join = partial(xxhash.xxh64_digest, seed=SEED), b" ".join
+    words = text.lower().split()
+    shingles = map(join, zip(*(words[k:] for k in range(WIDTH)), strict=False)) if len(words) >= WIDTH else [join(words)] if words else []
+    return np.unique(np.frombuffer(b"".join(map(digest, shingles)), np.int64))
+
+
+def prefix_sizes(n: int) -> tuple[int, int]:
+    """Sizes of the prefixes of a set of ``n``: against partners of any size, and against those of its size or more.
+
+    Sets of a and b that are alike have k = s (a + b) / (1 + s) or more in common, so the first
+    common shingle in any order has k - 1 of its set behind it. With b of s a or more, k is at
+    least s a; with b of a or more, it is at least 2 s a / (1 + s).
+    """
+    return n - math.ceil(SIMILARITY * n) + 1, n - math.ceil(2 * SIMILARITY * n / (1 + SIMILARITY)) + 1
+
+
+def prefix(shingles: np.ndarray, common: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The first shingles of a set in the order of all: rare ones by hash, then common ones (sorted, with their ranks)."""
+    most = prefix_sizes(len(shingles))[0]
+    if not len(common):
+        return shingles[:most]
+    at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+    known = common[at] == shingles
+    rare = shingles[~known][:most]
+    return rare if len(rare) == most else np.concatenate((rare, shingles[known][np.argsort(ranks[at[known]])]))[:most]
 
 
 def _shingle_sets(docs: DataFrame) -> DataFrame:
-    """(id, shingles): distinct 64-bit hashes of the shingles of ``WIDTH`` words; a shorter text is one shingle."""
+    """(id, shingles) of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest, join = partial(xxhash.xxh64_digest, seed=SEED), b" ".join
         for part in steps(batches, "text"):
-            sets = []
-            for text in texts(part, "text"):
-                words = text.lower().split()
-                shingles = map(join, zip(*(words[k:] for k in range(WIDTH)), strict=False)) if len(words) >= WIDTH else [join(words)] if words else []
-                sets.append(np.unique(np.frombuffer(b"".join(map(digest, shingles)), np.int64)))
+            sets = [shingle_set(t) for t in texts(part, "text")]
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
 
     return docs.mapInArrow(run, "id bigint, shingles array<bigint>")
 
 
+def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Common shingles, sorted, and their ranks from the rarest on, from a sample of texts.
+
+    Only the order of shingles depends on them, no result does.
+    """
+    share = min(1.0, SAMPLED_TEXTS / max(1, docs.count()))
+    sample = docs.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    counted = _shingle_sets(sample).select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON_TEXTS)
+    got = counted.orderBy(F.desc("n"), "s").limit(MOST_COMMON).toArrow()
+    found = got.column("s").to_numpy()
+    order = np.argsort(found)
+    return found[order], (len(found) - order).astype(np.int64)
+
+
+def _prefixes(docs: DataFrame, common: np.ndarray, ranks: np.ndarray) -> DataFrame:
+    """(id, n, same, keys): size, digest and prefix of the shingles of each text that has any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in steps(batches, "text"):
+            sets = [shingle_set(t) for t in texts(part, "text")]
+            columns = [part.column("id"), pa.array(map(len, sets), pa.int32()), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array([prefix(x, common, ranks) if len(x) else x for x in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "same", "keys"]).filter(pa.array([len(x) > 0 for x in sets], pa.bool_()))
+
+    return docs.mapInArrow(run, "id bigint, n int, same binary, keys array<bigint>")
+
+
+def _may_be_alike(na: Column, pa_: Column, nb: Column, pb: Column) -> Column:
+    """Whether sets of these sizes, first alike at these places of their order, can reach the similarity."""
+    num, den = SIMILARITY.numerator, SIMILARITY.denominator
+    behind = F.least(na - pa_, nb - pb).cast("bigint")
+    return behind * (num + den) >= (na + nb).cast("bigint") * num
+
+
+def _alike(scratch: Scratch, docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+    """The pairs (a, b) whose whole shingle sets reach the similarity."""
+    pairs = scratch.table(pairs.distinct(), f"{name}_pairs")
+    ids = scratch.table(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), f"{name}_ids")
+    sets = scratch.table(_shingle_sets(docs.join(small(ids), "id")), f"{name}_sets")
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    found = both.where(common * (SIMILARITY.numerator + SIMILARITY.denominator) >= (F.size("sa") + F.size("sb")) * SIMILARITY.numerator).select("a", "b")
+    found = scratch.table(found, f"{name}_alike")
+    for part in ("pairs", "ids", "sets"):
+        scratch.drop(f"{name}_{part}")
+    return found
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, root) of every text that has near-duplicates; root is the smallest id of its group.
 
     Two texts link at a Jaccard similarity of ``SIMILARITY`` or more of their five-word
-    shingles; groups are the connected components. A few changed words move the
-    fingerprints of single words by a bit or two, so their covering masks bring such texts
-    into one bucket; a block of the five-word fingerprint keeps unrelated long texts out
-    of it. In a bucket nobody meets everybody: each text is compared with the bucket's
-    most central one (the one with the fullest buckets, as an original among its edited
-    copies) and with its neighbour in fingerprint order, and every such link is verified
-    on the whole shingle sets. Ids must be distinct; null ids and word-less texts have no
-    near-duplicates. An empty table gives an empty result.
+    shingles; groups are the connected components. Prefixes find the candidates: in an order
+    of all shingles, common ones last, two such texts share one of their first (see
+    :func:`prefix_sizes`), so no pair is missed. Texts of equal sets stand for one another.
+    Under each shingle every text is compared with the central one (the one with the fullest
+    shingles, as an original among its edited copies), and every link is verified on the whole
+    shingle sets. Ids must be distinct; null ids and word-less texts have no near-duplicates.
+    An empty table gives an empty result.
     """
     scratch = Scratch(spark, "near")
     read = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in steps(batches, "text", 1 << 19):
-            got = texts(part, "text")
-            keep = pa.array([bool(t.strip()) for t in got], pa.bool_())
-            views = [pa.array(v.view(np.int64)) for v in np.ascontiguousarray(word_views(got, VIEWS).T)]
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(fingerprints(got, WIDTH).view(np.int64)), *views], names=["id", "fp", *[f"v{k}" for k in range(len(VIEWS))]]).filter(keep)
-
-    prints = scratch.table(read.mapInArrow(run, "id bigint, fp bigint, " + ", ".join(f"v{k} bigint" for k in range(len(VIEWS)))), "prints")
-    family = masks(RADIUS)
-    blocks = [F.shiftrightunsigned("fp", b).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)) for b in range(0, BITS, BLOCK_BITS)]
-    # each view tries its own choice of blocks, so that together they try all of them evenly
-    keys = [F.xxhash64(F.lit((k * 64 + t) * 64 + b), F.col(f"v{k}").bitwiseAND(F.lit(signed(m))), blocks[b]) for k in range(len(VIEWS)) for t, m in enumerate(family) for b in [(2 * k + i) % len(blocks) for i in range(BLOCKS)]]
-    placed = prints.select("id", "fp", F.explode(F.array(*keys)).alias("key"))
-    shared = placed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
+    prints = scratch.table(_prefixes(read, *_common(read)), "prints")
+    twins = prints.groupBy("same").agg(F.min("id").alias("first"), F.count("*").alias("c")).where("c > 1")
+    twins = scratch.table(prints.select("id", "same").join(small(scratch.table(twins, "first")), "same").where("id <> first").select("id", "first"), "twins")
+    placed = prints.join(small(twins), "id", "left_anti").select("id", "n", F.posexplode("keys").alias("pos", "key"))
+    # the smaller text of a pair needs the shorter prefix only
+    lesser = F.col("pos") < F.col("n") - F.ceil(F.col("n") * F.lit(2 * SIMILARITY.numerator) / F.lit(SIMILARITY.numerator + SIMILARITY.denominator)) + 1
+    by_key = Window.partitionBy("key")
+    shared = placed.withColumn("lesser", lesser).withColumn("c", F.count("*").over(by_key)).withColumn("l", F.max("lesser").over(by_key)).where("c > 1 and l").select("key", "id", "n", "pos", "lesser", "c")
     shared = scratch.table(shared, "shared")
-    central = shared.groupBy("id").agg(F.sum("n").alias("weight"))
-    weighed = shared.join(small(central), "id")
-    by_weight = Window.partitionBy("key").orderBy(F.desc("weight"), "id")
-    by_print = Window.partitionBy("key").orderBy("fp", "id")
-    met = weighed.select("id", "fp", F.struct(F.first("id").over(by_weight).alias("id"), F.first("fp").over(by_weight).alias("fp")).alias("hub"), F.struct(F.lag("id").over(by_print).alias("id"), F.lag("fp").over(by_print).alias("fp")).alias("last"))
-    pairs = met.select("id", "fp", F.explode(F.array("hub", "last")).alias("o")).where((F.col("o.id") != F.col("id")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("o.fp"))) <= MOST_APART))
-    pairs = scratch.table(pairs.select(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b")).distinct(), "pairs")
-    ids = scratch.table(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
-    sets = scratch.table(_shingle_sets(read.join(small(ids), "id")), "sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    alike = both.where(common >= SIMILARITY * (F.size("sa") + F.size("sb") - common)).select("a", "b")
-    return components(spark, scratch.table(alike, "alike")).select(F.col("node").alias("id"), "root")
+    scratch.drop("prints")
+
+    # first each text with the central one of its shingles
+    central = shared.groupBy("id").agg(F.sum("c").alias("weight"))
+    hub = shared.join(small(central), "id").select("key", "id", "n", "pos", F.struct(F.first("id").over(_central()).alias("id"), F.first("n").over(_central()).alias("n"), F.first("pos").over(_central()).alias("pos")).alias("o"))
+    hub = hub.where((F.col("id") != F.col("o.id")) & _may_be_alike(F.col("n"), F.col("pos"), F.col("o.n"), F.col("o.pos")))
+    alike = _alike(scratch, read, hub.select(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b")), "hub")
+    found = alike.union(twins.select(F.col("first").alias("a"), F.col("id").alias("b")))
+    return components(spark, found).select(F.col("node").alias("id"), "root")
+
+
+def _central() -> Window:
+    return Window.partitionBy("key").orderBy(F.desc("weight"), "id")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -150,3 +150,67 @@ def test_near_duplicates_keep_one(spark):
     ids = {r["doc_id"] for r in left.collect()}
     assert {100 + k for k in range(20)} | {200, 201, None, 202, 0} <= ids
     assert len(ids & set(range(30))) <= 2
+
+
+def plain_shingles(text):
+    w = (text or "").lower().split()
+    return {tuple(w[k : k + simhash.WIDTH]) for k in range(len(w) - simhash.WIDTH + 1)} or ({tuple(w)} if w else set())
+
+
+def plain_links(rows):
+    """Every pair of ids at a Jaccard similarity of 0.8 or more, with its similarity."""
+    sets = [(i, plain_shingles(t)) for i, t in rows if i is not None]
+    found = {}
+    for k, (i, x) in enumerate(sets):
+        for j, y in sets[:k]:
+            if x and y and 5 * len(x & y) >= 4 * len(x | y):
+                found[min(i, j), max(i, j)] = len(x & y) / len(x | y)
+    return found
+
+
+def plain_roots(links):
+    root = {n: n for pair in links for n in pair}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for i, j in links:
+        a, b = find(i), find(j)
+        root[max(a, b)] = min(a, b)
+    return {n: find(n) for n in root}
+
+
+def test_near_duplicates_of_every_band(spark):
+    rng = random.Random(4)
+    words = [f"word{k}" for k in range(3000)]
+    rows = []
+    for k in range(420):
+        base = [rng.choice(words) for _ in range((12, 40, 90, 200, 400)[k % 5])]
+        near, low = list(base), (0.80, 0.80, 0.84, 0.90)[k // 5 % 4]
+        for _ in range(60):  # words are replaced, dropped and added for as long as the text stays in its band
+            new, at = list(near), rng.randrange(len(near))
+            new[at : at + 1] = rng.choice(([rng.choice(words)], [], [near[at], rng.choice(words)]))
+            x, y = plain_shingles(" ".join(base)), plain_shingles(" ".join(new))
+            if 100 * len(x & y) >= round(100 * low) * len(x | y):
+                near = new
+        rows += [(k, " ".join(base)), (1000 + k, " ".join(near).upper())]
+    rows += [(5000, "a b c d e"), (5001, "A  b\tc d e"), (5002, "tiny"), (5003, "TINY"), (5004, "x y z " * 50), (5005, "x y z " * 90), (5006, ""), (5007, None), (None, "tiny")]
+    links = plain_links(rows)
+    band = [sum(low <= s < high for s in links.values()) for low, high in ((0.80, 0.84), (0.84, 0.90), (0.90, 0.96))]
+    assert min(band) >= 40
+    got = {r["id"]: r["root"] for r in simhash.near_duplicates(spark, frame(spark, rows)).collect()}
+    lost = [s for (i, j), s in links.items() if got.get(i) is None or got.get(i) != got.get(j)]
+    assert not lost, sorted(lost)
+    assert got == plain_roots(links)
+
+
+@pytest.mark.parametrize("n", [*range(1, 60), 1000, 4995])
+def test_prefixes_are_long_enough(n):
+    longest, lesser = simhash.prefix_sizes(n)
+    assert 1 <= lesser <= longest <= n
+    least = lambda m: min(k for k in range(1, min(n, m) + 1) if 9 * k >= 4 * (n + m))
+    sizes = [m for m in range(1, 2 * n + 2) if 5 * min(n, m) >= 4 * max(n, m)]
+    assert longest == max(n - least(m) + 1 for m in sizes)
+    assert lesser == max(n - least(m) + 1 for m in sizes if m >= n)
