@@ -144,6 +144,8 @@ def simhash_components(spark: SparkSession, docs: DataFrame, width: int = 3, rad
 WIDTH, SIMILARITY = 5, Fraction(4, 5)
 #: Texts sampled for the order of shingles, the texts of the sample that make a shingle common, and the common ones that are told apart.
 SAMPLED_TEXTS, COMMON_TEXTS, MOST_COMMON = 20_000, 3, 200_000
+#: Texts under one shingle that one task compares a text with.
+BLOCK_TEXTS = 4_000
 
 
 def shingle_set(text: bytes) -> np.ndarray:
@@ -240,10 +242,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     shingles; groups are the connected components. Prefixes find the candidates: in an order
     of all shingles, common ones last, two such texts share one of their first (see
     :func:`prefix_sizes`), so no pair is missed. Texts of equal sets stand for one another.
-    Under each shingle every text is compared with the central one (the one with the fullest
-    shingles, as an original among its edited copies), and every link is verified on the whole
-    shingle sets. Ids must be distinct; null ids and word-less texts have no near-duplicates.
-    An empty table gives an empty result.
+    Under each shingle every text is first compared with the central one (the one with the
+    fullest shingles, as an original among its edited copies), then with every other that is
+    not in its group yet and whose size and place allow the similarity. Every link is verified
+    on the whole shingle sets. Ids must be distinct; null ids and word-less texts have no
+    near-duplicates. An empty table gives an empty result.
     """
     scratch = Scratch(spark, "near")
     read = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
@@ -264,7 +267,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     hub = hub.where((F.col("id") != F.col("o.id")) & _may_be_alike(F.col("n"), F.col("pos"), F.col("o.n"), F.col("o.pos")))
     alike = _alike(scratch, read, hub.select(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b")), "hub")
     found = alike.union(twins.select(F.col("first").alias("a"), F.col("id").alias("b")))
-    return components(spark, found).select(F.col("node").alias("id"), "root")
+    groups = scratch.table(components(spark, found), "groups")
+
+    # then all others under a shingle, but for those of one group; crowded shingles are met in blocks
+    grouped = shared.join(small(groups), F.col("id") == F.col("node"), "left").select("key", "id", "n", "pos", "lesser", F.coalesce("root", "id").alias("root"), F.ceil(F.col("c") / BLOCK_TEXTS).cast("int").alias("blocks"))
+    grouped = scratch.table(grouped.withColumn("open", F.min("root").over(by_key) < F.max("root").over(by_key)).where("open").drop("open"), "grouped")
+    one = grouped.where("lesser").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.struct("n", "id", "pos", "root").alias("x"))
+    other = grouped.select("key", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), F.struct("n", "id", "pos", "root").alias("y"))
+    ordered = F.struct("x.n", "x.id") < F.struct("y.n", "y.id")
+    met = one.join(other, ["key", "block"]).where(ordered & (F.col("x.root") != F.col("y.root")) & _may_be_alike(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos")))
+    rest = _alike(scratch, read, met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")), "rest")
+    every = groups.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")).union(rest)
+    return components(spark, every).select(F.col("node").alias("id"), "root")
 
 
 def _central() -> Window:

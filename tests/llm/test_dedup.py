@@ -214,3 +214,16 @@ def test_prefixes_are_long_enough(n):
     sizes = [m for m in range(1, 2 * n + 2) if 5 * min(n, m) >= 4 * max(n, m)]
     assert longest == max(n - least(m) + 1 for m in sizes)
     assert lesser == max(n - least(m) + 1 for m in sizes if m >= n)
+
+
+@pytest.mark.parametrize("block", [4000, 3])
+def test_near_duplicates_in_crowded_shingles(spark, monkeypatch, block):
+    """Windows over one long text: ten share each shingle, and only neighbours are alike."""
+    monkeypatch.setattr(simhash, "BLOCK_TEXTS", block)
+    rng = random.Random(6)
+    long = [f"w{rng.randrange(4000)}" for _ in range(2090)]
+    rows = [(k, " ".join(long[10 * k : 10 * k + 100])) for k in range(200)]
+    links = plain_links(rows)
+    assert sorted(links) == [(k, k + 1) for k in range(199)]
+    got = {r["id"]: r["root"] for r in simhash.near_duplicates(spark, frame(spark, rows)).collect()}
+    assert got == plain_roots(links)
