@@ -131,6 +131,21 @@ def test_repetition(spark):
     assert repetition.quality(spark, frame(spark, [])).count() == 0
 
 
+def test_repetition_beyond_the_base_rule():
+    """Texts that pass the base rule and repeat whole passages, or many short ones, go; one with a short quotation stays."""
+    rng = random.Random(7)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    passage, long, shorts, quote = fresh(100), fresh(60), [fresh(6) for _ in range(20)], fresh(20)
+    pasted = fresh(125) + passage + fresh(125) + passage  # 44 % of its words
+    one_long = fresh(400) + long + fresh(400) + long
+    many_short = [w for s in shorts * 2 for w in s + fresh(11)]
+    quoting = fresh(200) + quote + fresh(200) + quote
+    got = repetition.measure([" ".join(t).encode() for t in (pasted, one_long, many_short, quoting)])
+    assert not got["base_failed"].any()
+    assert got["longest_repeat"].tolist() == [100, 60, 6, 20]
+    assert got["kept"].tolist() == [False, False, False, True]
+
+
 def test_very_long_text():
     words = [str(k % 5000) for k in range(40000)]
     got = repetition.measure([" ".join(words).encode()])
