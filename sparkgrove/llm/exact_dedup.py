@@ -2,9 +2,10 @@
 
 Each input partition is a memtable: it holds (digest, row) pairs, sorts them and
 flushes one sorted run, a Parquet file with a Bloom filter and min/max statistics
-on the digest. Compaction merges the runs by digest and keeps the smallest (or
-largest) identifier with the number of rows. Digests that occur twice or more are
-hits: their texts are read again and grouped byte by byte, so two texts that merely
+on the digest. Nothing here probes these filters; they are there for later point
+lookups. Compaction merges all runs by digest and counts the rows. Digests that
+occur twice or more are hits: their texts are read again and grouped byte by byte,
+which also picks the smallest (or largest) identifier, so two texts that merely
 share a digest stay apart. That grouping combines on the map side, so a text with
 a third of all rows sends one row per partition.
 """
