@@ -1,27 +1,33 @@
 """Language identification by a bidirectional gated recurrent network over bytes, in numpy.
 
-A text is cut into windows; one network reads each window forwards and one backwards.
+A text is cut into windows; one network reads each window forwards and one backwards,
+each from ``CONTEXT`` bytes of the neighbouring window on, so that no position starts
+from nothing but at the ends of the text. States beyond the ends are held at zero.
 Every position gets a distribution over the languages from both states, and a
 document's probabilities are the mean over all its positions. All windows of a batch
 advance together, so a long text is as fast a byte as many short ones. Training is
-plain backpropagation through time on windows of a bounded sample.
+plain backpropagation through time on windows of a bounded sample, many of them cut
+short, since short texts are to be told apart too.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkgrove.llm.common import fold, steps, texts
 
-LETTER = re.compile(r"[^\W\d_]")
-WINDOW, HIDDEN = 64, 8
+LETTER = regex.compile(r"\p{L}")
+#: Bytes of a window, and those of its neighbours that are read before it from either side.
+WINDOW, CONTEXT, HIDDEN = 64, 16, 8
+#: The share of training windows that are cut short, and the fewest bytes they keep.
+SHORT, LEAST_BYTES = 0.4, 4
 #: Documented bounds of the training sample: documents, and windows of each.
 DOCUMENTS, WINDOWS = 3_000, 8
 HELD_OUT_FOLDS, HELD_OUT = 3, 1
@@ -30,18 +36,21 @@ UNDETERMINED = "und"
 LANES = 4096
 
 
-def windows(docs: list[bytes], size: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(size x n bytes, n lengths, windows of each document); no text has no window."""
+def windows(docs: list[bytes], size: int = WINDOW, context: int = CONTEXT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """((context + size + context) x n bytes, first and end of what is text in each, windows of each document); no text has no window."""
     lengths = np.array([len(d) for d in docs], np.int64)
     counts = -(-lengths // size)
-    flat = np.zeros(int(counts.sum()) * size, np.uint8)
-    starts = np.concatenate(([0], np.cumsum(counts)[:-1])) * size if len(docs) else counts
-    for s, d in zip(starts.tolist(), docs, strict=True):
+    room = np.where(counts > 0, counts * size + 2 * context, 0)
+    flat = np.zeros(int(room.sum()), np.uint8)
+    for s, d in zip((np.cumsum(room) - room + context).tolist(), docs, strict=True):
         flat[s : s + len(d)] = np.frombuffer(d, np.uint8)
-    sizes = np.full(int(counts.sum()), size, np.int64)
-    full = counts > 0
-    sizes[np.cumsum(counts)[full] - 1] = lengths[full] - (counts[full] - 1) * size
-    return np.ascontiguousarray(flat.reshape(-1, size).T), sizes, counts
+    doc = np.repeat(np.arange(len(docs)), counts)
+    number = np.arange(len(doc)) - (np.cumsum(counts) - counts)[doc]  # of the window in its document
+    begin = (np.cumsum(room) - room)[doc] + number * size
+    cut = np.lib.stride_tricks.sliding_window_view(flat, size + 2 * context)[begin] if len(doc) else np.zeros((0, size + 2 * context), np.uint8)
+    first = np.where(number == 0, context, np.maximum(context - number * size, 0))
+    end = np.minimum(lengths[doc] - number * size + context, size + 2 * context)
+    return np.ascontiguousarray(cut.T), first, end, counts
 
 
 @dataclass
@@ -57,8 +66,8 @@ class Network:
     out: np.ndarray  # L x 2H
     bias: np.ndarray  # L x 1
 
-    def states(self, bytes_: np.ndarray, direction: int, keep: bool = False):
-        """States (T x H x n) of one direction; with ``keep`` also the gates, for training."""
+    def states(self, bytes_: np.ndarray, direction: int, keep: bool = False, valid: np.ndarray | None = None):
+        """States (T x H x n) of one direction, zero where not ``valid``; with ``keep`` also the gates, for training."""
         size, n = bytes_.shape
         table, inner = self.table[direction], self.inner[direction]
         h_size = inner.shape[1]
@@ -66,6 +75,7 @@ class Network:
         h = np.zeros((h_size, n), np.float32)
         states = np.empty((size, h_size, n), np.float32)
         kept = []
+        partly = [False] * size if valid is None else (~valid.all(axis=1)).tolist()
         for t in range(size) if direction == 0 else range(size - 1, -1, -1):
             x = table.take(bytes_[t], axis=1)
             z = gates @ h
@@ -84,15 +94,17 @@ class Network:
             c2 = h - c
             c2 *= u
             c2 += c  # u * h + (1 - u) * c
+            if partly[t]:
+                c2 *= valid[t]
             h = states[t] = c2
         return (states, kept) if keep else states
 
-    def positions(self, bytes_: np.ndarray) -> np.ndarray:
-        """Probabilities of each language at each position: T x L x n."""
-        # the first byte a padded window reads backwards is padding; its few steps fade within the window
-        half = self.inner[0].shape[1]
-        logits = np.matmul(self.out[:, :half], self.states(bytes_, 0))
-        logits += np.matmul(self.out[:, half:], self.states(bytes_, 1))
+    def positions(self, bytes_: np.ndarray, valid: np.ndarray | None = None, context: int = 0) -> np.ndarray:
+        """Probabilities of each language (T x L x n) at each position but for those of the context on either side."""
+        half, size = self.inner[0].shape[1], len(bytes_) - context
+        part = (lambda a, b: None) if valid is None else (lambda a, b: valid[a:b])
+        logits = np.matmul(self.out[:, :half], self.states(bytes_[:size], 0, valid=part(0, size))[context:])
+        logits += np.matmul(self.out[:, half:], self.states(bytes_[context:], 1, valid=part(context, size + context))[: size - context])
         logits += self.bias
         logits -= logits.max(axis=1, keepdims=True)
         np.exp(logits, out=logits)
@@ -103,13 +115,15 @@ class Network:
         """Mean probabilities (documents x L) over all positions; zero for an empty text."""
         if not self.languages:
             return np.zeros((len(docs), 0))
-        cut, sizes, counts = windows(docs)
+        cut, first, end, counts = windows(docs)
         sums = np.zeros((cut.shape[1], len(self.languages)), np.float64)
+        at = np.arange(len(cut))[:, None]
         for i in range(0, cut.shape[1], LANES):
-            p = self.positions(cut[:, i : i + LANES])
-            n = sizes[i : i + LANES]
-            if (n < len(p)).any():
-                p *= (np.arange(len(p))[:, None] < n[None, :])[:, None, :]
+            valid = (at >= first[i : i + LANES]) & (at < end[i : i + LANES])
+            p = self.positions(cut[:, i : i + LANES], valid, CONTEXT)
+            inside = valid[CONTEXT:-CONTEXT]
+            if not inside.all():
+                p *= inside[:, None, :]
             sums[i : i + LANES] = p.sum(axis=0, dtype=np.float64).T
         total = np.zeros((len(docs), len(self.languages)))
         full = np.flatnonzero(counts)
@@ -128,7 +142,7 @@ def train(docs: list[bytes], langs: list[str], hidden: int = HIDDEN, rounds: int
     net = Network(names, [init(3 * hidden, 256, scale=0.3) for _ in range(2)], [init(3 * hidden, hidden, scale=1 / np.sqrt(hidden)) for _ in range(2)], init(n_lang, 2 * hidden, scale=0.3), np.zeros((n_lang, 1), np.float32))
     if not names:
         return net
-    cut, label = [], []
+    cut, sizes, label = [], [], []
     for d, g in zip(docs, langs, strict=True):
         if not d:
             continue
@@ -136,10 +150,12 @@ def train(docs: list[bytes], langs: list[str], hidden: int = HIDDEN, rounds: int
         for k in rng.permutation(whole)[:WINDOWS]:
             piece = d[k * WINDOW : (k + 1) * WINDOW]
             cut.append(piece.ljust(WINDOW, b" "))
+            sizes.append(len(piece))
             label.append(names.index(g))
     if not cut:
         return net
     data, label = np.frombuffer(b"".join(cut), np.uint8).reshape(-1, WINDOW).T, np.array(label)
+    sizes, at = np.array(sizes), np.arange(WINDOW)[:, None]
     groups = [np.flatnonzero(label == k) for k in range(n_lang)]
     groups = [g for g in groups if len(g)]
     params = [*net.table, *net.inner, net.out, net.bias]
@@ -147,7 +163,10 @@ def train(docs: list[bytes], langs: list[str], hidden: int = HIDDEN, rounds: int
     for step in range(1, rounds + 1):
         pick = np.concatenate([rng.choice(g, max(1, lanes // len(groups))) for g in groups])
         x, y = np.ascontiguousarray(data[:, pick]), label[pick]
-        grads = _gradients(net, x, y)
+        # some windows start later and end earlier than their text
+        end = np.where(rng.random(len(pick)) < SHORT, rng.integers(LEAST_BYTES, WINDOW, len(pick), endpoint=True), WINDOW)
+        start = np.where(end < sizes[pick], rng.integers(0, np.maximum(sizes[pick] - end, 0), endpoint=True), 0)
+        grads = _gradients(net, x, y, (at >= start) & (at < np.minimum(start + end, sizes[pick])))
         now = rate * min(1.0, 2.0 * (1 - step / (rounds + 1)))
         norm = np.sqrt(sum(float((g**2).sum()) for g in grads))
         scale = min(1.0, 1.0 / max(norm, 1e-9))
@@ -159,17 +178,19 @@ def train(docs: list[bytes], langs: list[str], hidden: int = HIDDEN, rounds: int
     return net
 
 
-def _gradients(net: Network, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
-    """Gradients of the mean cross entropy over all positions, in the order of the parameters."""
+def _gradients(net: Network, x: np.ndarray, y: np.ndarray, valid: np.ndarray | None = None) -> list[np.ndarray]:
+    """Gradients of the mean cross entropy over all valid positions, in the order of the parameters."""
     size, n = x.shape
     half = net.inner[0].shape[1]
-    (hf, kf), (hb, kb) = net.states(x, 0, keep=True), net.states(x, 1, keep=True)
+    (hf, kf), (hb, kb) = net.states(x, 0, True, valid), net.states(x, 1, True, valid)
     logits = np.matmul(net.out[:, :half], hf) + np.matmul(net.out[:, half:], hb) + net.bias
     logits -= logits.max(axis=1, keepdims=True)
     p = np.exp(logits)
     p /= p.sum(axis=1, keepdims=True)
     p[:, y, np.arange(n)] -= 1
-    p /= size * n
+    if valid is not None:
+        p *= valid[:, None, :]
+    p /= size * n if valid is None else valid.sum()
     g_out = np.concatenate([np.einsum("tln,thn->lh", p, h, optimize=True) for h in (hf, hb)], axis=1)
     g_bias = p.sum(axis=(0, 2))[:, None]
     tables, inners = [], []
@@ -184,6 +205,8 @@ def _gradients(net: Network, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
         seen_x, seen_g = [], []
         for t, z, c, h, rh in reversed(kept):
             d = back + w @ p[t]
+            if valid is not None:
+                d *= valid[t]
             r, u = z[:half], z[half:]
             stack[2 * half :] = d * (1 - u) * (1 - c * c)
             d_rh = cand.T @ stack[2 * half :]
@@ -203,14 +226,13 @@ def _gradients(net: Network, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
 
 
 def fit(docs: DataFrame, documents: int = DOCUMENTS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network:
-    """Train on a bounded sample (smallest hashes of ids) of rows that are not held out and have a language.
+    """Train on a bounded sample (smallest hashes of distinct ids) of rows that are not held out and have a language.
 
-    Of each sampled text, evenly spaced windows come to the driver.
+    Of each sampled text, evenly spaced windows come to the driver; of the rows of one id, one does.
     """
     span = WINDOW * WINDOWS
-
     usable = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & (fold(id_col, HELD_OUT_FOLDS) != HELD_OUT))
-    ids = F.broadcast(usable.select(F.col(id_col).alias("id")).orderBy(F.xxhash64("id"), "id").limit(documents))  # bounded by the limit
+    ids = F.broadcast(usable.select(F.col(id_col).alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(documents))  # bounded by the limit
     read = usable.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(ids, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +246,9 @@ def fit(docs: DataFrame, documents: int = DOCUMENTS, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("lang"), pa.array(picked, pa.binary())], names=["id", "lang", "bytes"])
 
     kind = read.schema["id"].dataType.simpleString()
-    got = read.select("id", "lang", "text").mapInArrow(run, f"id {kind}, lang string, bytes binary").toArrow().sort_by([("id", "ascending"), ("bytes", "ascending")])
+    found = read.select("id", "lang", "text").mapInArrow(run, f"id {kind}, lang string, bytes binary")
+    one = found.groupBy("id").agg(F.min(F.struct("lang", "bytes")).alias("x")).select("id", "x.lang", "x.bytes")
+    got = one.toArrow().sort_by("id")
     return train(got["bytes"].to_pylist(), got["lang"].to_pylist())
 
 
@@ -252,6 +276,6 @@ def language(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_
     A null text, or one without a letter, is ``und`` with score 0; so is everything
     if no row has a language to learn from. Rows whose crc32(doc_id) mod 3 is 1 are
     held out of training. Ties go to the first language by name. Repeated rows are
-    judged alike; other columns are not looked at; an empty table gives an empty result.
+    judged alike, and of the rows of one id at most one is learnt from; other columns are not looked at; an empty table gives an empty result.
     """
     return predict(docs, fit(docs, id_col=id_col, text_col=text_col, lang_col=lang_col), id_col, text_col)
