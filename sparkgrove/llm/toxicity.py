@@ -24,8 +24,8 @@ from sparkgrove.llm.common import fold, steps, texts
 WORD = re.compile(r"[^\W_]+")
 #: Documented bounds of the training sample, of positives and of unlabelled rows.
 POSITIVES, UNLABELLED = 3_000, 12_000
-#: Words of the model: those most surely more common among positives than among unlabelled rows.
-VOCABULARY, LEAST_POSITIVES, LEAST_Z = 6_000, 3, 3.0
+#: Words of the model: those whose frequency among positives most surely differs from that among unlabelled rows, either way.
+VOCABULARY, LEAST_ROWS, LEAST_Z = 6_000, 3, 3.0
 THRESHOLD, HELD_OUT_FOLDS, HELD_OUT = 0.3, 4, 2
 
 
@@ -76,7 +76,7 @@ def train_nnpu(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior:
     fp[np.searchsorted(keys, kp)], fu[np.searchsorted(keys, ku)] = np_, nu
     pp, pu = fp / len(positives), fu / len(unlabelled)
     z = (pp - pu) / np.sqrt(pu * (1 - pu) / len(positives) + pp * (1 - pp) / len(positives) + 1e-4 / len(positives))
-    z[(fp < LEAST_POSITIVES) | (pp <= pu)] = 0
+    z = np.abs(np.where(fp + fu < LEAST_ROWS, 0, z))
     words = np.sort(keys[np.lexsort((keys, -z))[: min(VOCABULARY, int((z >= LEAST_Z).sum()))]])
 
     def flat(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -108,11 +108,11 @@ def train_nnpu(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior:
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, prior: float | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Scorer:
-    """Train on a bounded sample (smallest hashes of ids) of the rows that are not held out.
+    """Train on a bounded sample (smallest hashes of distinct ids) of the rows that are not held out.
 
     The prior is the share of toxic rows among the labelled ones unless given, kept
     within 0.001 and 0.5. Labels of null id or null value are not used; of several
-    labels of an id the toxic one counts.
+    labels of an id the toxic one counts, and of several texts of an id one does.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (fold(id_col, HELD_OUT_FOLDS) != HELD_OUT)).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     if prior is None:
@@ -122,18 +122,19 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, prior: float |
     lot = F.xxhash64("id")
     ids = docs.where(F.col(id_col).isNotNull() & (fold(id_col, HELD_OUT_FOLDS) != HELD_OUT)).select(F.col(id_col).alias("id"))
     a = known.where("y = 1").select("id", F.lit(True).alias("positive")).orderBy(lot, "id").limit(positives)
-    b = ids.select("id", F.lit(False).alias("positive")).orderBy(lot, "id").limit(unlabelled)
+    b = ids.distinct().select("id", F.lit(False).alias("positive")).orderBy(lot, "id").limit(unlabelled)
     chosen = F.broadcast(a.unionByName(b))  # bounded by the two limits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in steps(batches, "text"):
-            rows = [np.array(word_hashes(t), np.int64) for t in texts(part, "text")]
+            rows = [np.sort(np.array(word_hashes(t), np.uint32)) for t in texts(part, "text")]
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("positive"), pa.array([r.tobytes() for r in rows], pa.binary())], names=["id", "positive", "words"])
 
     read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id").select("id", "positive", "text")
     kind = read.schema["id"].dataType.simpleString()
-    got = read.mapInArrow(run, f"id {kind}, positive boolean, words binary").toArrow().sort_by("id")
-    rows = [(p, np.frombuffer(w, np.int64)) for p, w in zip(got["positive"].to_pylist(), got["words"].to_pylist(), strict=True)]
+    found = read.mapInArrow(run, f"id {kind}, positive boolean, words binary")
+    got = found.groupBy("id", "positive").agg(F.min("words").alias("words")).toArrow().sort_by([("id", "ascending"), ("positive", "ascending")])
+    rows = [(p, np.frombuffer(w, np.uint32).astype(np.int64)) for p, w in zip(got["positive"].to_pylist(), got["words"].to_pylist(), strict=True)]
     return train_nnpu([w for p, w in rows if p], [w for p, w in rows if not p], prior)
 
 
@@ -155,15 +156,19 @@ def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: st
     """doc_id, held_out, score (0 to 1), predicted (1 from a score of 0.3): one row per input row.
 
     A null text is empty; an empty text has the score of the bias. Rows whose
-    crc32(doc_id) mod 4 is 2 are held out of training. Repeated rows are scored alike;
-    other columns of either table are not looked at; an empty table gives an empty
+    crc32(doc_id) mod 4 is 2 are held out of training. Repeated rows are scored alike, and
+    of the rows of one id at most one is learnt from as such; other columns of either table are not looked at; an empty table gives an empty
     result, and without labels every score is the prior.
     """
     return score(docs, fit(spark, docs, labels, id_col=id_col, text_col=text_col), id_col, text_col)
 
 
 def clean(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, with all their columns."""
+    """The rows of ``docs`` that are not predicted toxic, with all their columns.
+
+    Null, empty, long and repeated rows fare as in :func:`toxicity`; an empty table gives
+    an empty result, and columns of any other name are handed on.
+    """
     scorer = fit(spark, docs, labels, id_col=id_col, text_col=text_col)
     edge = float(np.log(THRESHOLD / (1 - THRESHOLD)))
 
