@@ -1,8 +1,11 @@
 """URL filter: explicit rules first, then gradient-boosted trees on lexical features, in numpy.
 
 The trees see only shape: lengths, depth, digit ratio, entropy, parameter counts,
-hyphens, and how often training URLs of the same host suffix were bad. They are
-grown on histograms of quantile bins with Newton leaf values of the logistic loss.
+hyphens, and how often training URLs of the same host suffix and first folder were
+bad. They are grown on histograms of quantile bins with Newton leaf values of the
+logistic loss. They learn from a table of labelled URLs; without one, a rule's block
+labels a URL as bad and all else as good, so that the trees carry the rules over to
+URLs of the same shape.
 """
 
 from __future__ import annotations
@@ -20,8 +23,6 @@ from pyspark.sql import functions as F
 
 #: (action, rule); a rule is a host and a path prefix.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
-#: Words of a host that label a training URL as bad. The trees never see them.
-BAD_WORDS = frozenset("adult ads bets casino pills porn spam viagra warez xxx".split())
 #: Documented bound of the training sample.
 TRAINING_URLS = 20_000
 THRESHOLD = 0.5
@@ -71,6 +72,11 @@ def _entropy(s: str) -> float:
 FEATURES = ("url_length", "host_length", "path_length", "host_depth", "path_depth", "digit_ratio", "host_digits", "hyphens", "host_entropy", "path_entropy", "parameters", "query_length", "longest_label", "other_characters", "suffix_rate")
 
 
+def suffix(host: str, path: str) -> str:
+    """The last label of a host and the first folder of a path."""
+    return f"{host.rpartition('.')[2]}/{path[1:].partition('/')[0] if path.count('/') > 1 else ''}"
+
+
 def features(url: str | None, suffix_rate: dict[str, float], usual: float) -> list[float]:
     """The lexical features of one URL."""
     url = url or ""
@@ -81,7 +87,7 @@ def features(url: str | None, suffix_rate: dict[str, float], usual: float) -> li
     return [
         len(url), len(host), len(path), len(labels), path.count("/"), digits / max(1, len(url)), sum(c.isdigit() for c in host),
         host.count("-"), _entropy(host), _entropy(path), query.count("=") , len(query), max(map(len, labels)),
-        sum(not (c.isalnum() or c in "-._~:/?#=&%") for c in url), suffix_rate.get(labels[-1], usual),
+        sum(not (c.isalnum() or c in "-._~:/?#=&%") for c in url), suffix_rate.get(suffix(host, path), usual),
     ]
 
 
@@ -89,7 +95,7 @@ def features(url: str | None, suffix_rate: dict[str, float], usual: float) -> li
 class Boosted:
     """Trees as arrays of (feature, threshold, left, right, value); a leaf has feature -1."""
 
-    base: float = 0.0
+    base: float = -2.0
     trees: list[np.ndarray] = field(default_factory=list)
     suffix_rate: dict[str, float] = field(default_factory=dict)
     usual: float = 0.0
@@ -118,13 +124,13 @@ class Boosted:
 
 
 def train(urls: list[str | None], bad: np.ndarray, trees: int = 40, depth: int = 3, rate: float = 0.3, bins: int = 32, ridge: float = 1.0) -> Boosted:
-    """Boost logistic trees on labelled URLs; without any, every score is one half."""
+    """Boost logistic trees on labelled URLs; without any, no URL reaches the threshold."""
     if not len(urls):
         return Boosted()
     y = np.asarray(bad, np.float64)
     usual = float(y.mean())
-    suffix = [split_url(u)[0].rpartition(".")[2] for u in urls]
-    seen, wrong = Counter(suffix), Counter(s for s, b in zip(suffix, y, strict=True) if b)
+    suffixes = [suffix(*split_url(u)) for u in urls]
+    seen, wrong = Counter(suffixes), Counter(s for s, b in zip(suffixes, y, strict=True) if b)
     model = Boosted(float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))), [], {s: (wrong[s] + 20 * usual) / (n + 20) for s, n in seen.items()}, usual)
     x = np.array([features(u, model.suffix_rate, usual) for u in urls], np.float64)
     edges = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1], method="lower")) for c in x.T]
@@ -164,24 +170,31 @@ def train(urls: list[str | None], bad: np.ndarray, trees: int = 40, depth: int =
     return model
 
 
-def labelled(pages: DataFrame, url_col: str = "url", most: int = TRAINING_URLS) -> tuple[list[str], np.ndarray]:
-    """A bounded sample of distinct URLs (smallest hashes), labelled bad by the words of their hosts."""
-    rows = pages.where(F.col(url_col).isNotNull()).select(F.col(url_col).alias("url")).distinct().orderBy(F.xxhash64("url"), "url").limit(most).collect()
-    urls = [r["url"] for r in rows]
-    return urls, np.array([not BAD_WORDS.isdisjoint(re.split(r"[^a-z]+", split_url(u)[0])) for u in urls], bool)
+def labelled(pages: DataFrame, labels: DataFrame | None = None, rules: tuple[tuple[str, str], ...] = RULES, url_col: str = "url", label_col: str = "bad", most: int = TRAINING_URLS) -> tuple[list[str], np.ndarray]:
+    """A bounded sample of distinct URLs (smallest hashes), and whether each is bad.
+
+    ``labels`` has a URL and a label a row; of several labels of a URL the largest counts, a
+    null in either column is not used. Without that table a URL of ``pages`` is bad if the
+    rule that fits it blocks.
+    """
+    given = pages if labels is None else labels.where(F.col(label_col).isNotNull())
+    found = given.where(F.col(url_col).isNotNull()).select(F.col(url_col).alias("url"), (F.lit(0) if labels is None else F.col(label_col).cast("int")).alias("bad"))
+    rows = found.groupBy("url").agg(F.max("bad").alias("bad")).orderBy(F.xxhash64("url"), "url").limit(most).collect()  # bounded by the limit
+    known, urls = Rules(rules), [r["url"] for r in rows]
+    bad = [known.match(*split_url(u))[1] == "block" for u in urls] if labels is None else [r["bad"] > 0 for r in rows]
+    return urls, np.array(bad, bool)
 
 
-def judge_urls(spark: SparkSession, pages: DataFrame, model: Boosted | None = None, rules: tuple[tuple[str, str], ...] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge_urls(spark: SparkSession, pages: DataFrame, model: Boosted | None = None, rules: tuple[tuple[str, str], ...] = RULES, labels: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict, score: one row per input row.
 
     The rule decides where one fits, else the trees do (block from a score of 0.5).
     A null URL, or one without ``://``, has an empty host and path, fits no rule and is
-    scored as it is. Without a model one is trained on :func:`labelled` URLs of the
-    table itself. Repeated rows are judged alike; other columns are not looked at; an
+    scored as it is. Without a model one is trained on :func:`labelled` URLs. Repeated rows are judged alike; other columns are not looked at; an
     empty table gives an empty result.
     """
     if model is None:
-        model = train(*labelled(pages, url_col))
+        model = train(*labelled(pages, labels, rules, url_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Rules(rules)
