@@ -17,8 +17,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NON_SPACE = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one step of an Arrow operator takes at once (a longer text goes alone).
 STEP_BYTES = 1 << 20
-#: A side of a join is broadcast up to this many rows of a few numbers; beyond it, it is shuffled.
-BROADCAST_ROWS = 500_000
+#: A side of a join is broadcast up to this many rows and bytes of its strings; beyond it, it is shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32 << 20
 
 _own: dict[str, str] = {}
 
@@ -46,10 +46,10 @@ class Scratch:
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         atexit.register(self.drop)
 
-    def table(self, df: DataFrame, name: str, **options: str) -> DataFrame:
-        """``df`` written as Parquet and read again with its own schema."""
+    def table(self, df: DataFrame, name: str, partition: str | None = None, **options: str) -> DataFrame:
+        """``df`` written as Parquet, in folders by ``partition`` (the last column) if given, and read again with its own schema."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").options(**options).parquet(path)
+        df.write.mode("overwrite").options(**options).parquet(path, partitionBy=partition)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str | None = None) -> None:
@@ -74,12 +74,14 @@ def fold(column: str | Column, parts: int) -> Column:
 
 
 def few(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``limit`` rows; reads no more than that."""
-    return df.limit(limit + 1).count() <= limit
+    """Whether ``df`` has at most ``limit`` rows, and its strings ``BROADCAST_BYTES``; reads no more rows than that."""
+    wide = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    got = df.limit(limit + 1).agg(F.count("*").alias("n"), *[F.sum(w).alias(f"w{k}") for k, w in enumerate(wide)]).first()
+    return got["n"] <= limit and sum(got[f"w{k}"] or 0 for k in range(len(wide))) <= BROADCAST_BYTES
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if its counted size allows; else as it is, to be shuffled."""
+    """``df`` (numbers and strings) marked for broadcast if its measured size allows; else as it is, to be shuffled."""
     return F.broadcast(df) if few(df, limit) else df
 
 

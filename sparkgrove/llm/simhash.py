@@ -10,6 +10,10 @@ Within the buckets no pair is listed. For r = 2 a fingerprint sends itself and i
 one-bit variants (only over bits its table hides) to centres; two fingerprints are
 within two bits exactly when they share a centre, and a centre has at most 65
 members. Rows thus grow in proportion to fingerprints, however full a bucket is.
+
+A Jaccard similarity of 0.8 lets fingerprints differ in some ten bits, for which masks
+would need over a thousand tables. The near-dedup by similarity therefore starts from
+the covered pairs and finds the others by prefixes of the shingle sets, which miss none.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkgrove.llm.common import Scratch, small, steps, texts
 from sparkgrove.llm.components import components
@@ -50,18 +55,12 @@ def _ones(bits: np.ndarray) -> np.ndarray:
     return total
 
 
-def word_views(docs: list[bytes], seeds: tuple[int, ...]) -> np.ndarray:
-    """(texts x seeds) unsigned SimHashes of single words: the fingerprints of width 1 with these seeds.
-
-    Every distinct word of the list is hashed once.
-    """
-    number: dict[bytes, int] = {}
-    put = number.setdefault
-    tokens = [np.array([put(w, len(number)) for w in d.lower().split()], np.int64) for d in docs]
-    raw = np.array([[xxhash.xxh64_intdigest(w, s) for s in seeds] for w in number], np.uint64).reshape(len(number), len(seeds))
-    bits = np.unpackbits(raw.astype(">u8").view(np.uint8), axis=1) if len(number) else np.zeros((0, 64 * len(seeds)), np.uint8)
-    major = np.array([2 * _ones(bits[t]) > len(t) for t in tokens], bool).reshape(len(docs), 64 * len(seeds))
-    return np.packbits(major, axis=1).view(">u8").astype(np.uint64).reshape(len(docs), len(seeds))
+def majority(raw: np.ndarray) -> int:
+    """The bits that are set in over half the rows of (n x 8 bytes), as an unsigned number; zero without rows."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(raw), 1 << 14):
+        ones += _ones(np.unpackbits(raw[k : k + (1 << 14)], axis=1))
+    return int.from_bytes(np.packbits(2 * ones > len(raw)).tobytes(), "big")
 
 
 def fingerprints(docs: list[bytes], width: int = 3, seed: int = SEED) -> np.ndarray:
@@ -76,17 +75,9 @@ def fingerprints(docs: list[bytes], width: int = 3, seed: int = SEED) -> np.ndar
         before = len(hashes)
         hashes.extend(map(digest, shingles))
         counts[i] = len(hashes) - before
-    out = np.zeros(len(docs), np.uint64)
-    full = np.flatnonzero(counts)
-    if len(full):
-        raw = np.frombuffer(b"".join(hashes), np.uint8).reshape(-1, 8)
-        starts = np.concatenate(([0], np.cumsum(counts[full])[:-1]))
-        ones = np.empty((len(full), 64), np.int64)
-        for j, (s, n) in enumerate(zip(starts.tolist(), counts[full].tolist(), strict=True)):
-            ones[j] = _ones(np.unpackbits(raw[s : s + n], axis=1))
-        major = 2 * ones > counts[full][:, None]
-        out[full] = np.packbits(major, axis=1).view(">u8").ravel().astype(np.uint64)
-    return out
+    raw = np.frombuffer(b"".join(hashes), np.uint8).reshape(-1, 8)
+    ends = np.cumsum(counts).tolist()
+    return np.array([majority(raw[end - n : end]) for end, n in zip(ends, counts.tolist(), strict=True)], np.uint64)
 
 
 def fingerprint_table(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -97,8 +88,8 @@ def fingerprint_table(docs: DataFrame, width: int = 3, id_col: str = "doc_id", t
             fp = fingerprints(texts(part, "text"), width).view(np.int64)
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(fp)], names=["id", "fp"])
 
-    chosen = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    return chosen.mapInArrow(run, "id bigint, fp bigint")
+    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return chosen.mapInArrow(run, f"id {chosen.schema['id'].dataType.simpleString()}, fp bigint")
 
 
 def links(spark: SparkSession, scratch: Scratch, prints: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -125,8 +116,8 @@ def simhash_components(spark: SparkSession, docs: DataFrame, width: int = 3, rad
 
     A null or word-less text has the fingerprint zero and links like any other. Rows
     that repeat an id or text keep their own output row. Null ids get a component but
-    name none, unless a component has no other id. Empty tables give empty results;
-    other columns are not looked at.
+    name none, unless a component has no other id. Ids may be of any type that has an
+    order. Empty tables give empty results; other columns are not looked at.
     """
     scratch = Scratch(spark, "simhash")
     prints = scratch.table(fingerprint_table(docs, width, id_col, text_col), "prints")
@@ -148,12 +139,33 @@ SAMPLED_TEXTS, COMMON_TEXTS, MOST_COMMON = 20_000, 3, 200_000
 BLOCK_TEXTS = 4_000
 
 
-def shingle_set(text: bytes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles of ``WIDTH`` words; a shorter text is one shingle."""
+def shingle_hashes(text: bytes) -> bytes:
+    """64-bit hashes of the shingles of ``WIDTH`` words in order, repeats included; a shorter text is one shingle."""
     digest, join = partial(xxhash.xxh64_digest, seed=SEED), b" ".join
     words = text.lower().split()
     shingles = map(join, zip(*(words[k:] for k in range(WIDTH)), strict=False)) if len(words) >= WIDTH else [join(words)] if words else []
-    return np.unique(np.frombuffer(b"".join(map(digest, shingles)), np.int64))
+    return b"".join(map(digest, shingles))
+
+
+def shingle_set(text: bytes) -> np.ndarray:
+    """Sorted distinct shingle hashes of a text."""
+    return np.unique(np.frombuffer(shingle_hashes(text), np.int64))
+
+
+def set_digest(shingles: np.ndarray) -> bytes | None:
+    """Texts of equal sets have equal digests; a word-less text has none."""
+    return xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None
+
+
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """The parity of the number of shingles in each of two to four times as many bins, as signed 64-bit words.
+
+    Where two sets' parities differ, one has a shingle that the other lacks: differing
+    bins never outnumber the shingles that are in one set only.
+    """
+    bins = 1 << max(8, (2 * len(shingles) - 1).bit_length())
+    odd = np.bincount((shingles.view(np.uint64) & np.uint64(bins - 1)).astype(np.int64), minlength=bins) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
 def prefix_sizes(n: int) -> tuple[int, int]:
@@ -178,14 +190,14 @@ def prefix(shingles: np.ndarray, common: np.ndarray, ranks: np.ndarray) -> np.nd
 
 
 def _shingle_sets(docs: DataFrame) -> DataFrame:
-    """(id, shingles) of every text."""
+    """(same, shingles) of every text that has words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in steps(batches, "text"):
-            sets = [shingle_set(t) for t in texts(part, "text")]
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
+            sets = [x for t in texts(part, "text") if len(x := shingle_set(t))]
+            yield pa.RecordBatch.from_arrays([pa.array(map(set_digest, sets), pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["same", "shingles"])
 
-    return docs.mapInArrow(run, "id bigint, shingles array<bigint>")
+    return docs.select("text").mapInArrow(run, "same binary, shingles array<bigint>")
 
 
 def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -194,7 +206,7 @@ def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     Only the order of shingles depends on them, no result does.
     """
     share = min(1.0, SAMPLED_TEXTS / max(1, docs.count()))
-    sample = docs.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)))
     counted = _shingle_sets(sample).select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON_TEXTS)
     got = counted.orderBy(F.desc("n"), "s").limit(MOST_COMMON).toArrow()
     found = got.column("s").to_numpy()
@@ -202,16 +214,22 @@ def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return found[order], (len(found) - order).astype(np.int64)
 
 
-def _prefixes(docs: DataFrame, common: np.ndarray, ranks: np.ndarray) -> DataFrame:
-    """(id, n, same, keys): size, digest and prefix of the shingles of each text that has any."""
+def _prints(docs: DataFrame, common: np.ndarray, ranks: np.ndarray) -> DataFrame:
+    """(id, n, same, fp, parity, keys) of each text that has words: size, digest, SimHash, parities and prefix of its shingles."""
+    kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in steps(batches, "text"):
-            sets = [shingle_set(t) for t in texts(part, "text")]
-            columns = [part.column("id"), pa.array(map(len, sets), pa.int32()), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array([prefix(x, common, ranks) if len(x) else x for x in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "same", "keys"]).filter(pa.array([len(x) > 0 for x in sets], pa.bool_()))
+            raw = [np.frombuffer(shingle_hashes(t), np.uint8).reshape(-1, 8) for t in texts(part, "text")]
+            sets = [np.unique(x.view(np.int64)) for x in raw]
+            worded = pa.array([len(x) > 0 for x in sets], pa.bool_())
+            columns = [
+                part.column("id"), pa.array(map(len, sets), pa.int32()), pa.array(map(set_digest, sets), pa.binary()), pa.array([signed(majority(x)) for x in raw], pa.int64()),
+                pa.array(map(parities, sets), pa.list_(pa.int64())), pa.array([prefix(x, common, ranks) if len(x) else x for x in sets], pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "same", "fp", "parity", "keys"]).filter(worded)
 
-    return docs.mapInArrow(run, "id bigint, n int, same binary, keys array<bigint>")
+    return docs.mapInArrow(run, f"id {kind}, n int, same binary, fp bigint, parity array<bigint>, keys array<bigint>")
 
 
 def _may_be_alike(na: Column, pa_: Column, nb: Column, pb: Column) -> Column:
@@ -221,74 +239,158 @@ def _may_be_alike(na: Column, pa_: Column, nb: Column, pb: Column) -> Column:
     return behind * (num + den) >= (na + nb).cast("bigint") * num
 
 
-def _alike(scratch: Scratch, docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
-    """The pairs (a, b) whose whole shingle sets reach the similarity."""
-    pairs = scratch.table(pairs.distinct(), f"{name}_pairs")
-    ids = scratch.table(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), f"{name}_ids")
-    sets = scratch.table(_shingle_sets(docs.join(small(ids), "id")), f"{name}_sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    found = both.where(common * (SIMILARITY.numerator + SIMILARITY.denominator) >= (F.size("sa") + F.size("sb")) * SIMILARITY.numerator).select("a", "b")
-    found = scratch.table(found, f"{name}_alike")
-    for part in ("pairs", "ids", "sets"):
-        scratch.drop(f"{name}_{part}")
-    return found
+def _apart(x: Column, y: Column) -> Column:
+    """The number of bins whose parities differ, in the bins of the smaller of the two (half as many at least)."""
+
+    def fitted(a: Column, b: Column) -> Column:
+        half = F.size(b)
+        return F.when(F.size(a) > half, F.zip_with(F.slice(a, F.lit(1), half), F.slice(a, half + 1, half), lambda p, q: p.bitwiseXOR(q))).otherwise(a)
+
+    return F.aggregate(F.zip_with(fitted(x, y), fitted(y, x), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, k: s + k)
+
+
+class _Near:
+    """The tables of one search for near-duplicates. Texts of equal sets are one node, numbered by its first row."""
+
+    def __init__(self, spark: SparkSession, docs: DataFrame, id_col: str, text_col: str) -> None:
+        self.spark, self.scratch = spark, Scratch(spark, "near")
+        self.docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+        # rows are numbered as they are written, so that their numbers hold from then on
+        self.prints = self.scratch.table(_prints(self.docs, *_common(self.docs)).withColumn("row", F.monotonically_increasing_id()), "prints")
+        self.repeated = self.scratch.table(self.prints.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id"), "repeated")
+        first = self.prints.groupBy("same").agg(F.min("row").alias("first"), F.count("*").alias("c")).where("c > 1").select("same", "first")
+        first = self.scratch.table(first, "first")
+        self.twins = self.scratch.table(self.prints.select("row", "same").join(small(first), "same").where("row <> first").select("row", "first"), "twins")
+        self.nodes = self.prints.join(small(self.twins.select("row")), "row", "left_anti")
+
+    def alike(self, pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs (a, b) of nodes whose whole shingle sets reach the similarity."""
+        num, den = SIMILARITY.numerator, SIMILARITY.denominator
+        pairs = self.scratch.table(pairs.distinct(), f"{name}_pairs")
+        facts = self.prints.select("row", "n", "parity")
+        seen = pairs.join(facts.toDF("a", "na", "pa"), "a").join(facts.toDF("b", "nb", "pb"), "b")
+        total = (F.col("na") + F.col("nb")).cast("bigint")
+        # sets with k shingles in one of them only have (na + nb - k) / 2 in common
+        close = self.scratch.table(seen.where((total - _apart(F.col("pa"), F.col("pb"))) * (num + den) >= 2 * num * total).select("a", "b"), f"{name}_close")
+        self.scratch.drop(f"{name}_pairs")
+        wanted = close.select(F.col("a").alias("row")).union(close.select("b")).distinct()
+        wanted = self.scratch.table(self.prints.select("row", "id", "same").join(small(self.scratch.table(wanted, f"{name}_rows")), "row"), f"{name}_wanted")
+        ids = wanted.select(F.col("id").alias("__id")).distinct()
+        sets = _shingle_sets(self.docs.join(small(self.scratch.table(ids, f"{name}_ids")), F.col("id").eqNullSafe(F.col("__id")), "left_semi"))
+        sets = sets.join(small(wanted.select("row", "same")), "same").select("row", "shingles")
+        if not self.repeated.isEmpty():  # else each row is read once
+            sets = sets.dropDuplicates(["row"])
+        sets = self.scratch.table(sets, f"{name}_sets")
+        both = close.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+        found = both.where(F.size(F.array_intersect("sa", "sb")) * (num + den) >= (F.size("sa") + F.size("sb")) * num).select("a", "b")
+        found = self.scratch.table(found, f"{name}_alike")
+        for part in ("close", "rows", "wanted", "ids", "sets"):
+            self.scratch.drop(f"{name}_{part}")
+        return found
+
+    def groups(self, name: str, *parts: DataFrame) -> DataFrame:
+        """(node, root) of the components of all links (a, b)."""
+        every = parts[0]
+        for other in parts[1:]:
+            every = every.union(other)
+        return self.scratch.table(components(self.spark, every), name)
+
+    def apart_yet(self, pairs: DataFrame, groups: DataFrame) -> DataFrame:
+        """The pairs (a, b) that no group holds together."""
+        a, b = small(groups.toDF("a", "ra")), small(groups.toDF("b", "rb"))
+        return pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+
+    def by_fingerprint(self) -> DataFrame:
+        """Candidates (a, b) whose SimHashes differ in at most ``RADIUS`` bits: stars that join all of them."""
+        least = self.nodes.groupBy("fp").agg(F.min("row").alias("a"), F.count("*").alias("c"))
+        least = self.scratch.table(least, "least")
+        equal = self.nodes.select("fp", F.col("row").alias("b")).join(small(least.where("c > 1").select("fp", "a")), "fp").where("a <> b").select("a", "b")
+        near = links(self.spark, self.scratch, least).toDF("fa", "fb")
+        near = near.join(least.select(F.col("fp").alias("fa"), "a"), "fa").join(least.select(F.col("fp").alias("fb"), F.col("a").alias("b")), "fb").select("a", "b")
+        return equal.union(near)
+
+    def members(self) -> DataFrame:
+        """(row, id, same, root) of every row with near-duplicates; root is the number of its group."""
+        found = self.alike(self.by_fingerprint(), "fp")
+        groups = self.groups("by_fp", found)
+
+        # rows under shingles that two prefixes share; the smaller set of a pair needs the shorter prefix only
+        placed = self.nodes.select(F.col("row").alias("id"), "n", F.posexplode("keys").alias("pos", "key"))
+        lesser = F.col("pos") < F.col("n") - F.ceil(F.col("n") * F.lit(2 * SIMILARITY.numerator) / F.lit(SIMILARITY.numerator + SIMILARITY.denominator)) + 1
+        by_key = Window.partitionBy("key")
+        shared = placed.withColumn("lesser", lesser).withColumn("c", F.count("*").over(by_key)).withColumn("l", F.max("lesser").over(by_key)).where("c > 1 and l").select("key", "id", "n", "pos", "lesser", "c")
+        shared = self.scratch.table(shared, "shared")
+
+        # first each text with the central one of its shingles
+        central = self.scratch.table(shared.groupBy("id").agg(F.sum("c").alias("weight")), "central")
+        order = Window.partitionBy("key").orderBy(F.desc("weight"), "id")
+        hub = shared.join(small(central), "id").select("key", "id", "n", "pos", F.struct(*[F.first(c).over(order).alias(c) for c in ("id", "n", "pos")]).alias("o"))
+        hub = hub.where((F.col("id") != F.col("o.id")) & _may_be_alike(F.col("n"), F.col("pos"), F.col("o.n"), F.col("o.pos")))
+        found = self.alike(self.apart_yet(hub.select(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b")).distinct(), groups), "hub")
+        star = lambda g: g.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
+        groups = self.groups("by_hub", star(groups), found)
+
+        # then all others under a shingle, but for those of one group; crowded shingles are met in blocks
+        grouped = shared.join(small(groups), F.col("id") == F.col("node"), "left").select("key", "id", "n", "pos", "lesser", F.coalesce("root", "id").alias("root"), F.ceil(F.col("c") / BLOCK_TEXTS).cast("int").alias("blocks"))
+        grouped = self.scratch.table(grouped.withColumn("open", F.min("root").over(by_key) < F.max("root").over(by_key)).where("open").drop("open"), "grouped")
+        self.scratch.drop("shared")
+        one = grouped.where("lesser").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.struct("n", "id", "pos", "root").alias("x"))
+        other = grouped.select("key", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), F.struct("n", "id", "pos", "root").alias("y"))
+        ordered = F.struct("x.n", "x.id") < F.struct("y.n", "y.id")
+        met = one.join(other, ["key", "block"]).where(ordered & (F.col("x.root") != F.col("y.root")) & _may_be_alike(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos")))
+        rest = self.alike(met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")), "rest")
+        groups = self.groups("all", star(groups), rest, self.twins.select(F.col("first").alias("a"), F.col("row").alias("b")))
+        self.scratch.drop("grouped")
+        return self.scratch.table(self.prints.select("row", "id", "same").join(small(groups.select(F.col("node").alias("row"), "root")), "row"), "members")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, root) of every text that has near-duplicates; root is the smallest id of its group.
+    """(id, root) of every row that has near-duplicates; root is the smallest id of its group.
 
     Two texts link at a Jaccard similarity of ``SIMILARITY`` or more of their five-word
-    shingles; groups are the connected components. Prefixes find the candidates: in an order
-    of all shingles, common ones last, two such texts share one of their first (see
-    :func:`prefix_sizes`), so no pair is missed. Texts of equal sets stand for one another.
-    Under each shingle every text is first compared with the central one (the one with the
-    fullest shingles, as an original among its edited copies), then with every other that is
-    not in its group yet and whose size and place allow the similarity. Every link is verified
-    on the whole shingle sets. Ids must be distinct; null ids and word-less texts have no
-    near-duplicates. An empty table gives an empty result.
+    shingles; groups are the connected components. First come the pairs that the covering
+    masks bring together, SimHashes within ``RADIUS`` bits. That similarity allows far more
+    differing bits than masks can cover, so prefixes find the rest: in an order of all
+    shingles, common ones last, two such texts share one of their first (see
+    :func:`prefix_sizes`), so no pair is missed. Under each shingle every text is first
+    compared with the central one (the one with the fullest shingles, as an original among
+    its edited copies), then with every other that is not in its group yet and whose size and
+    place allow the similarity. Each candidate is weighed by its parities, which rule out most
+    that are not alike, and verified on the whole shingle sets. Word-less and null texts have
+    no near-duplicates. Ids of any type may be null or repeat; a null counts as the largest.
+    An empty table gives an empty result; other columns are not looked at.
     """
-    scratch = Scratch(spark, "near")
-    read = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    prints = scratch.table(_prefixes(read, *_common(read)), "prints")
-    twins = prints.groupBy("same").agg(F.min("id").alias("first"), F.count("*").alias("c")).where("c > 1")
-    twins = scratch.table(prints.select("id", "same").join(small(scratch.table(twins, "first")), "same").where("id <> first").select("id", "first"), "twins")
-    placed = prints.join(small(twins), "id", "left_anti").select("id", "n", F.posexplode("keys").alias("pos", "key"))
-    # the smaller text of a pair needs the shorter prefix only
-    lesser = F.col("pos") < F.col("n") - F.ceil(F.col("n") * F.lit(2 * SIMILARITY.numerator) / F.lit(SIMILARITY.numerator + SIMILARITY.denominator)) + 1
-    by_key = Window.partitionBy("key")
-    shared = placed.withColumn("lesser", lesser).withColumn("c", F.count("*").over(by_key)).withColumn("l", F.max("lesser").over(by_key)).where("c > 1 and l").select("key", "id", "n", "pos", "lesser", "c")
-    shared = scratch.table(shared, "shared")
-    scratch.drop("prints")
-
-    # first each text with the central one of its shingles
-    central = shared.groupBy("id").agg(F.sum("c").alias("weight"))
-    hub = shared.join(small(central), "id").select("key", "id", "n", "pos", F.struct(F.first("id").over(_central()).alias("id"), F.first("n").over(_central()).alias("n"), F.first("pos").over(_central()).alias("pos")).alias("o"))
-    hub = hub.where((F.col("id") != F.col("o.id")) & _may_be_alike(F.col("n"), F.col("pos"), F.col("o.n"), F.col("o.pos")))
-    alike = _alike(scratch, read, hub.select(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b")), "hub")
-    found = alike.union(twins.select(F.col("first").alias("a"), F.col("id").alias("b")))
-    groups = scratch.table(components(spark, found), "groups")
-
-    # then all others under a shingle, but for those of one group; crowded shingles are met in blocks
-    grouped = shared.join(small(groups), F.col("id") == F.col("node"), "left").select("key", "id", "n", "pos", "lesser", F.coalesce("root", "id").alias("root"), F.ceil(F.col("c") / BLOCK_TEXTS).cast("int").alias("blocks"))
-    grouped = scratch.table(grouped.withColumn("open", F.min("root").over(by_key) < F.max("root").over(by_key)).where("open").drop("open"), "grouped")
-    one = grouped.where("lesser").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.struct("n", "id", "pos", "root").alias("x"))
-    other = grouped.select("key", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), F.struct("n", "id", "pos", "root").alias("y"))
-    ordered = F.struct("x.n", "x.id") < F.struct("y.n", "y.id")
-    met = one.join(other, ["key", "block"]).where(ordered & (F.col("x.root") != F.col("y.root")) & _may_be_alike(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos")))
-    rest = _alike(scratch, read, met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")), "rest")
-    every = groups.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")).union(rest)
-    return components(spark, every).select(F.col("node").alias("id"), "root")
-
-
-def _central() -> Window:
-    return Window.partitionBy("key").orderBy(F.desc("weight"), "id")
+    found = _Near(spark, docs, id_col, text_col).members()
+    least = found.groupBy("root").agg(F.min("id").alias("least"))
+    return found.join(small(least), "root").select("id", F.col("least").alias("root"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` but for near-duplicates of a row with a smaller id; all columns stay.
 
-    Rows that share an id share its fate.
+    Of a group's rows with the smallest id one stays. Groups are those of
+    :func:`near_duplicates`, by text: rows that share an id are decided one by one.
     """
-    gone = near_duplicates(spark, docs, id_col, text_col).where("id <> root").select(F.col("id").alias("__sg_id"))
-    return docs.join(small(Scratch(spark, "near").table(gone, "gone")), F.col(id_col) == F.col("__sg_id"), "left_anti")
+    near = _Near(spark, docs, id_col, text_col)
+    found = near.members()
+    stays = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("s")).select(F.col("s.row").alias("row"))
+    gone = near.scratch.table(found.join(small(stays), "row", "left_anti").select("row", F.col("id").alias("__sg_id"), "same"), "gone")
+    here = F.col(id_col).eqNullSafe(F.col("__sg_id"))
+    if near.repeated.isEmpty():
+        return docs.join(small(gone.select("__sg_id")), here, "left_anti")
+    repeated = small(near.repeated.withColumnRenamed("id", "__sg_id"))
+    sure = docs.join(repeated, here, "left_anti").join(small(gone.select("__sg_id")), here, "left_anti")
+
+    # rows of a repeated id are told apart by their sets; equal ones are of one group, so at most one of them stays
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in steps(batches, text_col):
+            same = pa.array([set_digest(shingle_set(t)) for t in texts(part, text_col)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*part.columns, same], names=[*part.schema.names, "__sg_same"])
+
+    unsure = docs.join(repeated, here, "left_semi")
+    unsure = unsure.mapInArrow(run, T.StructType([*unsure.schema.fields, T.StructField("__sg_same", T.BinaryType())]))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    kept = near.prints.join(small(near.repeated), near.prints["id"].eqNullSafe(near.repeated["id"]), "left_semi").join(small(gone.select("row")), "row", "left_anti").select(F.col("id").alias("__sg_id"), F.col("same").alias("__sg_kept"))
+    alone = unsure.where("__sg_same is not null").groupBy(F.col(id_col).alias("__sg_own"), "__sg_same").agg(F.first(F.struct(*names)).alias("__sg_row"))
+    alone = alone.join(small(kept), F.col("__sg_own").eqNullSafe(F.col("__sg_id")) & (F.col("__sg_same") == F.col("__sg_kept")), "left_semi").select("__sg_row.*")
+    return sure.unionByName(unsure.where("__sg_same is null").select(*names)).unionByName(alone)

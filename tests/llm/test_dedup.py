@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkgrove.llm import components, exact_dedup, simhash
 
@@ -20,10 +21,11 @@ def frame(spark, rows):
 ROWS = [(1, "Abc"), (2, "aBC"), (3, None), (4, ""), (5, "É"), (6, "é"), (7, "long " * 40000), (8, "LONG " * 40000), (None, "abc"), (9, "solo"), (9, "solo"), (10, "solo"), (11, "two"), (11, "three")]
 
 
-@pytest.mark.parametrize("bits", [64, 2])
+@pytest.mark.parametrize(("bits", "fanout"), [(64, 128), (2, 2)])
 @pytest.mark.parametrize("keep", ["largest", "smallest"])
-def test_exact(spark, bits, keep):
-    got = exact_dedup.lsm_dedup(spark, frame(spark, ROWS), keep=keep, digest_bits=bits).collect()
+def test_exact(spark, bits, fanout, keep):
+    docs = frame(spark, ROWS).repartition(7)
+    got = exact_dedup.lsm_dedup(spark, docs, keep=keep, digest_bits=bits, fanout=fanout).collect()
     low = lambda t: (t or "").encode().lower()
     groups: dict[bytes, list] = {}
     for i, t in ROWS:
@@ -38,6 +40,35 @@ def test_exact(spark, bits, keep):
         assert [r["doc_id"] for r in rows if r["kept"]] == [best]
 
 
+def test_exact_matches_sql(spark):
+    import duckdb
+
+    docs = frame(spark, ROWS)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", ROWS)
+    names = ("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    want = sorted(map(str, con.execute(f"SELECT {', '.join(names)} FROM ({exact_dedup.SQL})").fetchall()))
+    assert sorted(str(tuple(r[c] for c in names)) for r in exact_dedup.lsm_dedup(spark, docs).collect()) == want
+
+
+def test_compaction_and_filter(spark):
+    from sparkgrove.llm.common import Scratch
+
+    rng = random.Random(3)
+    rows = [(run, rng.randrange(-60, 60) * (1 << 50), rng.randrange(1000)) for run in range(9) for _ in range(20)]
+    runs = spark.createDataFrame(rows, "run int, digest bigint, id bigint")
+    for fanout in (2, 3, 100):
+        got = {r["digest"]: (r["run"], r["n"], r["best"]) for r in exact_dedup.compact(Scratch(spark, "t"), runs, "smallest", fanout).collect()}
+        assert got == {d: (0, sum(x == d for _, x, _ in rows), min(i for _, x, i in rows if x == d)) for _, d, _ in rows}
+    bits = 1 << 13
+    keys = spark.range(300).selectExpr("xxhash64(id) AS digest")
+    words = exact_dedup.digest_filter(spark, keys, bits)
+    asked = spark.range(3000).selectExpr("id", "xxhash64(id) AS digest").crossJoin(words).select("id", exact_dedup.may_hold(F.col("words"), F.col("digest"), bits).alias("may")).collect()
+    assert all(r["may"] for r in asked if r["id"] < 300)
+    assert sum(r["may"] for r in asked if r["id"] >= 300) < 0.08 * 2700
+
+
 def test_kept_rows_have_their_columns(spark):
     docs = frame(spark, ROWS)
     kept = exact_dedup.keep_decided(spark, docs, exact_dedup.lsm_dedup(spark, docs))
@@ -99,13 +130,14 @@ def test_simhash_matches_brute_force(spark):
     assert sorted(((r["doc_id"] if r["doc_id"] is not None else -1), r["fingerprint"], r["component_id"]) for r in got) == want
 
 
-def test_word_views_are_fingerprints_of_width_one():
-    random.seed(2)
-    texts = [" ".join(random.choices("abcdefgh", k=n)).encode() for n in (0, 1, 5, 300, 700)]
-    got = simhash.word_views(texts, (42, 7))
-    for k, seed in enumerate((42, 7)):
-        assert got[:, k].tolist() == simhash.fingerprints(texts, 1, seed).tolist()
-    assert simhash.word_views([b"", b" "], (1, 2)).tolist() == [[0, 0], [0, 0]]
+def test_ids_may_be_strings_and_words_very_long(spark):
+    long = "y" * (3 << 20)
+    rows = [("b", "one two three four"), ("a", "One two THREE four"), ("z", long), ("c", long.upper()), (None, "other words entirely here")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.simhash_components(spark, docs).collect()}
+    assert got == {"b": "a", "a": "a", "z": "c", "c": "c", None: None}
+    assert simhash.majority(np.zeros((0, 8), np.uint8)) == 0
+    assert sorted((r["doc_id"] or "") for r in simhash.one_of_each(spark, docs).collect()) == ["", "a", "c"]
 
 
 def test_links_of_crowded_fingerprints(spark):
@@ -159,7 +191,7 @@ def plain_shingles(text):
 
 def plain_links(rows):
     """Every pair of ids at a Jaccard similarity of 0.8 or more, with its similarity."""
-    sets = [(i, plain_shingles(t)) for i, t in rows if i is not None]
+    sets = [(i, plain_shingles(t)) for i, t in rows]
     found = {}
     for k, (i, x) in enumerate(sets):
         for j, y in sets[:k]:
@@ -196,11 +228,12 @@ def test_near_duplicates_of_every_band(spark):
             if 100 * len(x & y) >= round(100 * low) * len(x | y):
                 near = new
         rows += [(k, " ".join(base)), (1000 + k, " ".join(near).upper())]
-    rows += [(5000, "a b c d e"), (5001, "A  b\tc d e"), (5002, "tiny"), (5003, "TINY"), (5004, "x y z " * 50), (5005, "x y z " * 90), (5006, ""), (5007, None), (None, "tiny")]
+    rows += [(5000, "a b c d e"), (5001, "A  b\tc d e"), (5002, "tiny"), (5003, "TINY"), (5004, "x y z " * 50), (5005, "x y z " * 90), (5006, ""), (5007, None), (9999, "tiny")]
     links = plain_links(rows)
     band = [sum(low <= s < high for s in links.values()) for low, high in ((0.80, 0.84), (0.84, 0.90), (0.90, 0.96))]
     assert min(band) >= 40
-    got = {r["id"]: r["root"] for r in simhash.near_duplicates(spark, frame(spark, rows)).collect()}
+    docs = frame(spark, [(None if i == 9999 else i, t) for i, t in rows])  # a null id is the largest
+    got = {9999 if r["id"] is None else r["id"]: r["root"] for r in simhash.near_duplicates(spark, docs).collect()}
     lost = [s for (i, j), s in links.items() if got.get(i) is None or got.get(i) != got.get(j)]
     assert not lost, sorted(lost)
     assert got == plain_roots(links)
@@ -227,3 +260,38 @@ def test_near_duplicates_in_crowded_shingles(spark, monkeypatch, block):
     assert sorted(links) == [(k, k + 1) for k in range(199)]
     got = {r["id"]: r["root"] for r in simhash.near_duplicates(spark, frame(spark, rows)).collect()}
     assert got == plain_roots(links)
+
+
+def test_differing_parities_never_outnumber_differing_shingles(spark):
+    rng, rows = np.random.default_rng(3), []
+    for n in (1, 5, 100, 127, 129, 700, 3000):
+        x = np.unique(rng.integers(-(1 << 63), 1 << 63, n))
+        for low in (0.8, 0.9, 1.0):
+            y = np.unique(np.concatenate((x[: max(1, int(low * len(x)))], rng.integers(-(1 << 63), 1 << 63, rng.integers(0, len(x) // 4 + 1)))))
+            if 2 * len(y) > len(x):
+                rows.append((len(np.setxor1d(x, y)), simhash.parities(x).tolist(), simhash.parities(y).tolist()))
+    got = spark.createDataFrame(rows, "differ int, x array<bigint>, y array<bigint>").select("differ", simhash._apart(F.col("x"), F.col("y")).alias("apart"), simhash._apart(F.col("y"), F.col("x")).alias("back")).collect()
+    assert all(r["apart"] == r["back"] <= r["differ"] for r in got)
+    assert all(r["apart"] > r["differ"] / 2 for r in got if r["differ"])
+
+
+def test_repeated_ids_are_decided_by_text(spark):
+    """One id with many texts, some of them near-duplicates: what exact dedup keeps under one id is not lost."""
+    rng = random.Random(12)
+    fresh = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    own = [fresh(12) for _ in range(300)]
+    base = fresh(40)
+    rows = [(7, t) for t in own] + [(7, base), (7, base + " x"), (8, base + " y"), (7, base.upper()), (7, ""), (7, None), (None, "alone here"), (9, own[0] + " z")]
+    kept = simhash.one_of_each(spark, frame(spark, rows)).collect()
+    assert sorted(r["text"] for r in kept if r["text"] in own) == sorted(own)
+    near = [r for r in kept if (r["text"] or "").lower().startswith(base)]
+    assert len(near) == 1 and near[0]["doc_id"] == 7
+    assert sorted(((r["doc_id"] is None, r["text"]) for r in kept if not r["text"] or r["text"] == "alone here"), key=str) == [(False, ""), (False, None), (True, "alone here")]
+    assert not [r for r in kept if r["doc_id"] == 9]
+    exact = exact_dedup.keep_decided(spark, frame(spark, [(11, "two"), (11, "three"), (10, "TWO")]), exact_dedup.lsm_dedup(spark, frame(spark, [(11, "two"), (11, "three"), (10, "TWO")])))
+    assert sorted(r["text"] for r in simhash.one_of_each(spark, exact).collect()) == ["three", "two"]
+
+
+def test_many_rows_of_one_id_and_text(spark):
+    docs = spark.range(3000).selectExpr("5L AS doc_id", "'a b c d e f g' AS text", "id AS n")
+    assert simhash.one_of_each(spark, docs).count() == 1
