@@ -57,6 +57,21 @@ class Scorer:
         return float(sigmoid(np.float64(self.logit(word_hashes(text)))))
 
 
+def corrected_risk(gp: np.ndarray, gu: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """(positive part, negative part, step directions) of the risk at logits of positives and unlabelled rows.
+
+    While the negative part is not below zero the directions are the derivatives of the
+    whole risk by each logit, else those of minus the negative part alone.
+    """
+    pos_plus, pos_minus, un_minus = -sigmoid(-gp) / len(gp), sigmoid(gp) / len(gp), sigmoid(gu) / len(gu)
+    rest = float(softplus(gu).mean() - prior * softplus(gp).mean())
+    if rest >= 0:
+        dp, du = prior * (pos_plus - pos_minus), un_minus
+    else:  # ascend on the part that went negative
+        dp, du = prior * pos_minus, -un_minus
+    return float(prior * softplus(-gp).mean()), rest, dp, du
+
+
 def train_nnpu(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 400, rate: float = 0.05, decay: float = 1e-4) -> Scorer:
     """Fit the scorer; rows are arrays of distinct word hashes.
 
@@ -93,13 +108,7 @@ def train_nnpu(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior:
     for t in range(1, rounds + 1):
         gp = b + np.bincount(rp, w[cp], minlength=n)
         gu = b + np.bincount(ru, w[cu], minlength=m)
-        # derivatives of softplus(-g) and softplus(g) by g
-        pos_plus, pos_minus, un_minus = -sigmoid(-gp) / n, sigmoid(gp) / n, sigmoid(gu) / m
-        rest = softplus(gu).mean() - prior * softplus(gp).mean()
-        if rest >= 0:
-            dp, du = prior * (pos_plus - pos_minus), un_minus
-        else:  # ascend on the part that went negative
-            dp, du = prior * pos_minus, -un_minus
+        _, _, dp, du = corrected_risk(gp, gu, prior)
         grad = np.append(np.bincount(cp, dp[rp], minlength=k)[:k] + np.bincount(cu, du[ru], minlength=k)[:k] + decay * w, dp.sum() + du.sum())
         mean, var = 0.9 * mean + 0.1 * grad, 0.999 * var + 0.001 * grad**2
         step = rate * (mean / (1 - 0.9**t)) / (np.sqrt(var / (1 - 0.999**t)) + 1e-8)
