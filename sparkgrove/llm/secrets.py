@@ -2,8 +2,8 @@
 
 Four patterns give candidates with their places. Of each candidate only the SHA-256 of
 its value is carried on. The hashes are aggregated over the corpus by distinct
-repository and owner: a value that many owners hold is a copied example, one that
-stays with few owners looks live. The three base kinds are always reported; of the
+repository and owner: a value that many owners or very many repositories hold is a
+copied example, one that stays with few looks live. The three base kinds are always reported; of the
 fourth kind, opaque tokens, only those that look live are.
 """
 
@@ -24,8 +24,8 @@ ASSIGN = "(" + "|".join([*map(_either, ("password", "passwd", "secret", "token")
 ACCESS, HEX = "AKIA[A-Z0-9]{12,}", "[0-9a-f]{32,}"
 OPAQUE = r"(gh[pousr]_|sk_live_|xox[abprs]-|glpat-|AIza|eyJ)[A-Za-z0-9_.-]{16,}|[A-Za-z0-9+/_=-]{24,}"
 KINDS = ("assign", "access", "hex", "opaque")
-#: Values held by this many owners or more are copied examples.
-COMMON_OWNERS = 3
+#: Values held by this many owners, or in this many repositories of any owners, or more are copied examples.
+COMMON_OWNERS, COMMON_REPOS = 3, 25
 
 
 def _candidates(text: Column, kind: int) -> Column:
@@ -51,14 +51,15 @@ def _candidates(text: Column, kind: int) -> Column:
     return F.when(may & F.rlike(text, pattern), F.slice(found, 1, F.size(found) - 1))
 
 
-def secret_spans(spark: SparkSession, docs: DataFrame, common_owners: int = COMMON_OWNERS, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source") -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_opaque, n_copied, most_owners: one row per input row.
+def secret_spans(spark: SparkSession, docs: DataFrame, common_owners: int = COMMON_OWNERS, common_repos: int = COMMON_REPOS, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source") -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_opaque, n_copied, most_owners, most_repos: one row per input row.
 
     A null text is empty and has no span; a null repository or owner counts as one of
     the empty name. Rows that repeat keep rows of their own, and their values count
-    once a repository and owner. ``n_copied`` counts spans whose value ``common_owners``
-    owners or more hold; ``most_owners`` is the greatest number of owners of a value
-    that is held so widely, else 0. An empty table gives an empty result; columns
+    once a repository and owner. ``n_copied`` counts spans whose value is held by
+    ``common_owners`` owners or in ``common_repos`` repositories, or more; ``most_owners``
+    and ``most_repos`` are the greatest numbers of either of a value that is held so
+    widely, else 0. A repository of one document makes every copy of a text a repository. An empty table gives an empty result; columns
     not named here are not looked at.
     """
     scratch = Scratch(spark, "secrets")
@@ -71,7 +72,7 @@ def secret_spans(spark: SparkSession, docs: DataFrame, common_owners: int = COMM
     held = found.where("fits").groupBy("value", "owner", "repo").agg(F.lit(1).alias("one"))
     by_owner = held.groupBy("value", "owner").agg(F.count("*").alias("repos"))
     owned = by_owner.groupBy("value").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
-    common = scratch.table(owned.where(F.col("owners") >= common_owners).select(F.col("value").alias("key"), "owners"), "common")
+    common = scratch.table(owned.where((F.col("owners") >= common_owners) | (F.col("repos") >= common_repos)).select(F.col("value").alias("key"), "owners", "repos"), "common")
 
     # rows without a candidate get a key of their own, so that they don't meet in one task
     keyed = found.withColumn("key", F.coalesce("value", F.col("row").cast("string").cast("binary")))
@@ -90,28 +91,28 @@ def secret_spans(spark: SparkSession, docs: DataFrame, common_owners: int = COMM
         F.collect_list(F.when(base | live, place)).alias("every"),
         F.count_if(live).alias("n_opaque"),
         F.count_if((base | live) & F.col("owners").isNotNull()).alias("n_copied"),
-        F.coalesce(F.max(F.when(base | live, F.col("owners"))), F.lit(0)).alias("most_owners"),
+        *[F.coalesce(F.max(F.when(base | live, F.col(c))), F.lit(0)).alias(f"most_{c}") for c in ("owners", "repos")],
     )
-    return rows.select(id_col, "n_assign", "n_access", "n_hex", F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("every")).alias("spans"), "n_opaque", "n_copied", "most_owners")
+    return rows.select(id_col, "n_assign", "n_access", "n_hex", F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("every")).alias("spans"), "n_opaque", "n_copied", "most_owners", "most_repos")
 
 
 def _sql_kind(kind: int) -> str:
     pattern = (ASSIGN, ACCESS, HEX, OPAQUE)[kind].replace("'", "''")
     fits = {0: "len(v) >= 8", 3: "regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]')"}.get(kind, "true")
-    return f"""SELECT row, owner, {kind} AS kind, i, len(g[i]) AS gap, len(w[i]) AS len, v[i] AS v FROM (
-      SELECT *, unnest(range(1, len(w) + 1)) AS i FROM (SELECT row, owner, regexp_extract_all(text, '{pattern}') AS w, regexp_extract_all(text, '{pattern}', {2 * (kind == 0)}) AS v, string_split_regex(text, '{pattern}') AS g FROM d))""", fits
+    return f"""SELECT row, repo, owner, {kind} AS kind, i, len(g[i]) AS gap, len(w[i]) AS len, v[i] AS v FROM (
+      SELECT *, unnest(range(1, len(w) + 1)) AS i FROM (SELECT row, repo, owner, regexp_extract_all(text, '{pattern}') AS w, regexp_extract_all(text, '{pattern}', {2 * (kind == 0)}) AS v, string_split_regex(text, '{pattern}') AS g FROM d))""", fits
 
 
 _parts = [_sql_kind(k) for k in range(len(KINDS))]
 #: DuckDB SQL for the result over ``documents``.
 SQL = f"""
-WITH d AS (SELECT doc_id, row_number() OVER () AS row, coalesce(source, '') AS owner, coalesce(text, '') AS text FROM documents),
+WITH d AS (SELECT doc_id, row_number() OVER () AS row, coalesce(doc_id::VARCHAR, '') AS repo, coalesce(source, '') AS owner, coalesce(text, '') AS text FROM documents),
 c AS ({' UNION ALL '.join(sql for sql, _ in _parts)}),
 f AS (SELECT *, sum(gap + len) OVER (PARTITION BY row, kind ORDER BY i) AS stop, CASE kind {' '.join(f'WHEN {k} THEN {fits}' for k, (_, fits) in enumerate(_parts))} END AS fits FROM c),
-o AS (SELECT v, count(DISTINCT owner) AS owners FROM f WHERE fits GROUP BY v HAVING count(DISTINCT owner) >= {COMMON_OWNERS}),
-j AS (SELECT row, kind, (stop - len)::BIGINT AS start, stop::BIGINT AS stop, owners, {list(KINDS)}[kind + 1] || ':' || (stop - len)::BIGINT || ':' || stop::BIGINT AS span FROM f LEFT JOIN o USING (v) WHERE fits AND (kind < 3 OR owners IS NULL)),
+o AS (SELECT v, count(DISTINCT owner) AS owners, count(DISTINCT (repo, owner)) AS repos FROM f WHERE fits GROUP BY v HAVING count(DISTINCT owner) >= {COMMON_OWNERS} OR count(DISTINCT (repo, owner)) >= {COMMON_REPOS}),
+j AS (SELECT row, kind, (stop - len)::BIGINT AS start, stop::BIGINT AS stop, owners, repos, {list(KINDS)}[kind + 1] || ':' || (stop - len)::BIGINT || ':' || stop::BIGINT AS span FROM f LEFT JOIN o USING (v) WHERE fits AND (kind < 3 OR owners IS NULL)),
 g AS (SELECT row, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
-  string_agg(span, ',' ORDER BY start, kind) FILTER (kind < 3) AS base, string_agg(span, ',' ORDER BY start, kind) AS spans, count(*) FILTER (kind = 3) AS n_opaque, count(owners) AS n_copied, max(owners) AS most_owners FROM j GROUP BY row)
-SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_opaque, 0) AS n_opaque, coalesce(n_copied, 0) AS n_copied, coalesce(most_owners, 0) AS most_owners
+  string_agg(span, ',' ORDER BY start, kind) FILTER (kind < 3) AS base, string_agg(span, ',' ORDER BY start, kind) AS spans, count(*) FILTER (kind = 3) AS n_opaque, count(owners) AS n_copied, max(owners) AS most_owners, max(repos) AS most_repos FROM j GROUP BY row)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_opaque, 0) AS n_opaque, coalesce(n_copied, 0) AS n_copied, coalesce(most_owners, 0) AS most_owners, coalesce(most_repos, 0) AS most_repos
 FROM d LEFT JOIN g USING (row)
 """
