@@ -3,9 +3,10 @@
 All texts of a step form one array of word numbers; numbers differ between texts, so
 nothing repeats across them. Prefix doubling sorts the suffixes, re-sorting only those
 not yet told apart, and keeps the ranks of each doubling. Longest common prefixes of
-neighbours come from these ranks by binary descent. A position's longest repeat is the
-greater of its two; the left-maximal ones are the maximal repeated substrings. The
-rules limit the fraction of a text that their spans cover together, and the longest.
+neighbours come from these ranks by binary descent. Intervals of suffixes with a longer
+common prefix than their surroundings, whose occurrences have different words before
+them, are the maximal repeated substrings. The rules limit the fraction of a text that
+their spans cover together, and the longest.
 """
 
 from __future__ import annotations
@@ -65,30 +66,77 @@ def suffix_ranks(ids: np.ndarray) -> list[np.ndarray]:
     return levels
 
 
-def longest_repeats(ids: np.ndarray) -> np.ndarray:
-    """For each position the length of the longest substring from it that occurs elsewhere too."""
+def neighbours(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix array, and the longest common prefix of each suffix with the next one in it."""
     n = len(ids)
-    longest = np.zeros(n, np.int64)
+    order, common = np.zeros(n, np.int64), np.zeros(max(n - 1, 0), np.int64)
     if n < 2:
-        return longest
+        return order, common
     levels = suffix_ranks(ids)
-    order = np.empty(n, np.int64)
     order[levels[-1]] = np.arange(n)
-    a, b = order[:-1], order[1:]
-    same = levels[0][a] == levels[0][b]
-    a, b = a[same], b[same]
-    common, i, j = np.zeros(len(a), np.int64), a.copy(), b.copy()
+    same = np.flatnonzero(levels[0][order[:-1]] == levels[0][order[1:]])
+    i, j = order[same], order[same + 1]
     for k in range(len(levels) - 1, -1, -1):
         equal = (i < n) & (j < n)
         equal[equal] = levels[k][i[equal]] == levels[k][j[equal]]
-        common += equal.astype(np.int64) << k
+        common[same] += equal.astype(np.int64) << k
         i += equal.astype(np.int64) << k
         j += equal.astype(np.int64) << k
-    np.maximum.at(longest, a, common)
-    np.maximum.at(longest, b, common)
+    return order, common
+
+
+def longest_repeats(order: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """For each position the length of the longest substring from it that occurs elsewhere too."""
+    longest = np.zeros(len(order), np.int64)
+    np.maximum.at(longest, order[:-1], common)
+    np.maximum.at(longest, order[1:], common)
     return longest
 
 
+_VARIED = -1
+
+
+def maximal_repeats(order: np.ndarray, common: np.ndarray, before: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(length of the longest maximal repeat from each position, a place of each maximal repeat).
+
+    A repeat is maximal if its occurrences neither all have the same word before them nor all
+    the same after them. The latter holds for every interval of suffixes that share a prefix
+    longer than what they share with the suffixes around it; the former is seen from ``before``,
+    the number of the word before each position, where no word is a negative number of its own.
+    Intervals close innermost first, and a suffix takes the length of its first maximal one.
+    """
+    reach, places = np.zeros(len(order), np.int64), []
+    at = np.flatnonzero(common >= least)
+    if not len(at):
+        return reach, np.zeros(0, np.int64)
+    for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
+        suffixes = order[run[0] : run[-1] + 2]
+        lefts = before[suffixes].tolist()
+        suffixes = suffixes.tolist()
+        open_: list[list] = []  # prefix length, word before or _VARIED, suffixes without a maximal repeat yet
+        for suffix, left, length in zip(suffixes, lefts, [*common[run].tolist(), 0], strict=True):
+            waiting = [suffix]
+            while open_ and open_[-1][0] > length:
+                closed, other, more = open_.pop()
+                left = left if left == other else _VARIED
+                if len(more) > len(waiting):
+                    waiting, more = more, waiting
+                waiting += more
+                if left == _VARIED:
+                    places.append(suffix)
+                    reach[waiting] = closed
+                    waiting = []
+            if open_ and open_[-1][0] == length:
+                top = open_[-1]
+                top[1] = left if left == top[1] else _VARIED
+                if len(waiting) > len(top[2]):
+                    waiting, top[2] = top[2], waiting
+                top[2] += waiting
+            elif length:
+                open_.append([length, left, waiting])
+    return reach, np.array(places, np.int64)
+
+
 def _covered(longest: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Positions that lie within ``length[p]`` words from some position p with a length."""
     n = len(longest)
@@ -120,15 +168,17 @@ def measure(docs: list[bytes], least: int = LEAST_REPEAT) -> dict[str, np.ndarra
         ids += [put(w, base + len(number)) for w in words]
         base += len(number)
     out = {"n_words": n_words, "word_chars": word_chars, "n_symbols": n_symbols, "n_dup_lines": n_dup}
-    longest = longest_repeats(np.array(ids, np.int64))
+    full = np.flatnonzero(n_words)
+    starts = np.concatenate(([0], np.cumsum(n_words[full])[:-1])).astype(np.int64)
+    numbers = np.array(ids, np.int64)
+    before = np.concatenate(([0], numbers[:-1])) if len(numbers) else numbers
+    before[starts[: len(full)]] = -2 - starts[: len(full)]
+    order, common = neighbours(numbers)
+    longest = longest_repeats(order, common)
     size = np.array(sizes, np.int64)
     windows = np.where(longest >= REPEAT_WINDOW, REPEAT_WINDOW, 0)
-    long = np.where(longest >= least, longest, 0)
-    # a repeat that starts inside a longer one, a word later, is not maximal
-    maximal = (long > 0) & (np.concatenate(([0], long[:-1])) != long + 1)
+    long, places = maximal_repeats(order, common, before, least)
     spans = _covered(longest, long)
-    full = np.flatnonzero(n_words)
-    starts = np.concatenate(([0], np.cumsum(n_words[full])[:-1])).astype(np.int64)
 
     def per_text(values: np.ndarray, how: np.ufunc = np.add) -> np.ndarray:
         total = np.zeros(m, np.int64)
@@ -137,7 +187,7 @@ def measure(docs: list[bytes], least: int = LEAST_REPEAT) -> dict[str, np.ndarra
         return total
 
     out["n_repeat_words"] = per_text(_covered(longest, windows))
-    out["n_maximal"] = per_text(maximal)
+    out["n_maximal"] = per_text(np.bincount(places, minlength=len(numbers)))
     out["longest_repeat"] = per_text(long, np.maximum)
     total = per_text(size)
     out["covered"] = np.where(total > 0, per_text(size * spans) / np.maximum(total, 1), 0.0)
