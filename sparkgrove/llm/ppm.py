@@ -8,36 +8,44 @@ symbols seen after a context are also seen after its suffixes, so the excluded c
 depend on the longer context alone and are stored with it. A text's code length is
 thus a sum of table look-ups, done for all positions of a batch at once.
 
+The trie grows with the corpus, so it is cut into parts of a bounded size by the last two
+bytes of the context, which all contexts of a position share; counts of contexts of one
+byte or none are few and go with every part. A worker holds one part at a time and adds up
+what each gives for the positions that are its own.
+
 A base model of words, with add-0.1 smoothing, stands beside it. Its vocabulary grows
-with the corpus, so it is never held in one place: texts are cut into blocks, each
-block sends its distinct words (as 64-bit hashes) to the word's task, the corpus count
-comes back to the block, and the block's texts are scored there.
+too: the commonest words, a bounded number, are known to every worker, and what a text
+has of all others goes to the word's task and comes back to the text as a sum.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.dataset as ds
 import pyarrow.fs as pafs
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkgrove.llm.common import Scratch, fold, steps, texts
 
-#: Bytes of context. The trie is bounded by the distinct sequences of ORDER + 1 bytes.
-ORDER = 4
+#: Bytes of context, two or more. The trie has a leaf for each distinct sequence of ORDER + 1 bytes.
+ORDER = 5
+#: Leaves of a part of the trie; parts are made of whole groups of contexts that end in the same two bytes.
+LEAVES = 1 << 21
 #: Symbols that no UTF-8 text holds: before a text and at its end.
 BEFORE, END = 0xFE, 0xFF
 #: Values of a byte in UTF-8, and the end.
 ALPHABET = 255
 HELD_OUT_FOLDS, HELD_OUT = 10, 0
 SMOOTH = 0.1
-#: Bytes of text in a block; it bounds a worker's memory and the rows that a block sends.
-BLOCK = 4 << 20
+#: Bytes of text that meet the parts of a cut trie one after another.
+CHUNK = 16 << 20
+#: Commonest words that every worker knows, their length and their bytes together; distinct words that a worker counts before it hands them on.
+HOT_WORDS, HOT_LENGTH, HOT_BYTES, COUNTED_WORDS = 200_000, 4096, 32 << 20, 100_000
 #: Bytes of text whose positions are held as numbers at a time.
 PART = 1 << 19
 
@@ -94,7 +102,7 @@ class Lookup:
     """Places of numbers in an array of distinct ones, by open addressing."""
 
     def __init__(self, keys: np.ndarray) -> None:
-        self.bits = max(4, int(len(keys) * 3).bit_length())
+        self.bits = max(4, (len(keys) * 3 // 2).bit_length())
         self.slots = np.full(1 << self.bits, -1, np.int32)
         self.keys = np.append(keys, np.uint64(0))
         self.held = np.zeros(1 << self.bits, np.uint64)
@@ -125,9 +133,12 @@ class Lookup:
 
 
 class Trie:
-    """Contexts of 0 to ``order`` bytes, from the counts of the longest sequences."""
+    """Contexts of 0 to ``order`` bytes, from the counts of the longest sequences.
+
+    ``low``: keys and counts of all two-byte sequences, where ``keys`` are those of one part.
+    """
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int = ORDER) -> None:
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int = ORDER, low: tuple[np.ndarray, np.ndarray] | None = None) -> None:
         self.order = order
         order_ = np.argsort(keys)
         keys, counts = keys[order_], counts[order_].astype(np.float64)
@@ -138,6 +149,8 @@ class Trie:
                 short = keys & np.uint64((1 << 8 * k) - 1)
                 keys, inverse = np.unique(short, return_inverse=True)
                 counts = np.bincount(inverse, counts, minlength=len(keys)) if len(keys) else counts
+            if k == 2 and low is not None:
+                keys, counts = low[0], low[1].astype(np.float64)
         levels.reverse()  # by length of context
         self.grams, self.contexts, self.count, self.n, self.d, self.excluded = [], [], [], [], [], []
         for k, (keys, counts) in enumerate(levels):
@@ -157,10 +170,10 @@ class Trie:
         at = self.contexts[order].find(top)
         self.first = np.log10(levels[order][1] / (self.n[order][at] + self.d[order][at])) if len(top) else np.zeros(0)
 
-    def log10(self, data: np.ndarray) -> np.ndarray:
-        """log10 probability of each symbol after the bytes before it; 0 at marks."""
+    def log10(self, data: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
+        """log10 probability of each symbol after the bytes before it; 0 at marks, and where the last two bytes are not the trie's ``own``."""
         out = np.zeros(len(data))
-        wanted = np.flatnonzero(data != BEFORE)
+        wanted = np.flatnonzero(data != BEFORE if own is None else (data != BEFORE) & own[sequences(data, 3) >> np.uint64(8)])
         keys = sequences(data, self.order + 1)[wanted]
         at = self.grams[self.order].find(keys)
         hit = at >= 0
@@ -190,39 +203,57 @@ class Trie:
         out[rest] -= np.log10(max(ALPHABET - known, 1.0))
         return out
 
-    def score(self, docs: list[bytes]) -> np.ndarray:
-        """log10 probability of each whole text with its end."""
-        return np.concatenate([np.zeros(0), *[self._score(p) for p in parts(docs)]])
+    def score(self, docs: list[bytes], own: np.ndarray | None = None) -> np.ndarray:
+        """log10 probability of each whole text with its end, over the trie's own positions."""
+        return np.concatenate([np.zeros(0), *[self._score(p, own) for p in parts(docs)]])
 
-    def _score(self, docs: list[bytes]) -> np.ndarray:
+    def _score(self, docs: list[bytes], own: np.ndarray | None) -> np.ndarray:
         sizes = np.array([len(d) + self.order + 1 for d in docs])
-        return np.add.reduceat(self.log10(symbols(docs, self.order)), np.cumsum(sizes) - sizes)
+        return np.add.reduceat(self.log10(symbols(docs, self.order), own), np.cumsum(sizes) - sizes)
 
 
-_tries: dict[str, Trie] = {}
+def cut_trie(leaves: np.ndarray, most: int) -> np.ndarray:
+    """The part of each pair of last context bytes, from its number of leaves: runs of pairs of at most ``most`` leaves, or one pair."""
+    part, held, number = np.zeros(len(leaves), np.int32), 0, 0
+    for pair, n in enumerate(leaves.tolist()):
+        if held and held + n > most:
+            number, held = number + 1, 0
+        part[pair] = number
+        held += n
+    return part
 
 
-def _trie(path: str) -> Trie:
-    """A worker's trie, read once from the shared table."""
-    if path not in _tries:
-        _tries.clear()
-        files, root = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
-        got = ds.dataset(root, filesystem=files, format="parquet").to_table(columns=["key", "n"])
-        _tries[path] = Trie(got["key"].to_numpy().astype(np.int64).view(np.uint64), got["n"].to_numpy())
-    return _tries[path]
+def _read(path: str, *columns: str) -> pa.Table:
+    """A table of the shared folder, in a worker."""
+    files, root = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+    return ds.dataset(root, filesystem=files, format="parquet").to_table(columns=list(columns))
 
 
-#: Stands for the end token among word hashes; no word hashes to it by construction (see _hashed).
-END_WORD = 0
+_held: dict[str, tuple[str, object]] = {}
 
 
-def _hashed(word: bytes) -> int:
-    h = xxhash.xxh64_intdigest(word, 0)
-    h = h - (1 << 64) if h >> 63 else h
-    return h or 1
+def _hold(kind: str, path: str, build: Callable[[], object]):
+    """A worker's one object of a kind, built again when another path is asked for."""
+    if kind not in _held or _held[kind][0] != path:
+        _held.pop(kind, None)
+        _held[kind] = (path, build())
+    return _held[kind][1]
 
 
-def score_texts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _words_of(texts_: Iterator[list[bytes]]) -> Iterator[pa.RecordBatch]:
+    """(word, n) of texts, counted for as long as the distinct words are few enough."""
+    counts: Counter[bytes] = Counter()
+    flush = lambda: pa.RecordBatch.from_arrays([pa.array(list(counts.keys()), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+    for docs in texts_:
+        for d in docs:
+            counts.update(d.split())
+            if len(counts) > COUNTED_WORDS:
+                yield flush()
+                counts.clear()
+    yield flush()
+
+
+def score_texts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_leaves: int = LEAVES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte: one row per input row.
 
     A null text is empty, that is, its one token is the end. A-Z are lower-cased for both
@@ -230,76 +261,89 @@ def score_texts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     are counted whole. ``bits_per_byte`` is the model's code length over the bytes and the
     end. Repeated rows count and are scored as often as they come; other columns are not
     looked at. An empty table gives an empty result; if all rows are held out, symbols
-    are taken as equally likely. Words are told apart by 64-bit hashes.
+    are taken as equally likely. Words are told apart by their bytes, however long. A trie
+    of more than ``most_leaves`` leaves is met part by part.
     """
     scratch = Scratch(spark, "ppm")
     read = docs.select(F.col(id_col).alias("id"), (fold(id_col, HELD_OUT_FOLDS) == HELD_OUT).alias("held_out"), F.col(text_col).alias("text"))
     kind = read.schema["id"].dataType.simpleString()
+    trained = read.where("not held_out").select("text")
+
+    def lowered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[bytes]]:
+        for part in steps(batches, "text", most):
+            yield [t.lower() for t in texts(part, "text")]
 
+    # the trie's leaves, and the counts of its shortest contexts
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in steps(batches, "text", BLOCK):
-            keys, n = counted_block([t.lower() for t in texts(part, "text")])
+        for low in lowered(batches, 4 << 20):
+            keys, n = counted_block(low)
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
 
-    leaves = read.where("not held_out").select("text").mapInArrow(count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-    scratch.table(leaves, "trie")
-    path = f"{scratch.root}/trie"
-
-    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = _trie(path)
-        for part in steps(batches, "text", BLOCK):
-            low = [t.lower() for t in texts(part, "text")]
-            held = part.column("held_out").to_pylist()
-            number: dict[bytes, int] = {b"": 0}  # no word is empty: it stands for the end
-            put = number.setdefault
-            tokens = [[put(w, len(number)) for w in t.split()] for t in low]
-            flat = np.array([x for row in tokens for x in (*row, 0)], np.int32)
-            sizes = np.array([len(row) + 1 for row in tokens], np.int64)
-            trained = np.repeat(~np.array(held, bool), sizes)
-            counts = np.bincount(flat[trained], minlength=len(number))
-            hashes = [END_WORD, *[_hashed(w) for w in number if w]]
-            scores = trie.score(low)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([part.column("id").to_pylist()], pa.list_(part.schema.field("id").type)),
-                    pa.array([held], pa.list_(pa.bool_())),
-                    pa.array([[len(t) for t in low]], pa.list_(pa.int64())),
-                    pa.array([scores.tolist()], pa.list_(pa.float64())),
-                    pa.array([sizes.tolist()], pa.list_(pa.int64())),
-                    pa.array([flat.tobytes()], pa.binary()),
-                    pa.array([hashes], pa.list_(pa.int64())),
-                    pa.array([counts.tolist()], pa.list_(pa.int64())),
-                ],
-                names=["ids", "held_out", "bytes", "score", "sizes", "tokens", "words", "counts"],
-            )
-
-    packed = read.mapInArrow(block, f"ids array<{kind}>, held_out array<boolean>, bytes array<bigint>, score array<double>, sizes array<bigint>, tokens binary, words array<bigint>, counts array<bigint>")
-    blocks = scratch.table(packed.withColumn("block", F.monotonically_increasing_id()), "blocks")
-
-    # every block's distinct words meet at the word; a word has one row a block at most
-    sent = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("i", "w")).select("block", "i", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-    by_word = Window.partitionBy("word")
-    met = sent.select("block", "i", F.sum("n").over(by_word).alias("c"), F.row_number().over(by_word.orderBy("block")).alias("r"))
-    met = scratch.table(met.select("block", "i", "c", ((F.col("r") == 1) & (F.col("c") > 0)).alias("new")), "met")
-    sums = blocks.select(F.explode("counts").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()["tokens"]
-    distinct = met.where("new").count()
-
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            for k in range(part.num_rows):
-                row = {name: part.column(name)[k] for name in part.schema.names}
-                order = np.argsort(row["i"].values.to_numpy())
-                c = row["c"].values.to_numpy()[order].astype(np.float64)
-                logs = np.log10((c + SMOOTH) / (sums + SMOOTH * (distinct + 1)))
-                tokens = np.frombuffer(row["tokens"].as_py(), np.int32)
-                sizes = row["sizes"].values.to_numpy()
-                starts = np.cumsum(sizes) - sizes
-                base = np.add.reduceat(logs[tokens], starts)
-                known = np.add.reduceat((c > 0).astype(np.int64)[tokens], starts)
-                score = row["score"].values.to_numpy()
-                bits = -score / np.log10(2) / (row["bytes"].values.to_numpy() + 1)
-                yield pa.RecordBatch.from_arrays([row["ids"].values, row["held_out"].values, pa.array(sizes), pa.array(known), pa.array(np.full(len(sizes), sums, np.int64)), pa.array(base), pa.array(score), pa.array(bits)], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
-
-    back = met.groupBy("block").agg(F.collect_list(F.struct("i", "c")).alias("x")).select("block", F.col("x.i").alias("i"), F.col("x.c").alias("c"))
-    joined = blocks.select("block", "ids", "held_out", "bytes", "score", "sizes", "tokens").join(back, "block").drop("block")
-    return joined.mapInArrow(weigh, f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, bits_per_byte double").withColumnRenamed("id", id_col)
+    leaves = scratch.table(trained.mapInArrow(count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")), "leaves")
+    by_pair = leaves.groupBy(F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF)).cast("int").alias("pair")).agg(F.count("*").alias("n")).collect()  # 65,536 rows at most
+    sizes = np.zeros(1 << 16, np.int64)
+    sizes[[r["pair"] for r in by_pair]] = [r["n"] for r in by_pair]
+    part_of = cut_trie(sizes, most_leaves)
+    n_parts = int(part_of[-1]) + 1
+    first_pairs = F.array(*[F.lit(int(x)) for x in np.searchsorted(part_of, np.arange(1, n_parts))]).cast("array<int>")
+    in_part = F.size(F.filter(first_pairs, lambda x: x <= F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF))))
+    scratch.table(leaves.withColumn("part", in_part).select("key", "n", "part"), "trie", partition="part")
+    low = leaves.groupBy(F.col("key").bitwiseAND(F.lit(0xFFFF)).alias("key")).agg(F.sum("n").alias("n")).orderBy("key").toArrow()  # 65,536 rows at most
+    low_keys, low_counts = low["key"].to_numpy().astype(np.uint64), low["n"].to_numpy()
+    root = scratch.root
+
+    def trie(k: int) -> Trie:
+        def build() -> Trie:
+            got = _read(f"{root}/trie/part={k}", "key", "n")
+            return Trie(got["key"].to_numpy().view(np.uint64), got["n"].to_numpy(), low=(low_keys, low_counts))
+
+        return _hold("trie", f"{root}/{k}", build)
+
+    # the base model: counts of all words, the commonest of them for every worker
+    counts = scratch.table(trained.mapInArrow(lambda batches: _words_of(lowered(batches, 1 << 20)), "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    ends = trained.count()
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    tokens, distinct = total["n"] + ends, total["v"] + (ends > 0)
+    size = F.octet_length("word")
+    common = counts.where(size <= HOT_LENGTH).orderBy(F.desc("n"), "word").limit(HOT_WORDS)
+    common = common.withColumn("upto", F.sum(size).over(Window.orderBy(F.desc("n"), "word")))  # bounded by the limit
+    scratch.table(common.where(F.col("upto") <= HOT_BYTES).select("word", "n"), "common")
+
+    def log(n: float) -> float:
+        return float(np.log10((n + SMOOTH) / (tokens + SMOOTH * (distinct + 1))))
+
+    def known() -> dict[bytes, float]:
+        got = _read(f"{root}/common", "word", "n")
+        logs = np.log10((got["n"].to_numpy() + SMOOTH) / (tokens + SMOOTH * (distinct + 1)))
+        return dict(zip(got["word"].to_pylist(), logs.tolist(), strict=True))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, end = _hold("words", root, known), log(ends)
+        for part in steps(batches, "text", (1 << 20) if n_parts == 1 else CHUNK):
+            docs_ = [t.lower() for t in texts(part, "text")]
+            scores = sum(trie(k).score(docs_, None if n_parts == 1 else part_of == k) for k in range(n_parts))
+            rows, rare, times = [], [], []
+            for d in docs_:
+                words = Counter(d.split())
+                others = [w for w in words if w not in hot]
+                base = sum(hot[w] * n for w, n in words.items() if w in hot)
+                n_words = words.total()
+                rows.append((n_words + 1, n_words - sum(words[w] for w in others) + (ends > 0), base + end))
+                rare.append(others)
+                times.append([words[w] for w in others])
+            columns = [
+                part.column("id"), part.column("held_out"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64()),
+                pa.array(scores, pa.float64()), pa.array(-scores / np.log10(2) / np.array([len(d) + 1 for d in docs_]), pa.float64()), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "held_out", "n_tokens", "hot_known", "hot_score", "score", "bits_per_byte", "rare", "times"])
+
+    packed = read.mapInArrow(score, f"id {kind}, held_out boolean, n_tokens bigint, hot_known bigint, hot_score double, score double, bits_per_byte double, rare array<binary>, times array<bigint>")
+    rows = scratch.table(packed.withColumn("row", F.monotonically_increasing_id()), "rows")
+    asked = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
+    met = asked.join(counts, "word", "left").select("row", "times", F.coalesce("n", F.lit(0)).alias("n"))
+    sums = met.groupBy("row").agg(F.sum(F.when(F.col("n") > 0, F.col("times"))).alias("known"), F.sum(F.col("times") * F.log10((F.col("n") + SMOOTH) / (tokens + SMOOTH * (distinct + 1)))).alias("base"))
+    sums = scratch.table(sums, "sums")
+    return rows.join(sums, "row", "left").select(
+        F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("hot_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(tokens).cast("bigint").alias("train_tokens"),
+        (F.col("hot_score") + F.coalesce("base", F.lit(0.0))).alias("base_score"), "score", "bits_per_byte",
+    )
