@@ -1,15 +1,12 @@
-"""What the operators share: scratch tables, text expressions, Arrow batches, folds."""
+"""What the operators share: text expressions, Arrow batches, folds."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -17,49 +14,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NON_SPACE = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one step of an Arrow operator takes at once (a longer text goes alone).
 STEP_BYTES = 1 << 20
-#: A side of a join is broadcast up to this many rows and bytes of its strings; beyond it, it is shuffled.
-BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32 << 20
-
-_own: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``.
-
-    Only a local session may go without that setting; it then gets a temporary folder.
-    """
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    key = spark.sparkContext.applicationId
-    if key not in _own:
-        _own[key] = "file://" + tempfile.mkdtemp(prefix="sparkgrove-")
-    return _own[key]
-
-
-class Scratch:
-    """Tables in the shared folder; they cut lineage and outlive executors."""
-
-    def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark = spark
-        self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        atexit.register(self.drop)
-
-    def table(self, df: DataFrame, name: str, partition: str | None = None, **options: str) -> DataFrame:
-        """``df`` written as Parquet, in folders by ``partition`` (the last column) if given, and read again with its own schema."""
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").options(**options).parquet(path, partitionBy=partition)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, name: str | None = None) -> None:
-        """Delete one table, or everything."""
-        try:
-            jvm = self.spark.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        except Exception:  # the session has ended; what is left is the cluster's to clear
-            return
 
 
 def ascii_lower(text: Column) -> Column:
@@ -73,18 +27,6 @@ def fold(column: str | Column, parts: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % parts
 
 
-def few(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``limit`` rows, and its strings ``BROADCAST_BYTES``; reads no more rows than that."""
-    wide = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
-    got = df.limit(limit + 1).agg(F.count("*").alias("n"), *[F.sum(w).alias(f"w{k}") for k, w in enumerate(wide)]).first()
-    return got["n"] <= limit and sum(got[f"w{k}"] or 0 for k in range(len(wide))) <= BROADCAST_BYTES
-
-
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` (numbers and strings) marked for broadcast if its measured size allows; else as it is, to be shuffled."""
-    return F.broadcast(df) if few(df, limit) else df
-
-
 def steps(batches: Iterator[pa.RecordBatch], column: str, most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each holds at most ``most`` bytes of ``column``, or one row."""
     for batch in batches:

@@ -17,7 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkgrove.llm.common import Scratch, ascii_lower, small
+from sparkgrove.llm.common import ascii_lower
+from sparkgrove.storage import Scratch, small
 
 #: Runs that one compaction merges into a run of the next level.
 FANOUT = 128

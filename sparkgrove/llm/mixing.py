@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkgrove.llm.common import Scratch, small
+from sparkgrove.storage import Scratch, small
 
 #: A larger mean is the sum of this or smaller means, each with a uniform number of its own.
 PART = 16.0

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkgrove.llm.common import Scratch, small
+from sparkgrove.storage import Scratch, small
 
 
 def _either(word: str) -> str:

@@ -30,8 +30,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkgrove.llm.common import Scratch, small, steps, texts
-from sparkgrove.llm.components import components
+from sparkgrove.llm.common import steps, texts
+from sparkgrove.storage import Scratch, small
+from sparkgrove.operators.components import components
 
 BITS, RADIUS, SEED = 64, 2, 42
 

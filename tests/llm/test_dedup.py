@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkgrove.llm import components, exact_dedup, simhash
+from sparkgrove.llm import exact_dedup, simhash
+from sparkgrove.operators import components
 
 SCHEMA = "doc_id bigint, text string, id string, digest int, n long, __sg_x string"
 
@@ -53,7 +54,7 @@ def test_exact_matches_sql(spark):
 
 
 def test_compaction_and_filter(spark):
-    from sparkgrove.llm.common import Scratch
+    from sparkgrove.storage import Scratch
 
     rng = random.Random(3)
     rows = [(run, rng.randrange(-60, 60) * (1 << 50), rng.randrange(1000)) for run in range(9) for _ in range(20)]
@@ -141,7 +142,7 @@ def test_ids_may_be_strings_and_words_very_long(spark):
 
 
 def test_links_of_crowded_fingerprints(spark):
-    from sparkgrove.llm.common import Scratch
+    from sparkgrove.storage import Scratch
 
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 62, 3)
