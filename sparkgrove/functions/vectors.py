@@ -14,10 +14,3 @@ def normalize(v: Column, floor: float = 1e-12) -> Column:
     """The unit vector; a zero vector stays zero."""
     length = F.greatest(F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))), F.lit(floor))
     return F.transform(v, lambda x: x.cast("double") / length)
-
-
-def hashing_embedding(tokens: Column, dim: int) -> Column:
-    """Counts of tokens by bucket (28 bits of SHA-1 modulo ``dim``), normalised. Checkable in SQL."""
-    bucket = lambda t: (F.conv(F.substring(F.sha1(t.cast("binary")), 1, 7), 16, 10).cast("int") % dim)
-    buckets = F.transform(tokens, bucket)
-    return normalize(F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double")))

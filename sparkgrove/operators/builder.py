@@ -1,4 +1,7 @@
-"""Building a corpus from one long reference text: contents list, sections, catalogue match, pages."""
+"""Building a corpus from long reference texts: contents list, sections, catalogue match, pages.
+
+Lines have a document (doc) and a number in it; everything ordered is ordered within a document.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +10,10 @@ from pyspark.sql import functions as F
 
 from sparkgrove.functions.text import match_key, slug
 
-TOC = r"^(.+?)\s{0,}[.]{4,}\s{0,}([0-9]+)\s{0,}$"
+#: A name, a run of dots, a page.
+TOC = r"^(.+?)\s*[.]{4,}\s*([0-9]+)\s*$"
+#: Texts from this length on are kept, shorter ones are thin.
+LEAST_TEXT = 120
 
 
 def is_service(name: Column, categories: list[str], ignored: list[str], unprefixed: list[str], prefixes: tuple[str, ...] = ("Amazon ", "AWS ")) -> Column:
@@ -17,64 +23,86 @@ def is_service(name: Column, categories: list[str], ignored: list[str], unprefix
     return ~name.isin(*categories, *ignored) & (name.isin(*unprefixed) | prefixed) if categories or ignored else name.isin(*unprefixed) | prefixed
 
 
+def _in_order(upto_here: bool = True) -> Window:
+    order = Window.partitionBy("doc").orderBy("line_no")
+    return order.rowsBetween(Window.unboundedPreceding, Window.currentRow) if upto_here else order
+
+
 def contents(lines: DataFrame, categories: list[str], ignored: list[str], unprefixed: list[str]) -> DataFrame:
-    """(ord, name, category, page) of services in a contents list, from (line_no, line); the first of equal names.
+    """(doc, ord, name, category, page) of services in contents lists, from (doc, line_no, line); the first of equal names.
 
-    A category line holds for the services after it. The running category needs the lines
-    in order, so one document's lines meet in one task; they are one text's worth.
+    A category line holds for the services after it.
     """
     name = F.trim(F.regexp_replace(F.regexp_extract("line", TOC, 1), r"\s+", " "))
-    rows = lines.select("line_no", name.alias("name"), F.regexp_extract("line", TOC, 2).try_cast("int").alias("page")).where("length(name) >= 3")
-    order = Window.orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = lines.select("doc", "line_no", name.alias("name"), F.regexp_extract("line", TOC, 2).try_cast("int").alias("page")).where("length(name) >= 3")
     service = is_service(F.col("name"), categories, ignored, unprefixed)
-    carried = rows.withColumn("category", F.coalesce(F.last(F.when(~service & F.col("name").isin(*categories), F.col("name")), ignorenulls=True).over(order), F.lit("Uncategorised")))
-    first = Window.partitionBy("name").orderBy("line_no")
-    return carried.where(service).withColumn("r", F.row_number().over(first)).where("r = 1").select(F.col("line_no").alias("ord"), "name", "category", "page")
+    carried = rows.withColumn("category", F.coalesce(F.last(F.when(~service & F.col("name").isin(*categories), F.col("name")), ignorenulls=True).over(_in_order()), F.lit("Uncategorised")))
+    first = carried.where(service).groupBy("doc", "name").agg(F.min(F.struct("line_no", "category", "page")).alias("x"))
+    return first.select("doc", F.col("x.line_no").alias("ord"), "name", "x.category", "x.page")
 
 
 def content_lines(lines: DataFrame, names: DataFrame, header: str) -> DataFrame:
-    """(line_no, line) without running headers, footers of a known name and a page, and lone page numbers."""
+    """(doc, line_no, line) without running headers, footers of a known name (doc, name) and a page, and lone page numbers."""
     bare = F.trim("line")
     footer = F.trim(F.regexp_extract(bare, r"^(.+?)\s+\d{1,3}$", 1))
     kept = lines.where((bare == "") | ((bare != header) & ~bare.rlike(r"(?i)^(?:[ivxlcdm]+|\d{1,3})$"))).withColumn("__f", footer)
-    return kept.join(names.select(F.col("name").alias("__f")).where("__f <> ''").distinct(), "__f", "left_anti").select("line_no", F.regexp_replace("line", r"\s+$", "").alias("line"))
+    known = names.select("doc", F.col("name").alias("__f")).where("__f <> ''").distinct()
+    return kept.join(known, ["doc", "__f"], "left_anti").select("doc", "line_no", F.regexp_replace("line", r"\s+$", "").alias("line"))
 
 
 def discovered(lines: DataFrame, known: DataFrame, categories: list[str], ignored: list[str], prefixes: tuple[str, ...] = ("Amazon ", "AWS ")) -> DataFrame:
-    """(ord, name, category) of unlisted services: a short prefixed line that the next non-blank of two lines restates."""
-    order = Window.orderBy("line_no")
-    bare = F.trim("line")
-    ahead = lines.withColumn("name", bare)
+    """(doc, ord, name, category) of unlisted services: a short prefixed line that the next non-blank of two lines restates."""
+    order = _in_order(False)
+    ahead = lines.withColumn("name", F.trim("line"))
     near = ahead.withColumn("next", F.coalesce(F.nullif(F.lead("name", 1).over(order), F.lit("")), F.nullif(F.lead("name", 2).over(order), F.lit("")), F.lit("")))
     cat = F.when(F.col("name").isin(*categories) & ~F.col("name").isin(*ignored) if ignored else F.col("name").isin(*categories), F.col("name"))
-    carried = near.withColumn("category", F.coalesce(F.last(cat, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lit("Uncategorised")))
+    carried = near.withColumn("category", F.coalesce(F.last(cat, ignorenulls=True).over(_in_order()), F.lit("Uncategorised")))
     prefixed = F.lit(False)
     for p in prefixes:
         prefixed = prefixed | F.col("name").startswith(p)
-    new = carried.where(prefixed & (F.length("name") <= 60) & F.startswith("next", F.col("name"))).join(known.select("name"), "name", "left_anti")
-    return new.withColumn("r", F.row_number().over(Window.partitionBy("name").orderBy("line_no"))).where("r = 1").select(F.col("line_no").alias("ord"), "name", "category")
+    new = carried.where(prefixed & (F.length("name") <= 60) & F.startswith("next", F.col("name"))).join(known.select("doc", "name"), ["doc", "name"], "left_anti")
+    first = new.groupBy("doc", "name").agg(F.min(F.struct("line_no", "category")).alias("x"))
+    return first.select("doc", F.col("x.line_no").alias("ord"), "name", "x.category")
 
 
 def segments(lines: DataFrame, services: DataFrame, categories: list[str], ignored: list[str]) -> DataFrame:
-    """(name, text): the lines after a service's name up to the next name or category; a later section replaces an earlier one."""
-    marks = services.select(F.col("name").alias("__n"), F.lit(1).alias("__s")).distinct()
-    tagged = lines.withColumn("__b", F.trim("line")).join(marks, F.col("__b") == F.col("__n"), "left")
+    """(doc, name, text): the lines after a service's name (doc, name) up to the next name or category; a later section replaces an earlier one."""
+    marks = services.select("doc", F.col("name").alias("__b"), F.lit(1).alias("__s")).distinct()
+    tagged = lines.withColumn("__b", F.trim("line")).join(marks, ["doc", "__b"], "left")
     if ignored:
         tagged = tagged.where(F.col("__s").isNotNull() | ~F.col("__b").isin(*ignored))
     cut = F.col("__s").isNotNull() | (F.col("__b").isin(*categories) if categories else F.lit(False))
-    order = Window.orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    numbered = tagged.withColumn("section", F.sum(cut.cast("int")).over(order)).withColumn("head", cut)
-    heads = numbered.where("head and __s is not null").select("section", F.col("__b").alias("name"))
-    body = numbered.where("not head").groupBy("section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    numbered = tagged.withColumn("section", F.sum(cut.cast("int")).over(_in_order())).withColumn("head", cut)
+    heads = numbered.where("head and __s is not null").select("doc", "section", F.col("__b").alias("name"))
+    body = numbered.where("not head").groupBy("doc", "section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
     tidy = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)^\s+|\s+$", ""), "\n{3,}", "\n\n")
-    last = heads.join(body, "section", "left").groupBy("name").agg(F.max_by(tidy, "section").alias("text"))
-    return services.select("name").join(last, "name", "left").select("name", F.coalesce("text", F.lit("")).alias("text"))
+    last = heads.join(body, ["doc", "section"], "left").groupBy("doc", "name").agg(F.max_by(tidy, "section").alias("text"))
+    return services.select("doc", "name").join(last, ["doc", "name"], "left").select("doc", "name", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def by_length(services: DataFrame, least: int = LEAST_TEXT) -> DataFrame:
+    """The rows with ``kept``: whether the text has ``least`` characters; the others are thin."""
+    return services.withColumn("kept", F.length(F.coalesce("text", F.lit(""))) >= least)
+
+
+def _parts_of(rows: DataFrame, key: str, lengths: DataFrame) -> DataFrame:
+    """The rows with every distinct part of their key that has one of the lengths (one row: the array l)."""
+    starts = lambda n: F.sequence(F.lit(1), F.length(key) - n + 1)
+    parts = F.flatten(F.transform(F.filter("l", lambda n: n <= F.length(key)), lambda n: F.transform(starts(n), lambda i: F.substring(F.col(key), i, n))))
+    return rows.crossJoin(F.broadcast(lengths)).withColumn("part", F.explode(F.array_distinct(parts))).drop("l")  # lengths: one row
+
+
+def _lengths(rows: DataFrame, key: str) -> DataFrame:
+    """One row: the lengths that keys have."""
+    return rows.agg(F.coalesce(F.collect_set(F.length(key)), F.array().cast("array<int>")).alias("l"))
 
 
 def match_catalogue(services: DataFrame, catalogue: DataFrame, strict_prefix: bool = True) -> DataFrame:
     """(name, cat_ord, cat_name, how): equal loose keys first, else a key inside the other; the first catalogue row wins.
 
-    Only services without an equal key meet the catalogue by containment.
+    Only services without an equal key meet the catalogue by containment. A key lies inside
+    another if it equals one of its parts, so parts of the lengths that occur are joined by
+    equality, either way round; no two tables are looped over.
     """
     s = services.select("name", match_key(F.col("name"), strict_prefix).alias("k"))
     c = catalogue.select("cat_ord", F.col("name").alias("cat_name"), match_key(F.col("name"), strict_prefix).alias("ck")).where("ck <> ''")
@@ -82,7 +110,9 @@ def match_catalogue(services: DataFrame, catalogue: DataFrame, strict_prefix: bo
     equal = s.join(first, F.col("k") == F.col("ck"), "left")
     hit = equal.where("c is not null").select("name", "c.cat_ord", "c.cat_name", F.lit("key").alias("how"))
     rest = equal.where("c is null").select("name", "k").where("k <> ''")
-    inside = rest.join(first, F.contains("ck", F.col("k")) | F.contains("k", F.col("ck"))).groupBy("name").agg(F.min_by("c", "c.cat_ord").alias("c"))
+    holds = _parts_of(rest, "k", _lengths(first, "ck")).join(first, F.col("part") == F.col("ck")).select("name", "c")
+    held = _parts_of(first, "ck", _lengths(rest, "k")).join(rest, F.col("part") == F.col("k")).select("name", "c")
+    inside = holds.union(held).groupBy("name").agg(F.min_by("c", "c.cat_ord").alias("c"))
     return hit.unionByName(inside.select("name", "c.cat_ord", "c.cat_name", F.lit("containment").alias("how")))
 
 

@@ -1,15 +1,24 @@
 """Section-aware, sentence-packed chunks.
 
-Sections come from a fold over a document's own lines, so splitting needs no shuffle at
-all: a document is a row, its lines an array, and only finished chunks are exploded.
+A document is a row, so cutting needs no shuffle: one pass over Arrow batches turns texts
+into finished chunks, in time linear in the text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from sparkgrove.functions import segment
 
-from sparkgrove.functions.text import collapse, heading, is_fence, pack, sentences
+_SECTIONS = T.ArrayType(T.StructType([T.StructField("path", T.ArrayType(T.StringType())), T.StructField("body", T.StringType())]))
+#: Characters of text that are cut at once.
+STEP_CHARS = 1 << 22
 
 
 def lines(text: Column) -> Column:
@@ -17,56 +26,45 @@ def lines(text: Column) -> Column:
 
 
 def sections(text: Column) -> Column:
-    """ARRAY<STRUCT<path ARRAY<STRING>, body STRING>> in order; headings in fenced code are body; blank bodies go.
-
-    Only heading lines can end a section, so the fold runs over the places of headings
-    and fences, not over every line.
-    """
-    rows = F.transform(lines(text), lambda x, i: F.struct(i.alias("i"), is_fence(x).alias("fence"), heading(x).alias("h")))
-    marks = F.filter(rows, lambda r: r["fence"] | r["h"].isNotNull())
-    no_heads = F.filter(F.transform(marks, lambda r: F.struct(r["i"].alias("i"), r["h"]["level"].alias("level"), r["h"]["name"].alias("name"))), lambda r: F.lit(False))
-    start = F.struct(F.lit(False).alias("inside"), no_heads.alias("heads"))
-
-    def scan(a: Column, r: Column) -> Column:
-        head = ~r["fence"] & ~a["inside"]
-        return F.struct((a["inside"] != r["fence"]).alias("inside"), F.when(head, F.concat(a["heads"], F.array(F.struct(r["i"].alias("i"), r["h"]["level"].alias("level"), r["h"]["name"].alias("name"))))).otherwise(a["heads"]).alias("heads"))
-
-    heads = F.aggregate(marks, start, scan, lambda a: a["heads"])
-    no_stack = F.filter(F.transform(heads, lambda h: F.struct(h["level"].alias("level"), h["name"].alias("name"))), lambda h: F.lit(False))
-    no_paths = F.filter(F.transform(heads, lambda h: F.struct(h["i"].alias("i"), F.array(h["name"]).alias("path"))), lambda h: F.lit(False))
+    """ARRAY<STRUCT<path, body>> in order; headings in fenced code are body; blank bodies go."""
 
-    def nest(a: Column, h: Column) -> Column:
-        stack = F.concat(F.filter(a["stack"], lambda s: s["level"] < h["level"]), F.array(F.struct(h["level"].alias("level"), h["name"].alias("name"))))
-        return F.struct(stack.alias("stack"), F.concat(a["paths"], F.array(F.struct(h["i"].alias("i"), F.transform(stack, lambda s: s["name"]).alias("path")))).alias("paths"))
+    @F.pandas_udf(_SECTIONS)
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else [{"path": path, "body": body} for path, body in segment.sections(t)])
 
-    paths = F.aggregate(heads, F.struct(no_stack.alias("stack"), no_paths.alias("paths")), nest, lambda a: a["paths"])
-    lead = F.array(F.struct(F.lit(-1).alias("i"), F.filter(F.array(F.lit("")), lambda x: F.lit(False)).alias("path")))
-    all_ = F.concat(lead, paths)
-    bodies = F.transform(all_, lambda s, k: F.struct(s["path"].alias("path"), F.array_join(F.slice(lines(text), s["i"] + 2, F.coalesce(F.get(all_, k + 1)["i"], F.size(lines(text))) - s["i"] - 1), "\n").alias("body")))
-    return F.filter(bodies, lambda s: F.trim(F.regexp_replace(s["body"], r"(?U)\s+", " ")) != "")
+    return cut(text)
 
 
-def chunk(docs: DataFrame, limit: int = 1400, overlap: int = 200, least: int = 120) -> DataFrame:
+def chunk(docs: DataFrame, limit: int = segment.LIMIT, overlap: int = segment.OVERLAP, least: int = segment.LEAST) -> DataFrame:
     """Chunks of documents (doc_id, title, url, text): chunk_id, doc_id, title, url, section, path, chunk_no, text, embed_text.
 
     Pieces under ``least`` characters go, but a document whose pieces are all short
-    keeps its longest one (the first of equals).
+    keeps its longest one (the first of equals). Null titles, addresses and texts are empty.
     """
-    cut = docs.select("doc_id", "title", "url", sections(F.col("text")).alias("sections"))
-    titled = lambda s: F.lower(F.trim(F.coalesce(F.get(s["path"], F.lit(0)), F.lit("")))) == F.lower(F.trim(F.col("title")))
-
-    def pieces(s: Column) -> Column:
-        path = F.when((F.size(s["path"]) > 0) & titled(s), F.slice(s["path"], 2, F.greatest(F.size(s["path"]) - 1, F.lit(0)))).otherwise(s["path"])
-        return F.transform(pack(sentences(collapse(s["body"])), limit, overlap), lambda p: F.struct(path.alias("path"), p.alias("text")))
-
-    every = cut.select("doc_id", "title", "url", F.flatten(F.transform("sections", pieces)).alias("pieces"))
-    long = F.filter("pieces", lambda p: F.length(p["text"]) >= least)
-    longest = F.array_max(F.transform("pieces", lambda p: F.length(p["text"])))
-    rescued = F.slice(F.filter("pieces", lambda p: F.length(p["text"]) == longest), 1, 1)
-    kept = every.select("doc_id", "title", "url", F.posexplode(F.when(F.size(long) > 0, long).otherwise(rescued)).alias("chunk_no", "piece"))
-    crumbs = F.array_join(F.concat(F.array("title"), F.col("piece.path")), " > ")
-    return kept.select(
-        F.concat_ws("#", F.col("doc_id").cast("string"), F.col("chunk_no").cast("string")).alias("chunk_id"), "doc_id", "title", "url",
-        F.array_join("piece.path", " > ").alias("section"), F.col("piece.path").alias("path"), "chunk_no", F.col("piece.text").alias("text"),
-        F.concat(crumbs, F.lit("\n\n"), F.col("piece.text")).alias("embed_text"),
-    )
+    read = docs.select("doc_id", *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("title", "url", "text")])
+    key = read.schema["doc_id"]
+    names = ("title", "url", "section", "path", "chunk_no", "text", "embed_text")
+    kinds = {"path": "array<string>", "chunk_no": "int"}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            took: list[int] = []
+            out: dict[str, list] = {n: [] for n in names}
+            held = 0
+            for row, (title, url, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("title", "url", "text")), strict=True)):
+                for number, (path, piece) in enumerate(segment.pieces(title, text, limit, overlap, least)):
+                    took.append(row)
+                    for name, value in zip(names, (title, url, " > ".join(path), path, number, piece, " > ".join([title, *path]) + "\n\n" + piece), strict=True):
+                        out[name].append(value)
+                held += len(text)
+                if held > STEP_CHARS:
+                    yield _batch(batch.column("doc_id"), took, out)
+                    took, out, held = [], {n: [] for n in names}, 0
+            yield _batch(batch.column("doc_id"), took, out)
+
+    def _batch(ids: pa.Array, took: list[int], out: dict[str, list]) -> pa.RecordBatch:
+        kind = {"path": pa.list_(pa.string()), "chunk_no": pa.int32()}
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(took, pa.int64())), *[pa.array(out[n], kind.get(n, pa.string())) for n in names]], names=["doc_id", *names])
+
+    found = read.mapInArrow(run, f"doc_id {key.dataType.simpleString()}, " + ", ".join(f"{n} {kinds.get(n, 'string')}" for n in names))
+    return found.select(F.concat_ws("#", F.col("doc_id").cast("string"), F.col("chunk_no").cast("string")).alias("chunk_id"), "doc_id", "title", "url", "section", "path", "chunk_no", "text", "embed_text")

@@ -1,4 +1,8 @@
-"""Exact dense search: blocks of vectors times a bounded block of queries, top rows of each block first."""
+"""Exact dense search: blocks of vectors times blocks of queries, each bounded, and best rows of each block first.
+
+Queries are a table in the shared folder. A task reads it block by block next to its own
+vectors, so neither side comes to the driver and the vectors are scanned once.
+"""
 
 from __future__ import annotations
 
@@ -6,13 +10,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as ds
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkgrove.operators.lexical import top
+from sparkgrove.storage import Scratch, small
 
-#: Queries that one pass over the vectors answers; more are answered in several passes.
-QUERY_BLOCK = 4096
+#: Queries, and vectors, of a block.
+QUERY_BLOCK, VECTOR_BLOCK = 2048, 4096
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -20,40 +27,97 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
+def _blocks(path: str, low: float | None = None, high: float | None = None) -> Iterator[pa.RecordBatch]:
+    """Blocks of a table of the shared folder, in a worker; with limits, of the rows between two angles."""
+    files, root = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+    keep = None if low is None else (ds.field("angle") >= low) & (ds.field("angle") <= high)
+    yield from (b for b in ds.dataset(root, filesystem=files, format="parquet").to_batches(batch_size=QUERY_BLOCK, filter=keep) if b.num_rows)
+
+
+_one_block: dict[str, list[pa.RecordBatch]] = {}
+
+
+def _query_blocks(path: str) -> Iterator[pa.RecordBatch]:
+    """All blocks of the queries; a table of one block stays with the worker."""
+    if path not in _one_block:
+        _one_block.clear()
+        first = []
+        for block in _blocks(path):
+            first.append(block)
+            if len(first) > 1:
+                break
+        if len(first) > 1:
+            yield from _blocks(path)
+            return
+        _one_block[path] = first
+    yield from _one_block[path]
+
+
 def dense_topk(spark: SparkSession, vectors: DataFrame, queries: DataFrame, key: str, vector: str, take: int) -> DataFrame:
     """(query_id, key, cosine, rank) of the nearest vectors of each query.
 
-    Vectors are unit length, so the dot product is the cosine. A task keeps ``take``
-    rows a query of each Arrow batch; only these are shuffled to the ranking.
+    Vectors are unit length, so the dot product is the cosine. A task keeps ``take`` rows
+    a query of each block of vectors; only these are shuffled to the ranking.
     """
-    ids = queries.select(F.col("query_id"), F.col(vector).alias("q"))
-    blocks: list[DataFrame] = []
-    pending: list[tuple[int, list[float]]] = []
-
-    def scan(block: list[tuple[int, list[float]]]) -> DataFrame:
-        names, q = np.array([i for i, _ in block], np.int64), np.array([v for _, v in block], np.float64)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                keys = batch.column("key").to_numpy(zero_copy_only=False)
-                cosine = q @ _matrix(batch.column("v")).T
-                k = min(take, len(keys))
-                # the smaller key wins ties, also at the edge of the block
-                order = np.lexsort((np.broadcast_to(keys, cosine.shape), -cosine), axis=1)[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, k)), pa.array(keys[order].ravel()), pa.array(np.take_along_axis(cosine, order, 1).ravel())], names=["query_id", key, "cosine"])
-
-        return vectors.select(F.col(key).cast("bigint").alias("key"), F.col(vector).alias("v")).mapInArrow(run, f"query_id bigint, {key} bigint, cosine double")
-
-    for row in ids.toLocalIterator():  # queries are the small side; blocks bound what a task holds
-        pending.append((row["query_id"], row["q"]))
-        if len(pending) == QUERY_BLOCK:
-            blocks.append(scan(pending))
-            pending = []
-    if pending or not blocks:
-        blocks.append(scan(pending) if pending else spark.createDataFrame([], f"query_id bigint, {key} bigint, cosine double"))
-    found = blocks[0]
-    for other in blocks[1:]:
-        found = found.unionByName(other)
+    scratch = Scratch(spark, "queries")
+    scratch.table(queries.select(F.col("query_id").cast("bigint").alias("query_id"), F.col(vector).alias("q")), "q")
+    path = f"{scratch.root}/q"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, VECTOR_BLOCK):
+                batch = whole.slice(at, VECTOR_BLOCK)
+                keys, v = batch.column("key").to_numpy(zero_copy_only=False), _matrix(batch.column("v"))
+                for block in _query_blocks(path):
+                    cosine = _matrix(block.column("q")) @ v.T
+                    k = min(take, len(keys))
+                    # the smaller key wins ties, also at the edge of the block
+                    order = np.lexsort((np.broadcast_to(keys, cosine.shape), -cosine), axis=1)[:, :k]
+                    ids = np.repeat(block.column("query_id").to_numpy(zero_copy_only=False), k)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys[order].ravel()), pa.array(np.take_along_axis(cosine, order, 1).ravel())], names=["query_id", key, "cosine"])
+
+    found = vectors.select(F.col(key).cast("bigint").alias("key"), F.col(vector).alias("v")).mapInArrow(run, f"query_id bigint, {key} bigint, cosine double")
     return top(found, key, "cosine", take)
+
+
+def similar_pairs(spark: SparkSession, vectors: DataFrame, key: str, vector: str, least: float) -> DataFrame:
+    """(key, class_id, links): for each unit vector the smallest key of its equals, and how many others are within the cosine.
+
+    Equal vectors meet once, as one class with a size. Classes are sorted by their angle to
+    one direction; two vectors within an angle of each other have angles to it that differ
+    by no more than that, so a block meets only the stretch of the table that can be near
+    it. Links come from exact cosines, and no pair is written out.
+    """
+    scratch = Scratch(spark, "pairs")
+    named = scratch.table(vectors.select(F.col(key).cast("bigint").alias("key"), F.col(vector).alias("v")), "vectors")
+    classes = scratch.table(named.groupBy("v").agg(F.min("key").alias("class_id"), F.count("*").alias("size")), "classes")
+    first = classes.orderBy(F.xxhash64("class_id")).limit(1).collect()
+    if not first:
+        return named.select(F.col("key").alias(key), F.lit(None).cast("bigint").alias("class_id"), F.lit(0).cast("bigint").alias("links"))
+    pole = np.array(first[0]["v"], np.float64)
+    reach = float(np.arccos(np.clip(least, -1, 1))) + 1e-6
+
+    def angles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.arccos(np.clip(_matrix(batch.column("v")) @ pole, -1, 1)) if batch.num_rows else [], pa.float64())], names=[*batch.schema.names, "angle"])
+
+    kind = classes.schema["v"].dataType.simpleString()
+    placed = scratch.table(classes.mapInArrow(angles, f"v {kind}, class_id bigint, size bigint, angle double").repartitionByRange("angle").sortWithinPartitions("angle"), "placed")
+    path = f"{scratch.root}/placed"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, VECTOR_BLOCK):
+                batch = whole.slice(at, VECTOR_BLOCK)
+                v, angle = _matrix(batch.column("v")), batch.column("angle").to_numpy()
+                links = batch.column("size").to_numpy() - 1  # a vector and its equals
+                own = batch.column("class_id").to_numpy()
+                for block in _blocks(path, float(angle.min()) - reach, float(angle.max()) + reach):
+                    near = v @ _matrix(block.column("v")).T >= least
+                    near &= own[:, None] != block.column("class_id").to_numpy()[None, :]
+                    links = links + near @ block.column("size").to_numpy()
+                yield pa.RecordBatch.from_arrays([batch.column("class_id"), pa.array(links, pa.int64())], names=["class_id", "links"])
+
+    counted = scratch.table(placed.mapInArrow(run, "class_id bigint, links bigint"), "counted")
+    member = named.join(classes.where("size > 1").select("v", F.col("class_id").alias("c")), "v", "left").select("key", F.coalesce("c", "key").alias("class_id"))
+    return member.join(small(counted), "class_id").select(F.col("key").alias(key), "class_id", "links")

@@ -49,3 +49,14 @@ def context_precision(rows: DataFrame) -> DataFrame:
 def refusals(rows: DataFrame) -> DataFrame:
     """(kind, n, refused, rate) by kind, and of all as kind null."""
     return rows.rollup("kind").agg(F.count("*").alias("n"), F.count_if("refused").alias("refused"), F.avg(F.col("refused").cast("int")).alias("rate"))
+
+
+def accuracy(rows: DataFrame) -> DataFrame:
+    """The rows (answer, refused, must ARRAY) with correct, false_refusal, and missed, the patterns that an answer lacks."""
+    missed = F.when(F.col("refused"), F.filter("must", lambda p: F.lit(False))).otherwise(F.filter("must", lambda p: ~F.coalesce(F.rlike(F.coalesce("answer", F.lit("")), F.concat(F.lit("(?i)"), p)), F.lit(False))))
+    return rows.withColumn("missed", missed).withColumn("correct", ~F.col("refused") & (F.size("missed") == 0)).withColumn("false_refusal", F.col("refused"))
+
+
+def faithfulness(verdicts: DataFrame, least: int = 80) -> DataFrame:
+    """One row (faithfulness, judged, doubtful) of verdicts (score or null)."""
+    return verdicts.agg(F.avg("score").alias("faithfulness"), F.count("score").alias("judged"), F.count_if(F.col("score") < least).alias("doubtful"))

@@ -6,11 +6,13 @@ bounded array in the JVM, after a single shuffle by query.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkgrove.functions.vectors import dot
+from sparkgrove.operators.dense import dense_topk
 from sparkgrove.operators.lexical import top
+from sparkgrove.storage import Scratch, small
 
 
 def reciprocal_rank_fusion(rankings: list[DataFrame], key: str, take: int, k: int = 60) -> DataFrame:
@@ -39,10 +41,9 @@ def diverse(pool: Column, relevance: str, count: int, balance: float) -> Column:
             return F.when(F.size(a["chosen"]) == 0, x[relevance]).otherwise(F.lit(balance) * x[relevance] - F.lit(1 - balance) * near)
 
         scored = F.transform(a["rest"], lambda x, i: F.struct(worth(x).alias("w"), (-i).alias("at")))
-        best = -F.array_max(scored)["at"]
-        return F.when(F.size(a["rest"]) == 0, a).otherwise(
-            F.struct(F.concat(a["chosen"], F.slice(a["rest"], best + 1, F.lit(1))).alias("chosen"), F.filter(a["rest"], lambda x, i: i != best).alias("rest"))
-        )
+        # the place of the best is bound as a list of one, so that it is worked out once a step
+        taken = F.transform(F.array(-F.array_max(scored)["at"]), lambda at: F.struct(F.concat(a["chosen"], F.slice(a["rest"], at + 1, F.lit(1))).alias("chosen"), F.filter(a["rest"], lambda x, i: i != at).alias("rest")))
+        return F.when(F.size(a["rest"]) == 0, a).otherwise(F.get(taken, F.lit(0)))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(count)), start, step, lambda a: a["chosen"])
 
@@ -60,6 +61,14 @@ def hybrid(dense: DataFrame, lexical: DataFrame, cosines: DataFrame, vectors: Da
     return chosen.select("query_id", F.posexplode("chosen").alias("at", "x")).select("query_id", F.col(f"x.{key}").alias(key), "x.rrf", "x.cosine", (F.col("at") + 1).alias("rank"))
 
 
+def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, lexical_: DataFrame, key: str, vector: str, take: int = 30, **choice: float) -> DataFrame:
+    """:func:`hybrid` of vectors (key, vector) and queries (query_id, vector) with a lexical ranking; only pooled rows meet their vectors again."""
+    near = Scratch(spark, "near").table(dense_topk(spark, vectors, queries, key, vector, take), "near")
+    pool = near.select("query_id", key).union(lexical_.select("query_id", key)).distinct()
+    cosines = pool.join(vectors.select(key, vector), key).join(small(queries.select("query_id", F.col(vector).alias("__q"))), "query_id").select("query_id", key, dot(F.col(vector), F.col("__q")).alias("cosine"))
+    return hybrid(near, lexical_, cosines, vectors, key, vector, take, **choice)
+
+
 def relevant(hits: DataFrame, queries: DataFrame, least: float = 0.55) -> DataFrame:
     """(query_id, best_cosine, relevant) for every query; no hits are not relevant."""
     best = hits.groupBy("query_id").agg(F.max("cosine").alias("best_cosine"))

@@ -92,3 +92,11 @@ def parse_judgement(reply: Column) -> Column:
     score = F.regexp_extract(reply, r"(?i)SCORE:\s*(\d+)", 1).try_cast("int")
     reason = F.trim(F.regexp_extract(reply, r"(?is)REASON:\s*(.+)", 1))
     return F.struct(F.when(score.isNotNull(), F.least(F.greatest(score, F.lit(0)), F.lit(100))).alias("score"), F.when(reason != "", reason).otherwise(F.substring(reply, 1, 200)).alias("reason"))
+
+
+def shown(hits: DataFrame, answers: DataFrame, characters: int = 280) -> DataFrame:
+    """(query_id, rank, use, chunk_id, head, preview): each hit of a question, and whether its answer cited it."""
+    use = F.when(F.array_contains("citations", F.col("rank")), "cited").otherwise("unused")
+    head = F.concat("title", F.when(F.col("section") != "", F.concat(F.lit(" > "), F.col("section"))).otherwise(""))
+    met = hits.join(answers.select("query_id", "citations"), "query_id", "left").withColumn("citations", F.coalesce("citations", F.array().cast("array<int>")))
+    return met.select("query_id", "rank", use.alias("use"), "chunk_id", head.alias("head"), F.left("text", F.lit(characters)).alias("preview"))

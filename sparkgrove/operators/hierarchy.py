@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkgrove.functions.vectors import normalize
+from sparkgrove.operators.dense import _matrix
 
 ROUNDS = 25
 
@@ -30,8 +31,7 @@ def assign(vectors: DataFrame, centroids: np.ndarray, key: str, vector: str) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            v = np.array(part.column("v").to_pylist(), np.float64).reshape(part.num_rows, -1)
-            cosine = v @ centroids.T if part.num_rows else np.zeros((0, len(centroids)))
+            cosine = _matrix(part.column("v")) @ centroids.T if part.num_rows else np.zeros((0, len(centroids)))
             best = cosine.argmax(axis=1) if part.num_rows else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([part.column("k"), pa.array(best.astype(np.int32)), pa.array(cosine[np.arange(part.num_rows), best])], names=["k", "cluster", "cosine"])
 
@@ -40,11 +40,27 @@ def assign(vectors: DataFrame, centroids: np.ndarray, key: str, vector: str) ->
     return read.mapInArrow(run, f"k {kind}, cluster int, cosine double").withColumnRenamed("k", key)
 
 
-def centroid_step(vectors: DataFrame, assigned: DataFrame, key: str, vector: str) -> DataFrame:
-    """(cluster, n, centroid): normalised means; map-side sums by cluster and dimension."""
-    sums = vectors.join(assigned.select(key, "cluster"), key).select("cluster", F.posexplode(vector).alias("d", "x")).groupBy("cluster", "d").agg(F.avg(F.col("x").cast("double")).alias("x"), F.count("*").alias("n"))
-    means = sums.groupBy("cluster").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("mean"))
-    return means.select("cluster", "n", normalize(F.col("mean")).alias("centroid"))
+def centroid_step(vectors: DataFrame, centroids: np.ndarray, vector: str) -> DataFrame:
+    """(cluster, n, centroid): normalised means of the vectors nearest to each centroid.
+
+    Assignment and sums are one pass over the vectors: a task sends one row a cluster.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, sums = np.zeros(len(centroids), np.int64), np.zeros(centroids.shape)
+        for part in batches:
+            if part.num_rows:
+                v = _matrix(part.column("v"))
+                best = (v @ centroids.T).argmax(axis=1)
+                n += np.bincount(best, minlength=len(n))
+                np.add.at(sums, best, v)
+        full = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(n[full]), pa.array(list(sums[full]), pa.list_(pa.float64()))], names=["cluster", "n", "sums"])
+
+    parts = vectors.select(F.col(vector).alias("v")).mapInArrow(run, "cluster int, n bigint, sums array<double>")
+    # a fixed number of dimensions, so the vectors of sums are added place by place
+    added = parts.groupBy("cluster").agg(F.sum("n").alias("n"), *[F.sum(F.get("sums", F.lit(d))).alias(f"d{d}") for d in range(centroids.shape[1])])
+    return added.select("cluster", "n", normalize(F.array(*[F.col(f"d{d}") / F.col("n") for d in range(centroids.shape[1])])).alias("centroid"))
 
 
 def kmeans(spark: SparkSession, vectors: DataFrame, key: str, vector: str, k: int, rounds: int = ROUNDS) -> tuple[DataFrame, np.ndarray]:
@@ -52,7 +68,7 @@ def kmeans(spark: SparkSession, vectors: DataFrame, key: str, vector: str, k: in
     centroids = initial(vectors, k, key, vector)
     for _ in range(rounds):
         new = centroids.copy()
-        for r in centroid_step(vectors, assign(vectors, centroids, key, vector), key, vector).collect():  # k rows
+        for r in centroid_step(vectors, centroids, vector).collect():  # k rows
             new[r["cluster"]] = r["centroid"]
         if np.allclose(new, centroids, atol=1e-9):
             break

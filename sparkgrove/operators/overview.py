@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkgrove.storage import numbered
+
 MOST_SECTIONS = 12
 
 
@@ -30,14 +32,14 @@ def leads(chunks: DataFrame) -> DataFrame:
     return chunks.where("section = ''").withColumn("__r", F.row_number().over(order)).where("__r = 1").drop("__r")
 
 
-def overview_blocks(chunks: DataFrame) -> DataFrame:
-    """(n, chunk_id, title, text): the manifest as block 0, then the leads by title.
+def overview_blocks(spark: SparkSession, chunks: DataFrame) -> DataFrame:
+    """(n, chunk_id, title, section, url, text): the manifest as block 1, then the leads by title.
 
     One block holds a line of every document, as the overview's contract has it.
     """
     lines = manifest(chunks)
     total = lines.agg(F.count("*").alias("d"), F.sum("n").alias("c"), F.array_sort(F.collect_list(F.struct("title", "doc_id", "line"))).alias("l"))
     head = F.concat(F.lit("This collection contains "), F.col("d").cast("string"), F.lit(" documents ("), F.coalesce("c", F.lit(0)).cast("string"), F.lit(" indexed passages in total). The documents and their sections are:\n\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n"))
-    first = total.select(F.lit(0).alias("n"), F.lit("corpus#manifest").alias("chunk_id"), F.lit("Corpus manifest").alias("title"), head.alias("text"))
-    rest = leads(chunks).withColumn("n", F.row_number().over(Window.orderBy("title", "idx"))).select("n", F.col("chunk_id"), "title", "text")
+    first = total.select(F.lit(1).cast("bigint").alias("n"), F.lit("corpus#manifest").alias("chunk_id"), F.lit("Corpus manifest").alias("title"), *[F.lit("").alias(c) for c in ("section", "url")], head.alias("text"))
+    rest = numbered(spark, leads(chunks), "n", "title", "idx").select((F.col("n") + 1).alias("n"), "chunk_id", "title", "section", "url", "text")
     return first.unionByName(rest)

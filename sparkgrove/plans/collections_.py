@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from sparkgrove.functions.text import match_key
 from sparkgrove.operators import builder, corpus, dense, embedding, evaluation, grounding, hierarchy
 from sparkgrove.plans.registry import query
-from sparkgrove.plans.texts import sql_rows, values
+from sparkgrove.plans.search import _HYBRID, _hybrid
+from sparkgrove.plans.texts import made, made_sql
 from sparkgrove.sources.index import index_meta as meta_of
-from sparkgrove.streaming.ingest import sessions, windowed_counts
+from sparkgrove.storage import numbered
+from sparkgrove.streaming.events import sessions, usage, windowed_counts
 from sparkgrove.tables import table
 
 
@@ -18,15 +20,15 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-# the corpus as a table: the first half of the ids is there, the rest comes in
+# the corpus as a table: half of the documents is there, and all of them come in
 @query(
     "content_dedup",
-    """WITH old AS (SELECT * FROM documents WHERE doc_id % 2 = 0), new AS (SELECT *, sha1(text) AS h FROM documents WHERE doc_id % 3 = 0)
+    """WITH old AS (SELECT * FROM documents WHERE doc_id % 2 = 0), new AS (SELECT *, sha1(text) AS h FROM documents)
     SELECT doc_id, h AS text_sha1 FROM new WHERE h NOT IN (SELECT sha1(text) FROM old) AND doc_id NOT IN (SELECT doc_id FROM old) QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id) = 1""",
 )
 def content_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _docs(spark, sf_dir).select("doc_id", "text")
-    new = corpus.add(d.where("doc_id % 2 = 0"), d.where("doc_id % 3 = 0").withColumn("at", F.col("doc_id")), "at")
+    new = corpus.add(d.where("doc_id % 2 = 0"), d.withColumn("at", F.col("doc_id")), "at")
     return new.select("doc_id", corpus.text_hash().alias("text_sha1"))
 
 
@@ -67,9 +69,8 @@ def embed_cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("corpus_listing", "SELECT doc_id, lower(source) AS title, len(text) AS characters, row_number() OVER (ORDER BY doc_id::VARCHAR || '.json') AS doc_ord FROM documents")
 def corpus_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the order of a whole listing is one sort of narrow rows
-    narrow = _docs(spark, sf_dir).select("doc_id", F.lower("source").alias("title"), F.length("text").cast("bigint").alias("characters"))
-    return narrow.withColumn("doc_ord", F.row_number().over(Window.orderBy(F.concat(F.col("doc_id").cast("string"), F.lit(".json")))).cast("bigint"))
+    narrow = _docs(spark, sf_dir).select("doc_id", F.lower("source").alias("title"), F.length("text").cast("bigint").alias("characters"), F.concat(F.col("doc_id").cast("string"), F.lit(".json")).alias("file"))
+    return numbered(spark, narrow, "doc_ord", "file").drop("file")
 
 
 @query("corpus_totals", "SELECT count(*) AS documents, sum(len(text))::BIGINT AS characters, count(DISTINCT doc_id) AS ids FROM documents")
@@ -86,68 +87,85 @@ def index_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 # answers
 @query(
     "render_context",
-    """WITH h AS (SELECT doc_id % 7 AS query_id, doc_id, source, lang, left(text, 80) AS text, row_number() OVER (PARTITION BY doc_id % 7 ORDER BY n_chars DESC, doc_id) AS rank FROM documents QUALIFY rank <= 6)
-    SELECT query_id, string_agg('[' || rank || '] SOURCE: ' || source || CASE WHEN lang <> 'en' THEN ' > ' || lang ELSE '' END || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context FROM h GROUP BY 1""",
+    """WITH h AS (SELECT doc_id % 7 AS query_id, doc_id, source, lang, text, row_number() OVER (PARTITION BY doc_id % 7 ORDER BY n_chars DESC, doc_id) AS rank FROM documents QUALIFY rank <= 6),
+    c AS (SELECT query_id, string_agg('[' || rank || '] SOURCE: ' || source || CASE WHEN lang <> 'en' THEN ' > ' || lang ELSE '' END || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context FROM h GROUP BY 1)
+    SELECT query_id, len(context) AS characters, sha1(context) AS context_sha1 FROM c""",
 )
 def render_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("n_chars"), "doc_id")
     hits = _docs(spark, sf_dir).withColumn("query_id", F.col("doc_id") % 7).withColumn("rank", F.row_number().over(order)).where("rank <= 6")
-    return grounding.context(hits.select("query_id", "rank", F.col("source").alias("title"), F.when(F.col("lang") != "en", F.col("lang")).otherwise("").alias("section"), F.left("text", F.lit(80)).alias("text")))
+    made_ = grounding.context(hits.select("query_id", "rank", F.col("source").alias("title"), F.when(F.col("lang") != "en", F.col("lang")).otherwise("").alias("section"), "text"))
+    return made_.select("query_id", F.length("context").cast("bigint").alias("characters"), F.sha1(F.col("context").cast("binary")).alias("context_sha1"))
 
 
-_REPLIES = [(1, "Yes [1]. Also [2][2].", 3), (2, "Nothing cited.", 3), (3, "Wrong [9] .", 3), (4, "Mixed [1][9] , ok  [2].", 3), (5, "So INSUFFICIENT_CONTEXT here [1]", 3), (6, "No hits [1]", 0), (7, "Zero [0] and [3].", 3)]
+#: Replies made of the turns of conversations, with valid, invalid, repeated and missing citations.
+_REPLIES = {
+    "query_id": "conv_id * 1000 + turn",
+    "reply": "text || ' [' || (turn + 1) || '] ' || CASE conv_id % 7 WHEN 0 THEN '[9] .' WHEN 1 THEN 'INSUFFICIENT_CONTEXT' WHEN 2 THEN '[2][2]' WHEN 3 THEN '[0] and  [3] , so.' WHEN 4 THEN '[77].' ELSE '' END",
+    "n_hits": "CAST(conv_id % 4 AS INT)",
+}
+_CITED = f"""r AS (SELECT *, list_sort(list_distinct(list_transform(regexp_extract_all(reply, '\\[(\\d+)\\]', 1), lambda x: x::INT))) AS c FROM {made_sql("conversations", **_REPLIES)}),
+s AS (SELECT *, list_filter(c, lambda x: x BETWEEN 1 AND n_hits) AS v, list_filter(c, lambda x: NOT x BETWEEN 1 AND n_hits) AS i FROM r),
+t AS (SELECT *, n_hits = 0 OR contains(reply, 'INSUFFICIENT_CONTEXT') OR len(v) = 0 AS refused FROM s)"""
+_VERIFIED = """SELECT query_id, refused, CASE WHEN refused THEN '' ELSE array_to_string(v, ',') END AS citations, array_to_string(i, ',') AS invalid,
+  CASE WHEN refused THEN NULL WHEN len(i) > 0 THEN trim(regexp_replace(regexp_replace(regexp_replace(reply, '\\[(' || array_to_string(i, '|') || ')\\]', '', 'g'), '\\s{2,}', ' ', 'g'), '\\s+([.,;:!?])', '\\1', 'g')) ELSE reply END AS answer,
+  CASE WHEN n_hits > 0 AND NOT contains(reply, 'INSUFFICIENT_CONTEXT') AND len(v) = 0 THEN 'no valid citation' WHEN NOT refused AND len(i) > 0 THEN 'invalid citations removed' END AS note FROM t"""
 
 
-@query(
-    "verify_citations",
-    f"""WITH r AS (SELECT *, list_sort(list_distinct(list_transform(regexp_extract_all(reply, '\\[(\\d+)\\]', 1), lambda x: x::INT))) AS c FROM {sql_rows(_REPLIES, "query_id, reply, n_hits")}),
-    s AS (SELECT *, list_filter(c, lambda x: x BETWEEN 1 AND n_hits) AS v, list_filter(c, lambda x: NOT x BETWEEN 1 AND n_hits) AS i FROM r),
-    t AS (SELECT *, n_hits = 0 OR contains(reply, 'INSUFFICIENT_CONTEXT') OR len(v) = 0 AS refused FROM s)
-    SELECT query_id, refused, CASE WHEN refused THEN '' ELSE array_to_string(v, ',') END AS citations, array_to_string(i, ',') AS invalid,
-      CASE WHEN refused THEN NULL WHEN len(i) > 0 THEN trim(regexp_replace(regexp_replace(regexp_replace(reply, '\\[(' || array_to_string(i, '|') || ')\\]', '', 'g'), '\\s{{2,}}', ' ', 'g'), '\\s+([.,;:!?])', '\\1', 'g')) ELSE reply END AS answer,
-      CASE WHEN n_hits > 0 AND NOT contains(reply, 'INSUFFICIENT_CONTEXT') AND len(v) = 0 THEN 'no valid citation' WHEN NOT refused AND len(i) > 0 THEN 'invalid citations removed' END AS note FROM t""",
-)
+def _listed(verified: DataFrame) -> DataFrame:
+    return verified.withColumn("citations", F.array_join(F.col("citations").cast("array<string>"), ",")).withColumn("invalid", F.array_join(F.col("invalid").cast("array<string>"), ","))
+
+
+@query("verify_citations", f"WITH {_CITED} {_VERIFIED}")
 def verify_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = grounding.verify(values(spark, _REPLIES, "query_id int, reply string, n_hits int"))
-    return v.withColumn("citations", F.array_join(F.col("citations").cast("array<string>"), ",")).withColumn("invalid", F.array_join(F.col("invalid").cast("array<string>"), ","))
+    return _listed(grounding.verify(made(spark, sf_dir, "conversations", **_REPLIES)))
 
 
 @query(
     "citation_sources",
-    f"""WITH h AS (SELECT row_number() OVER (ORDER BY doc_id) AS n, doc_id, source, lang FROM documents QUALIFY n <= 3),
-    c AS (SELECT query_id, unnest(list_distinct(list_transform(regexp_extract_all(reply, '\\[(\\d+)\\]', 1), lambda x: x::INT))) AS n FROM {sql_rows(_REPLIES, "query_id, reply, n_hits")} WHERE n_hits > 0 AND NOT contains(reply, 'INSUFFICIENT_CONTEXT'))
-    SELECT query_id, n, source AS title, lang AS section, '' AS url, doc_id || '#0' AS chunk_id, round(1.0::DOUBLE / (n + 2), 3) AS cosine FROM c JOIN h USING (n)""",
+    f"""WITH {_CITED}, h AS (SELECT row_number() OVER (ORDER BY doc_id) AS n, doc_id, source, lang FROM documents QUALIFY n <= 3)
+    SELECT query_id, n, source AS title, lang AS section, '' AS url, doc_id || '#0' AS chunk_id, round(1.0::DOUBLE / (n + 2), 3) AS cosine FROM (SELECT query_id, unnest(v) AS n FROM t WHERE NOT refused) JOIN h USING (n)""",
 )
 def citation_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = _docs(spark, sf_dir).orderBy("doc_id").limit(3).select("doc_id", "source", "lang").withColumn("rank", F.row_number().over(Window.orderBy("doc_id")))
-    replies = values(spark, _REPLIES, "query_id int, reply string, n_hits int")
-    hits = first.crossJoin(replies.select("query_id")).select("query_id", "rank", F.col("source").alias("title"), F.col("lang").alias("section"), F.lit("").alias("url"), F.concat_ws("#", F.col("doc_id").cast("string"), F.lit("0")).alias("chunk_id"), (1.0 / (F.col("rank") + 2)).alias("cosine"))
+    first = _docs(spark, sf_dir).orderBy("doc_id").limit(3).select("doc_id", "source", "lang").withColumn("rank", F.row_number().over(Window.orderBy("doc_id")))  # three rows
+    replies = made(spark, sf_dir, "conversations", **_REPLIES)
+    hits = replies.select("query_id").crossJoin(F.broadcast(first)).select("query_id", "rank", F.col("source").alias("title"), F.col("lang").alias("section"), F.lit("").alias("url"), F.concat_ws("#", F.col("doc_id").cast("string"), F.lit("0")).alias("chunk_id"), (1.0 / (F.col("rank") + 2)).alias("cosine"))
     return grounding.sources(grounding.verify(replies), hits).withColumn("n", F.col("n").cast("bigint"))
 
 
-_JUDGED = [(1, "SCORE: 250\nREASON: all there"), (2, "REASON: no number"), (3, "score: 70"), (4, "nonsense")]
+_JUDGED = {
+    "id": "conv_id * 1000 + turn",
+    "reply": "CASE conv_id % 4 WHEN 0 THEN 'SCORE: ' || (turn * 37) || chr(10) || 'REASON: ' || text WHEN 1 THEN 'REASON: ' || text WHEN 2 THEN 'score: ' || turn ELSE text END",
+}
 
 
 @query(
     "judge_parse",
-    f"""SELECT id, CASE WHEN regexp_matches(reply, '(?i)SCORE:\\s*\\d') THEN least(100, regexp_extract(reply, '(?i)SCORE:\\s*(\\d+)', 1)::INT)::VARCHAR END AS score, coalesce(nullif(trim(regexp_extract(reply, '(?is)REASON:\\s*(.+)', 1)), ''), left(reply, 200)) AS reason FROM {sql_rows(_JUDGED, "id, reply")}""",
+    f"""SELECT id, CASE WHEN regexp_matches(reply, '(?i)SCORE:\\s*\\d') THEN least(100, regexp_extract(reply, '(?i)SCORE:\\s*(\\d+)', 1)::INT)::VARCHAR END AS score, coalesce(nullif(trim(regexp_extract(reply, '(?is)REASON:\\s*(.+)', 1)), ''), left(reply, 200)) AS reason FROM {made_sql("conversations", **_JUDGED)}""",
 )
 def judge_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return values(spark, _JUDGED, "id int, reply string").select("id", grounding.parse_judgement(F.col("reply")).alias("j")).select("id", F.col("j.score").cast("string").alias("score"), "j.reason")
+    return made(spark, sf_dir, "conversations", **_JUDGED).select("id", grounding.parse_judgement(F.col("reply")).alias("j")).select("id", F.col("j.score").cast("string").alias("score"), "j.reason")
 
 
-@query("answer_questions")
+@query(
+    "answer_questions",
+    f"""WITH RECURSIVE {_HYBRID},
+    b AS (SELECT query_id, rank, trim(d.text, E' \\n\\t\\r') AS text, len(list_intersect(list_distinct(regexp_extract_all(lower(d.text), '[a-z0-9]{{2,}}')), list_distinct(regexp_extract_all(lower(q.text), '[a-z0-9]{{2,}}')))) AS shared FROM found JOIN documents d USING (doc_id) JOIN benchmark q ON item_id = query_id),
+    e AS (SELECT query_id, count(*) AS n_hits, arg_max({{'n': rank, 't': text, 's': shared}}, {{'s': shared, 'r': -rank}}) AS x FROM b GROUP BY query_id),
+    r AS (SELECT item_id AS query_id, coalesce(n_hits, 0) AS n_hits, CASE WHEN coalesce(x.s, 0) = 0 THEN 'INSUFFICIENT_CONTEXT' ELSE CASE WHEN regexp_matches(x.t, '(?s)^.*?[.!?]\\s') THEN regexp_extract(x.t, '(?s)^(.*?[.!?])\\s', 1) ELSE x.t END || ' [' || x.n || ']' END AS reply FROM benchmark LEFT JOIN e ON query_id = item_id),
+    cited AS (SELECT *, list_sort(list_distinct(list_transform(regexp_extract_all(reply, '\\[(\\d+)\\]', 1), lambda x: x::INT))) AS c FROM r),
+    u AS (SELECT *, list_filter(c, lambda x: x BETWEEN 1 AND n_hits) AS v, list_filter(c, lambda x: NOT x BETWEEN 1 AND n_hits) AS i FROM cited),
+    t AS (SELECT *, n_hits = 0 OR contains(reply, 'INSUFFICIENT_CONTEXT') OR len(v) = 0 AS refused FROM u) {_VERIFIED}""",
+)
 def answer_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search, context, extractive answer and its checks for every benchmark question."""
-    from sparkgrove.plans.search import _hybrid
-
-    hits, _ = _hybrid(spark, sf_dir)
+    hits = _hybrid(spark, sf_dir)[0]
     docs = _docs(spark, sf_dir).select("doc_id", F.col("source").alias("title"), F.lit("").alias("section"), "text")
     blocks = grounding.context(hits.join(docs, "doc_id"))
     counts = hits.groupBy("query_id").agg(F.count("*").alias("n_hits"))
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
     ready = asked.join(blocks, "query_id", "left").join(counts, "query_id", "left").select("query_id", F.coalesce("n_hits", F.lit(0)).alias("n_hits"), grounding.prompt(F.col("question"), F.coalesce("context", F.lit(""))).alias("prompt"))
-    return grounding.verify(grounding.generate(ready, grounding.ExtractiveGenerator()))
+    return _listed(grounding.verify(grounding.generate(ready, grounding.ExtractiveGenerator())))
 
 
 # evaluation
@@ -174,36 +192,50 @@ def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("questions", *[F.round(c, 6).alias(c) for c in ("recall", "mrr", "ndcg")])
 
 
-_HITS = [(1, "ec2-image-builder-ab12cd", 1), (1, "ec2-0a1b2c", 2), (1, "ec2-image-builder-ab12cd", 3), (2, "s3", 1), (3, "other-123456", 1)]
-_WANT = [(1, "ec2"), (2, "s3"), (3, "lambda")]
+#: Hits of fifty questions: ids with a tail of six hex digits, with a longer name, and bare ones.
+_HITS = {
+    "query_id": "vec_id % 50",
+    "doc_id": "'svc' || (label % 7) || CASE vec_id % 3 WHEN 0 THEN '' WHEN 1 THEN '-' || substr(md5(CAST(vec_id AS STRING)), 1, 6) ELSE '-image-' || substr(md5(CAST(vec_id AS STRING)), 1, 6) END",
+    "rank": "CAST(floor(vec_id / 50) AS INT) + 1",
+}
+_WANT = {"query_id": "vec_id", "want": "'svc' || (vec_id % 7)"}
 
 
 @query(
     "doc_rank_prefix",
-    f"""WITH h AS {sql_rows(_HITS, "query_id, doc_id, rank")}, w AS {sql_rows(_WANT, "query_id, want")},
+    f"""WITH h AS {made_sql("embeddings", **_HITS)}, w AS {made_sql("embeddings", **_WANT)},
     m AS (SELECT query_id, doc_id, min(rank) AS first FROM h GROUP BY ALL), o AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY first) AS doc_rank FROM m)
-    SELECT w.query_id, want, min(doc_rank) FILTER (doc_id = want OR starts_with(doc_id, want || '-'))::VARCHAR AS rank, min(doc_rank) FILTER (doc_id = want OR regexp_matches(doc_id, '^' || want || '-[0-9a-f]{{6}}$'))::VARCHAR AS exact_rank FROM w LEFT JOIN o USING (query_id) GROUP BY w.query_id, want""",
+    SELECT w.query_id, want, min(doc_rank) FILTER (doc_id = want OR starts_with(doc_id, want || '-'))::VARCHAR AS rank, min(doc_rank) FILTER (doc_id = want OR regexp_matches(doc_id, '^' || want || '-[0-9a-f]{{6}}$'))::VARCHAR AS exact_rank FROM w LEFT JOIN o USING (query_id) WHERE w.query_id < 50 GROUP BY w.query_id, want""",
 )
 def doc_rank_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks = evaluation.document_ranks(values(spark, _HITS, "query_id int, doc_id string, rank int"))
-    wanted = values(spark, _WANT, "query_id int, want string")
+    ranks = evaluation.document_ranks(made(spark, sf_dir, "embeddings", **_HITS))
+    wanted = made(spark, sf_dir, "embeddings", **_WANT).where("query_id < 50")  # the questions that hits were made for
     exact = evaluation.wanted_rank(ranks, wanted, exact=True).select("query_id", F.col("rank").cast("string").alias("exact_rank"))
     return evaluation.wanted_rank(ranks, wanted).withColumn("rank", F.col("rank").cast("string")).join(exact, "query_id")
 
 
-_ANSWERS = [(1, "It has 11 nines and stores objects", "11 nines", 6, 1, "fact"), (2, "Refers to GB", "128 MB", 6, 2, "fact"), (3, "", "x", 0, 0, "adjacent"), (4, "stores OBJECTS", "objects?", 4, 2, "adjacent")]
+#: Answers are texts, and the facts they must state are short patterns.
+_ANSWERS = {"id": "doc_id", "answer": "CASE WHEN doc_id % 11 = 0 THEN '' ELSE text END", "must": "lang || '.' || substr(source, 1, 1)", "n_hits": "CAST(doc_id % 7 AS INT)", "n_cited": "CAST(least(doc_id % 4, doc_id % 7) AS INT)", "refused": "doc_id % 11 = 0"}
 
 
-@query("context_precision", f"SELECT round(avg(n_cited::DOUBLE / n_hits), 6) AS context_precision FROM {sql_rows(_ANSWERS, 'id, answer, must, n_hits, n_cited, kind')} WHERE n_hits > 0")
+@query("context_precision", f"SELECT round(avg(n_cited::DOUBLE / n_hits), 6) AS context_precision FROM {made_sql('documents', **_ANSWERS)} WHERE n_hits > 0")
 def context_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = values(spark, _ANSWERS, "id int, answer string, must string, n_hits int, n_cited int, kind string")
-    return evaluation.context_precision(rows).select(F.round("context_precision", 6).alias("context_precision"))
+    return evaluation.context_precision(made(spark, sf_dir, "documents", **_ANSWERS)).select(F.round("context_precision", 6).alias("context_precision"))
 
 
-@query("answer_accuracy", f"SELECT id, answer <> '' AND regexp_matches(answer, '(?i)' || must) AS correct FROM {sql_rows(_ANSWERS, 'id, answer, must, n_hits, n_cited, kind')}")
+@query("answer_accuracy", f"SELECT id, NOT refused AND regexp_matches(answer, '(?i)' || must) AS correct, refused AS false_refusal, CASE WHEN NOT refused AND NOT regexp_matches(answer, '(?i)' || must) THEN must ELSE '' END AS missed FROM {made_sql('documents', **_ANSWERS)}")
 def answer_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = values(spark, _ANSWERS, "id int, answer string, must string, n_hits int, n_cited int, kind string")
-    return rows.select("id", ((F.col("answer") != "") & evaluation.facts_met(F.col("answer"), F.array("must"))).alias("correct"))
+    scored = evaluation.accuracy(made(spark, sf_dir, "documents", **_ANSWERS).withColumn("must", F.array("must")))
+    return scored.select("id", "correct", "false_refusal", F.array_join("missed", ",").alias("missed"))
+
+
+#: Verdicts of a judge, some without a score.
+_VERDICTS = {"query_id": "doc_id", "score": "CASE WHEN doc_id % 5 = 0 THEN NULL ELSE CAST(doc_id % 101 AS INT) END"}
+
+
+@query("faithfulness", f"SELECT round(avg(score), 6) AS faithfulness, count(score) AS judged, count(*) FILTER (score < 80) AS doubtful FROM {made_sql('documents', **_VERDICTS)}")
+def faithfulness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.faithfulness(made(spark, sf_dir, "documents", **_VERDICTS)).withColumn("faithfulness", F.round("faithfulness", 6))
 
 
 @query("refusal_by_kind", "SELECT quality::VARCHAR AS kind, count(*) AS n, count(*) FILTER (toxic = 1) AS refused, round(avg(toxic), 6) AS rate FROM labels GROUP BY ROLLUP (quality)")
@@ -237,104 +269,155 @@ def kmeans_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def kmeans_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
-    assigned = hierarchy.assign(v, hierarchy.initial(v, 10, "vec_id", "embedding"), "vec_id", "embedding")
-    step = hierarchy.centroid_step(v, assigned, "vec_id", "embedding")
+    step = hierarchy.centroid_step(v, hierarchy.initial(v, 10, "vec_id", "embedding"), "embedding")
     return step.select(F.col("cluster").cast("bigint").alias("cluster"), "n", F.round(F.array_max("centroid"), 5).alias("largest"))
 
 
-@query("kmeans_clusters")
+def _round_sql(k: int) -> str:
+    """One round of k-means: centroids of the assignment before, an empty cluster's stays; then the next assignment."""
+    return f"""s{k} AS (SELECT cluster, d, avg(x::DOUBLE) AS x FROM (SELECT cluster, unnest(embedding) AS x, unnest(range(64)) AS d FROM a{k - 1}) GROUP BY cluster, d),
+m{k} AS (SELECT cluster, list(x ORDER BY d) AS v FROM s{k} GROUP BY cluster),
+c{k} AS MATERIALIZED (SELECT c.cluster, CASE WHEN m.v IS NULL THEN c.embedding ELSE list_transform(m.v, lambda x: x / sqrt(list_sum(list_transform(m.v, lambda y: y * y)))) END AS embedding FROM c{k - 1} c LEFT JOIN m{k} m USING (cluster)),
+a{k} AS MATERIALIZED (SELECT b.vec_id, b.embedding, c.cluster FROM embeddings b, c{k} c QUALIFY row_number() OVER (PARTITION BY b.vec_id ORDER BY list_sum(list_transform(list_zip(c.embedding, b.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) DESC, c.cluster) = 1)"""
+
+
+_KMEANS_ROUNDS = 3
+
+
+@query(
+    "kmeans_clusters",
+    f"""WITH {_K}, c0 AS MATERIALIZED (SELECT cluster, embedding::DOUBLE[] AS embedding FROM i), a0 AS MATERIALIZED (SELECT vec_id, embedding, cluster FROM n), {', '.join(map(_round_sql, range(1, _KMEANS_ROUNDS + 1)))}
+    SELECT vec_id, cluster FROM a{_KMEANS_ROUNDS}""",
+)
 def kmeans_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The loop for a few rounds; all rounds are in the small tests."""
     v = table(spark, sf_dir, "embeddings")
-    return hierarchy.kmeans(spark, v, "vec_id", "embedding", 10)[0].select("vec_id", "cluster")
+    return hierarchy.kmeans(spark, v, "vec_id", "embedding", 10, rounds=_KMEANS_ROUNDS)[0].select("vec_id", F.col("cluster").cast("bigint").alias("cluster"))
 
 
 @query(
     "cluster_summaries",
-    """WITH c AS (SELECT doc_id % 9 AS cluster, doc_id AS idx, doc_id, lang AS title, left(text, 300) AS text FROM documents),
+    """WITH c AS (SELECT doc_id % 9 AS cluster, doc_id AS idx, doc_id, lang AS title, text FROM documents),
     n AS (SELECT cluster, count(*) AS m, count(DISTINCT doc_id) AS docs FROM c GROUP BY 1),
     l AS (SELECT cluster, title, arg_max(text, {'l': len(text), 'i': -idx}) AS text FROM c GROUP BY ALL),
     s AS (SELECT cluster, count(*) AS k, string_agg('- ' || title || ': ' || rtrim(trim(split_part(text, '. ', 1)), '.') || '.', chr(10) ORDER BY title) AS lines FROM l GROUP BY 1 HAVING count(*) >= 2)
     SELECT cluster, '_cluster_' || lpad(cluster::VARCHAR, 3, '0') AS doc_id, '_cluster_' || lpad(cluster::VARCHAR, 3, '0') || '#0' AS chunk_id, 'Cluster summary (' || k || ' related items)' AS title, m || ' leaf chunks, ' || docs || ' documents' AS section, 'This group covers ' || k || ' related items:' || chr(10) || lines AS text FROM s JOIN n USING (cluster)""",
 )
 def cluster_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hierarchy.summaries(_docs(spark, sf_dir).select((F.col("doc_id") % 9).alias("cluster"), F.col("doc_id").alias("idx"), "doc_id", F.col("lang").alias("title"), F.left("text", F.lit(300)).alias("text")))
+    return hierarchy.summaries(_docs(spark, sf_dir).select((F.col("doc_id") % 9).alias("cluster"), F.col("doc_id").alias("idx"), "doc_id", F.col("lang").alias("title"), "text"))
+
+
+#: Sources stand for documents with hits; the first two of each question are cited.
+_SHOWN = {"query_id": "doc_id % 40", "rank": "CAST(floor(doc_id / 40) AS INT) + 1", "chunk_id": "source || '#' || doc_id", "title": "source", "section": "CASE WHEN doc_id % 2 = 0 THEN '' ELSE lang END", "text": "text"}
+
+
+@query("show_chunks", f"SELECT query_id, rank, CASE WHEN rank <= 2 THEN 'cited' ELSE 'unused' END AS use, chunk_id, title || CASE WHEN section <> '' THEN ' > ' || section ELSE '' END AS head, left(text, 280) AS preview FROM {made_sql('documents', **_SHOWN)}")
+def show_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = made(spark, sf_dir, "documents", **_SHOWN)
+    cited = hits.select("query_id").distinct().withColumn("citations", F.array(F.lit(1), F.lit(2)))
+    return grounding.shown(hits, cited)
 
 
 # the corpus builder
 _CATS, _IGNORED, _BARE = ["Compute", "Storage"], ["Compare options"], ["Elastic Pool"]
-_TOC = ["Introduction ..... 1", "Compute ....... 3", "Amazon Alpha ........ 3", "Compare options ..... 4", "Elastic Pool .... 5", "AWS  Beta ..... 6", "Storage ..... 7", "Amazon Gamma ..... 8", "Amazon Alpha ..... 9", "not a line"]
-_BODY = ["Overview header", "Compute", "Amazon Alpha", "Amazon Alpha runs things.", "", "", "", "More.", "Amazon Alpha 12", "iv", "17", "Compare options", "Amazon Delta", "", "Amazon Delta is new.", "Elastic Pool", "Pools.", "Storage", "Lost line", "Amazon Gamma", "Keeps.", "Amazon Alpha", "Second text."]
-_TOC_ROWS, _BODY_ROWS = list(enumerate(_TOC)), list(enumerate(_BODY))
+#: One reference text a part of ``part``: its contents list and its body, with names of its own.
+_TOC = {
+    "doc": "p_partkey",
+    "lines": "array('Introduction ..... 1', 'Compute ....... 3', 'Amazon ' || p_brand || ' ........ ' || p_size, 'Compare options ..... 4', 'Elastic Pool .... 5', 'AWS  ' || p_name || ' ..... 6', 'Storage ..... 7', 'Amazon Gamma ..... 8', 'Amazon ' || p_brand || ' ..... 9', p_name)",
+}
+_BODY = {
+    "doc": "p_partkey",
+    "lines": "array('Overview header', 'Compute', 'Amazon ' || p_brand, 'Amazon ' || p_brand || ' runs things.', '', '', '', 'More ' || p_name || '.', 'Amazon ' || p_brand || ' 12', 'iv', '17', 'Compare options', 'Amazon ' || p_type, '', 'Amazon ' || p_type || ' is new.', 'Elastic Pool', 'Pools.', 'Storage', 'Lost line', 'Amazon Gamma', 'Keeps.', 'Amazon ' || p_brand, 'Second text of ' || p_name || '.')",
+}
 _IN = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
-_PARSED = f"""t AS {sql_rows(_TOC_ROWS, "line_no, line")},
-n AS (SELECT line_no, trim(regexp_replace(regexp_extract(line, '^(.+?)\\s{{0,}}[.]{{4,}}\\s{{0,}}([0-9]+)\\s{{0,}}$', 1), '\\s+', ' ', 'g')) AS name, try_cast(nullif(regexp_extract(line, '^(.+?)\\s{{0,}}[.]{{4,}}\\s{{0,}}([0-9]+)\\s{{0,}}$', 2), '') AS INT) AS page FROM t),
+
+
+def _lines(spark: SparkSession, sf_dir: str, what: dict[str, str]) -> DataFrame:
+    return made(spark, sf_dir, "part", **what).select("doc", F.posexplode("lines").alias("line_no", "line"))
+
+
+def _lines_sql(what: dict[str, str]) -> str:
+    inner = made_sql("part", **what).replace("array(", "list_value(")
+    return f"(SELECT doc, unnest(range(len(lines)))::INT AS line_no, unnest(lines) AS line FROM {inner})"
+
+
+_PARSED = f"""t AS {_lines_sql(_TOC)},
+n AS (SELECT doc, line_no, trim(regexp_replace(regexp_extract(line, '^(.+?)\\s*[.]{{4,}}\\s*([0-9]+)\\s*$', 1), '\\s+', ' ', 'g')) AS name, try_cast(nullif(regexp_extract(line, '^(.+?)\\s*[.]{{4,}}\\s*([0-9]+)\\s*$', 2), '') AS INT) AS page FROM t),
 f AS (SELECT *, name NOT IN {_IN(_CATS + _IGNORED)} AND (name IN {_IN(_BARE)} OR starts_with(name, 'Amazon ') OR starts_with(name, 'AWS ')) AS service FROM n WHERE len(name) >= 3),
-g AS (SELECT *, coalesce(last_value(CASE WHEN name IN {_IN(_CATS)} THEN name END IGNORE NULLS) OVER (ORDER BY line_no), 'Uncategorised') AS category FROM f),
-s AS (SELECT line_no AS ord, name, category, page FROM g WHERE service QUALIFY row_number() OVER (PARTITION BY name ORDER BY line_no) = 1)"""
+g AS (SELECT *, coalesce(last_value(CASE WHEN name IN {_IN(_CATS)} THEN name END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY line_no), 'Uncategorised') AS category FROM f),
+s AS (SELECT doc, line_no AS ord, name, category, page FROM g WHERE service QUALIFY row_number() OVER (PARTITION BY doc, name ORDER BY line_no) = 1)"""
 
 
-def _services(spark: SparkSession) -> DataFrame:
-    return builder.contents(values(spark, _TOC_ROWS, "line_no int, line string"), _CATS, _IGNORED, _BARE)
+def _services(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return builder.contents(_lines(spark, sf_dir, _TOC), _CATS, _IGNORED, _BARE)
 
 
-def _body(spark: SparkSession) -> DataFrame:
-    names = _services(spark).select("name").union(values(spark, [(c,) for c in _CATS], "name string"))
-    return builder.content_lines(values(spark, _BODY_ROWS, "line_no int, line string"), names, "Overview header")
+def _body(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = _services(spark, sf_dir).select("doc", "name")
+    names = known.union(made(spark, sf_dir, "part", doc="p_partkey").select("doc", F.explode(F.array(*map(F.lit, _CATS)))))
+    return builder.content_lines(_lines(spark, sf_dir, _BODY), names, "Overview header")
 
 
 @query("toc_parse", f"WITH {_PARSED} SELECT * FROM s")
 def toc_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _services(spark)
+    return _services(spark, sf_dir)
 
 
-_KEPT = f"""{_PARSED}, b AS {sql_rows(_BODY_ROWS, "line_no, line")},
-x AS (SELECT line_no, line FROM b WHERE trim(line) = '' OR (trim(line) <> 'Overview header' AND NOT regexp_full_match(trim(line), '(?i)([ivxlcdm]+|\\d{{1,3}})')
-  AND trim(regexp_extract(trim(line), '^(.+?)\\s+\\d{{1,3}}$', 1)) NOT IN (SELECT name FROM s UNION SELECT unnest({_CATS})))),
-e AS (SELECT *, coalesce(nullif(lead(line, 1) OVER (ORDER BY line_no), ''), nullif(lead(line, 2) OVER (ORDER BY line_no), ''), '') AS nxt, coalesce(last_value(CASE WHEN line IN {_IN(_CATS)} THEN line END IGNORE NULLS) OVER (ORDER BY line_no), 'Uncategorised') AS category FROM x),
-z AS (SELECT line_no AS ord, line AS name, category FROM e WHERE (starts_with(line, 'Amazon ') OR starts_with(line, 'AWS ')) AND len(line) <= 60 AND starts_with(nxt, line) AND line NOT IN (SELECT name FROM s) QUALIFY row_number() OVER (PARTITION BY line ORDER BY line_no) = 1)"""
+_KEPT = f"""{_PARSED}, b AS {_lines_sql(_BODY)},
+x AS (SELECT doc, line_no, line FROM b WHERE trim(line) = '' OR (trim(line) <> 'Overview header' AND NOT regexp_full_match(trim(line), '(?i)([ivxlcdm]+|\\d{{1,3}})')
+  AND NOT EXISTS (SELECT 1 FROM (SELECT doc, name FROM s UNION SELECT p_partkey, unnest({_CATS}) FROM part) k WHERE k.doc = b.doc AND k.name = trim(regexp_extract(trim(line), '^(.+?)\\s+\\d{{1,3}}$', 1))))),
+e AS (SELECT *, coalesce(nullif(lead(line, 1) OVER (PARTITION BY doc ORDER BY line_no), ''), nullif(lead(line, 2) OVER (PARTITION BY doc ORDER BY line_no), ''), '') AS nxt, coalesce(last_value(CASE WHEN line IN {_IN(_CATS)} THEN line END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY line_no), 'Uncategorised') AS category FROM x),
+z AS (SELECT doc, line_no AS ord, line AS name, category FROM e WHERE (starts_with(line, 'Amazon ') OR starts_with(line, 'AWS ')) AND len(line) <= 60 AND starts_with(nxt, line) AND (doc, line) NOT IN (SELECT (doc, name) FROM s) QUALIFY row_number() OVER (PARTITION BY doc, line ORDER BY line_no) = 1),
+a AS (SELECT doc, name FROM s UNION SELECT doc, name FROM z), y AS (SELECT doc, line_no, line, (doc, line) IN (SELECT (doc, name) FROM a) AS head FROM x WHERE line NOT IN {_IN(_IGNORED)}),
+q AS (SELECT *, head OR line IN {_IN(_CATS)} AS cut, sum((head OR line IN {_IN(_CATS)})::INT) OVER (PARTITION BY doc ORDER BY line_no) AS sec FROM y), h AS (SELECT doc, sec, line AS name FROM q WHERE head),
+p AS (SELECT doc, sec, string_agg(line, chr(10) ORDER BY line_no) AS text FROM q WHERE NOT cut GROUP BY doc, sec),
+l AS (SELECT doc, name, arg_max(coalesce(text, ''), sec) AS text FROM h LEFT JOIN p USING (doc, sec) GROUP BY doc, name),
+w AS (SELECT doc, name, regexp_replace(trim(coalesce(text, ''), E' \\n'), '\\n{{3,}}', chr(10) || chr(10), 'g') AS text FROM a LEFT JOIN l USING (doc, name))"""
 
 
 @query("furniture_filter", f"WITH {_KEPT} SELECT * FROM x")
 def furniture_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _body(spark)
+    return _body(spark, sf_dir)
 
 
 @query("discover_headings", f"WITH {_KEPT} SELECT * FROM z")
 def discover_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return builder.discovered(_body(spark), _services(spark), _CATS, _IGNORED)
+    return builder.discovered(_body(spark, sf_dir), _services(spark, sf_dir), _CATS, _IGNORED)
 
 
-@query(
-    "segment_body",
-    f"""WITH {_KEPT}, a AS (SELECT name FROM s UNION SELECT name FROM z), y AS (SELECT line_no, line, line IN (SELECT name FROM a) AS head, line IN (SELECT name FROM a) OR line IN {_IN(_CATS)} AS cut FROM x WHERE line NOT IN {_IN(_IGNORED)}),
-    q AS (SELECT *, sum(cut::INT) OVER (ORDER BY line_no) AS sec FROM y), h AS (SELECT sec, line AS name FROM q WHERE head),
-    p AS (SELECT sec, string_agg(line, chr(10) ORDER BY line_no) AS text FROM q WHERE NOT cut GROUP BY sec),
-    l AS (SELECT name, arg_max(coalesce(text, ''), sec) AS text FROM h LEFT JOIN p USING (sec) GROUP BY name)
-    SELECT name, regexp_replace(trim(coalesce(text, ''), E' \\n'), '\\n{{3,}}', chr(10) || chr(10), 'g') AS text FROM a LEFT JOIN l USING (name)""",
-)
+def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _body(spark, sf_dir)
+    known = _services(spark, sf_dir).select("doc", "name")
+    return builder.segments(lines, known.union(builder.discovered(lines, known, _CATS, _IGNORED).select("doc", "name")), _CATS, _IGNORED)
+
+
+@query("segment_body", f"WITH {_KEPT} SELECT doc, name, text FROM w")
 def segment_body(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _body(spark)
-    known = _services(spark).select("name")
-    return builder.segments(lines, known.union(builder.discovered(lines, known, _CATS, _IGNORED).select("name")), _CATS, _IGNORED)
+    return _segments(spark, sf_dir)
+
+
+@query("thin_sections", f"WITH {_KEPT} SELECT doc, name, len(text) >= 25 AS kept FROM w")
+def thin_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return builder.by_length(_segments(spark, sf_dir), 25).select("doc", "name", "kept")
 
 
 @query("category_counts", f"WITH {_PARSED} SELECT category, count(*) AS n FROM s GROUP BY 1")
 def category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return builder.category_counts(_services(spark))
+    return builder.category_counts(_services(spark, sf_dir))
 
 
-_CATALOGUE = [(1, "Amazon Supplier#000000001"), (2, "AWS"), (3, "supplier 000000002 plus"), (4, "Supplier#000000001"), (5, "000000003")]
+_CATALOGUE = {"cat_ord": "s_suppkey", "name": "CASE s_suppkey % 4 WHEN 0 THEN 'Amazon ' || s_name WHEN 1 THEN 'AWS' WHEN 2 THEN lower(s_name) || ' plus' ELSE substr(s_name, 11) END"}
 
 
 @query(
     "catalog_match",
     f"""WITH k AS (SELECT s_name AS name, regexp_replace(regexp_replace(lower(s_name), '\\b(amazon|aws)\\b', ' ', 'g'), '[^a-z0-9]+', '', 'g') AS k FROM supplier),
-    c AS (SELECT *, regexp_replace(regexp_replace(lower(name), '\\b(amazon|aws)\\b', ' ', 'g'), '[^a-z0-9]+', '', 'g') AS ck FROM {sql_rows(_CATALOGUE, "cat_ord, name")}),
+    c AS (SELECT *, regexp_replace(regexp_replace(lower(name), '\\b(amazon|aws)\\b', ' ', 'g'), '[^a-z0-9]+', '', 'g') AS ck FROM {made_sql("supplier", **_CATALOGUE)}),
     m AS (SELECT k.name, c.cat_ord, c.name AS cat_name, CASE WHEN k = ck THEN 'key' ELSE 'containment' END AS how FROM k JOIN c ON ck <> '' AND k <> '' AND (k = ck OR contains(k, ck) OR contains(ck, k)))
     SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY name ORDER BY how = 'key' DESC, cat_ord) = 1""",
 )
 def catalog_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return builder.match_catalogue(table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name")), values(spark, _CATALOGUE, "cat_ord int, name string"))
+    return builder.match_catalogue(table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name")), made(spark, sf_dir, "supplier", **_CATALOGUE))
 
 
 @query(
@@ -360,8 +443,7 @@ def match_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 # events
 @query("rate_window_usage", "SELECT event_id, sum(1) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 59.999999 SECOND PRECEDING AND CURRENT ROW)::BIGINT AS used FROM events")
 def rate_window_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frame = "sum(1) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '59.999999' SECOND PRECEDING AND CURRENT ROW)"
-    return table(spark, sf_dir, "events").select("event_id", F.expr(frame).alias("used"))
+    return usage(table(spark, sf_dir, "events").withColumn("n", F.lit(1)), "user_id", "ts", "n").select("event_id", "used")
 
 
 @query("ext_tumbling", "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from sparkgrove.functions.text import STOP
 from sparkgrove.functions.vectors import dot, normalize
-from sparkgrove.operators import dense, embedding, fusion, lexical
+from sparkgrove.operators import ann, dense, embedding, fusion, lexical
 from sparkgrove.plans.registry import query
+from sparkgrove.storage import Scratch
 from sparkgrove.tables import table
 
 QUESTION = "the nation of iner and thation with onther ention"
@@ -42,7 +43,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("tokenize_terms", f"SELECT term, count(*) AS occurrences, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest({sql_tokens('text')}) AS term FROM documents) GROUP BY term")
 def tokenize_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     # one row a document and term first: no distinct sets are carried
-    return lexical.term_counts(_docs(spark, sf_dir), "doc_id", F.col("text")).groupBy("term").agg(F.sum("f").alias("occurrences"), F.count("*").alias("docs"))
+    return lexical.term_counts(_docs(spark, sf_dir), "doc_id", "text").groupBy("term").agg(F.sum("f").alias("occurrences"), F.count("*").alias("docs"))
 
 
 @query("doc_length_stats", f"SELECT count(*) AS n, round(avg(len(ts)), 6) AS avg_len, max(len(ts)) AS longest, count(*) FILTER (len(ts) = 0) AS without_tokens FROM (SELECT {sql_tokens('text')} AS ts FROM documents)")
@@ -53,15 +54,13 @@ def doc_length_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("idf_table", f"WITH {_INDEX} SELECT term, c, round(idf, 6) AS idf FROM idf")
 def idf_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir)
-    stats = lexical.corpus_stats(lexical.lengths(docs, "doc_id", F.col("text")))
-    return lexical.idf_table(lexical.term_counts(docs, "doc_id", F.col("text")), stats).withColumn("idf", F.round("idf", 6))
+    return lexical.inverted(spark, _docs(spark, sf_dir), "doc_id", "text").terms.withColumn("idf", F.round("idf", 6))
 
 
 @query("bm25_topk", _bm25_sql(f"SELECT 0 AS query_id, '{QUESTION}' AS text") + "SELECT doc_id, round(bm25, 5) AS bm25, rank FROM r WHERE rank <= 30")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = spark.createDataFrame([(0, QUESTION)], "query_id bigint, q string")
-    found = lexical.bm25(_docs(spark, sf_dir), asked, "doc_id", F.col("text"), F.col("q"))
+    found = lexical.bm25(spark, _docs(spark, sf_dir), asked, "doc_id", "text", "q")
     return lexical.top(found, "doc_id", "bm25", 30).select("doc_id", F.round("bm25", 5).alias("bm25"), F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -71,7 +70,7 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("bm25_batch", _bm25_sql("SELECT item_id AS query_id, text FROM benchmark") + "SELECT query_id, doc_id, round(bm25, 4) AS bm25 FROM r WHERE rank <= 30")
 def bm25_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lexical.bm25(_docs(spark, sf_dir), _asked(spark, sf_dir), "doc_id", F.col("text"), F.col("q"))
+    found = lexical.bm25(spark, _docs(spark, sf_dir), _asked(spark, sf_dir), "doc_id", "text", "q")
     return lexical.top(found, "doc_id", "bm25", 30).select("query_id", "doc_id", F.round("bm25", 4).alias("bm25"))
 
 
@@ -169,27 +168,51 @@ def mmr_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen.select("query_id", F.posexplode("chosen.vec_id").alias("at", "vec_id")).select("query_id", (F.col("at") + 1).alias("step"), "vec_id")
 
 
-@query("near_duplicate_pairs", f"SELECT a.vec_id AS a, b.vec_id AS b, round({_COS}, 5) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND a.vec_id % 50 = 0 WHERE {_COS} >= 0.3")
+@query("near_duplicate_pairs", f"SELECT a.vec_id, min(b.vec_id) FILTER (a.embedding = b.embedding) AS class_id, count(*) FILTER (a.vec_id <> b.vec_id AND ({_COS} >= 0.3 OR a.embedding = b.embedding)) AS links FROM embeddings a, embeddings b GROUP BY a.vec_id")
 def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = _vectors(spark, sf_dir)
-    found = dense.dense_topk(spark, v, _queries(v, "vec_id % 50 = 0"), "vec_id", "embedding", 1 << 30).where("cosine >= 0.3 and query_id < vec_id")
-    return found.select(F.col("query_id").alias("a"), F.col("vec_id").alias("b"), F.round("cosine", 5).alias("cosine"))
+    """The whole report: each vector's class of equals, and how many others are within the cosine."""
+    return dense.similar_pairs(spark, _vectors(spark, sf_dir), "vec_id", "embedding", 0.3)
 
 
 def _hybrid(spark: SparkSession, sf_dir: str, dim: int = 64) -> tuple[DataFrame, DataFrame]:
-    embedder = embedding.HashingEmbedder(dim)
-    docs = embedding.embed_column(_docs(spark, sf_dir).select("doc_id", "text"), "text", embedder)
-    asked = embedding.embed_column(_asked(spark, sf_dir), "q", embedder, "query", "vector")
-    near = dense.dense_topk(spark, docs, asked, "doc_id", "vector", 30)
-    words = lexical.top(lexical.bm25(_docs(spark, sf_dir), _asked(spark, sf_dir), "doc_id", F.col("text"), F.col("q")), "doc_id", "bm25", 30)
-    pool = near.select("query_id", "doc_id").union(words.select("query_id", "doc_id")).distinct()
-    cosines = pool.join(docs.select("doc_id", "vector"), "doc_id").join(asked.select("query_id", F.col("vector").alias("qv")), "query_id").select("query_id", "doc_id", dot(F.col("vector"), F.col("qv")).alias("cosine"))
-    return fusion.hybrid(near, words, cosines, docs, "doc_id", "vector"), asked
-
-
-@query("hybrid_search")
+    """Hits of all benchmark questions, and the vectors of the documents; each text is embedded once."""
+    scratch, embedder = Scratch(spark, "hybrid"), embedding.HashingEmbedder(dim)
+    docs = scratch.table(embedding.embed_column(_docs(spark, sf_dir).select("doc_id", "text"), "text", embedder).select("doc_id", "vector"), "docs")
+    asked = scratch.table(embedding.embed_column(_asked(spark, sf_dir), "q", embedder, "query", "vector"), "asked")
+    words = lexical.top(lexical.bm25(spark, _docs(spark, sf_dir), asked, "doc_id", "text", "q"), "doc_id", "bm25", 30)
+    return fusion.search(spark, docs, asked, words, "doc_id", "vector"), docs
+
+
+#: The embedder's buckets and vectors in SQL, 64 wide.
+_EMBED = """SELECT {id}, list_transform(range(64), lambda i: (list_count(list_filter(list_transform({tokens}, lambda t: ('0x' || substr(sha1(t), 1, 7))::BIGINT % 64), lambda b: b = i))::DOUBLE)) AS raw FROM {table}"""
+_UNIT = "list_transform(raw, lambda x: (x / greatest(sqrt(list_sum(list_transform(raw, lambda y: y * y))), 1e-12))::FLOAT)"
+_DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"
+_HYBRID = f"""{_INDEX},
+dv AS (SELECT doc_id, {_UNIT} AS v FROM ({_EMBED.format(id='doc_id', tokens=sql_tokens('text'), table='documents')})),
+qv AS (SELECT item_id AS query_id, {_UNIT} AS v FROM ({_EMBED.format(id='item_id', tokens=sql_tokens('text'), table='benchmark')})),
+qt AS (SELECT query_id, term, count(*) AS m FROM (SELECT item_id AS query_id, unnest({sql_tokens("text")}) AS term FROM benchmark) GROUP BY ALL),
+bm AS (SELECT query_id, doc_id, sum(m * idf * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * len(ts) / avg_len))) AS score FROM qt JOIN tf USING (term) JOIN idf USING (term) JOIN d USING (doc_id), s GROUP BY ALL),
+co AS MATERIALIZED (SELECT query_id, doc_id, {_DOT.format('qv.v', 'dv.v')} AS score FROM qv, dv),
+ra AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bm QUALIFY rank <= 30
+  UNION ALL SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM co QUALIFY rank <= 30),
+fu AS (SELECT query_id, doc_id, sum(1.0::DOUBLE / (60 + rank)) AS rrf FROM ra GROUP BY ALL),
+pool AS MATERIALIZED (SELECT query_id, doc_id, rrf, co.score AS cosine, dv.v, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 9) DESC, doc_id) AS rank FROM fu JOIN co USING (query_id, doc_id) JOIN dv USING (doc_id) QUALIFY rank <= 30),
+near AS MATERIALIZED (SELECT a.query_id, a.rank AS ar, b.rank AS br, {_DOT.format('a.v', 'b.v')} AS cosine FROM pool a JOIN pool b ON a.query_id = b.query_id),
+g AS (SELECT DISTINCT query_id, 0::BIGINT AS pos, []::BIGINT[] AS kept FROM pool
+  UNION ALL SELECT g.query_id, pos + 1, CASE WHEN EXISTS (SELECT 1 FROM near n WHERE n.query_id = g.query_id AND n.ar = pos + 1 AND list_contains(g.kept, n.br) AND n.cosine >= 0.95) THEN kept ELSE list_append(kept, p.rank) END FROM g JOIN pool p ON p.query_id = g.query_id AND p.rank = pos + 1),
+k AS (SELECT query_id, arg_max(kept, pos) AS kept FROM g GROUP BY query_id),
+m AS (SELECT query_id, kept, 0 AS step, []::BIGINT[] AS chosen FROM k
+  UNION ALL SELECT m.query_id, kept, step + 1, list_append(chosen, (
+    SELECT arg_min(x.rank, x.o) FROM (SELECT a.rank, {{'w': -round(CASE WHEN len(m.chosen) = 0 THEN a.cosine ELSE 0.7 * a.cosine - (1 - 0.7) * (SELECT max(n.cosine) FROM near n WHERE n.query_id = m.query_id AND n.ar = a.rank AND list_contains(m.chosen, n.br)) END, 12), 'r': a.rank}} AS o
+      FROM pool a WHERE a.query_id = m.query_id AND list_contains(m.kept, a.rank) AND NOT list_contains(m.chosen, a.rank)) x))
+  FROM m WHERE step < least(6, len(kept))),
+hits AS (SELECT query_id, unnest(arg_max(chosen, step)) AS hit FROM m GROUP BY query_id),
+found AS (SELECT query_id, doc_id, rrf, cosine, row_number() OVER (PARTITION BY query_id ORDER BY p.rank) AS rank FROM hits JOIN pool p USING (query_id) WHERE p.rank = hit)"""
+
+
+@query("hybrid_search", f"WITH RECURSIVE {_HYBRID} SELECT query_id, doc_id, round(rrf, 8) AS rrf, round(cosine, 5) AS cosine, rank FROM found")
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hybrid(spark, sf_dir)[0].select("query_id", "doc_id", F.round("rrf", 8).alias("rrf"), F.round("cosine", 5).alias("cosine"), "rank")
+    return _hybrid(spark, sf_dir)[0].select("query_id", "doc_id", F.round("rrf", 8).alias("rrf"), F.round("cosine", 5).alias("cosine"), F.col("rank").cast("bigint").alias("rank"))
 
 
 @query("relevance_gate", f"WITH {_DENSE.format(which='a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id')} SELECT query_id, round(max(cosine), 5) AS best_cosine, max(cosine) >= 0.35 AS relevant FROM r WHERE rank <= 6 GROUP BY query_id")
@@ -203,15 +226,7 @@ def relevance_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("ann_vs_exact")
 def ann_vs_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per query the overlap of exact and hashed nearest neighbours; exact stays the default."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    v = _vectors(spark, sf_dir).withColumn("features", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=0.5, numHashTables=12, seed=1).fit(v)
-    asked = v.where("vec_id % 50 = 0")
-    # on unit vectors cosine = 1 - d^2 / 2: candidates within a distance of 1.3 are within a cosine of 0.155
-    near = model.approxSimilarityJoin(asked, v, 1.3, "distance").select(F.col("datasetA.vec_id").alias("query_id"), F.col("datasetB.vec_id").alias("vec_id"), (1 - F.col("distance") ** 2 / 2).alias("cosine"))
-    approx = lexical.top(near, "vec_id", "cosine", 6).select("query_id", "vec_id")
-    exact = dense.dense_topk(spark, v, _queries(v, "vec_id % 50 = 0"), "vec_id", "embedding", 6).select("query_id", "vec_id", "rank")
-    both = exact.join(approx.withColumn("found", F.lit(1)), ["query_id", "vec_id"], "left")
-    return both.groupBy("query_id").agg(F.count("found").alias("overlap"), F.count("*").alias("k"))
+    v = _vectors(spark, sf_dir)
+    asked = _queries(v, "vec_id % 50 = 0")
+    index = ann.build(spark, v, "vec_id", "embedding")
+    return ann.compare(index.search(asked, "embedding", 6), dense.dense_topk(spark, v, asked, "vec_id", "embedding", 6), "vec_id")

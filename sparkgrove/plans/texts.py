@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
+from sparkgrove.functions import segment
 from sparkgrove.functions import text as T
 from sparkgrove.operators import chunking, corpus, overview
 from sparkgrove.plans.registry import query
@@ -14,13 +16,14 @@ from sparkgrove.tables import table
 _SLUG = "coalesce(nullif(regexp_replace(substr(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60), '-+$', ''), ''), 'doc')"
 
 
-def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
+def made(spark: SparkSession, sf_dir: str, name: str, /, **columns: str) -> DataFrame:
+    """Rows made from those of a table by SQL expressions that both engines read alike."""
+    return table(spark, sf_dir, name).selectExpr(*[f"{e} AS {c}" for c, e in columns.items()])
 
 
-def sql_rows(rows: list[tuple], names: str) -> str:
-    quote = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
-    return "(SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(quote, r)) + ")" for r in rows) + f") AS t({names}))"
+def made_sql(name: str, /, **columns: str) -> str:
+    """The same rows in DuckDB."""
+    return f"(SELECT {', '.join(f'{e} AS {c}' for c, e in columns.items())} FROM {name})"
 
 
 @query("doc_ids_slugs", f"SELECT page_id, {_SLUG.format('url')} || '-' || substr(sha1(url), 1, 6) AS doc_id FROM pages")
@@ -72,103 +75,111 @@ def url_strip_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", urls.without_query(F.col("url")).alias("url"))
 
 
-_REPOS = [("https://github.com/a/b/blob/main/docs/x.md?raw=1#top",), ("https://github.com/a/b",), ("https://github.com/a/b.git",), ("https://github.com/a/b/tree/main/docs",), ("https://example.org/a/b",)]
+#: Addresses of files, bare repositories, folders and other pages, one of each kind in turn.
+_REPOS = {
+    "id": "page_id",
+    "url": "CASE page_id % 5 WHEN 0 THEN 'https://github.com/a' || page_id || '/b/blob/main/docs/x' || page_id || '.md?raw=1#top' WHEN 1 THEN 'https://github.com/a' || page_id || '/b' WHEN 2 THEN 'https://github.com/a/b' || page_id || '.git' WHEN 3 THEN 'https://github.com/a/b' || page_id || '/tree/main/docs' ELSE url END",
+}
 
 
 @query(
     "code_urls",
-    f"""SELECT url, CASE WHEN regexp_matches(url, 'github\\.com/[^/]+/[^/]+/blob/') THEN 'https://raw.githubusercontent.com/' || regexp_replace(regexp_extract(url, 'github\\.com/([^?#]+)', 1), '/blob/', '/') END AS raw,
+    f"""SELECT id, CASE WHEN regexp_matches(url, 'github\\.com/[^/]+/[^/]+/blob/') THEN 'https://raw.githubusercontent.com/' || regexp_replace(regexp_extract(url, 'github\\.com/([^?#]+)', 1), '/blob/', '/') END AS raw,
     CASE WHEN regexp_matches(url, 'github\\.com/[^/]+/[^/]+$') THEN 'https://raw.githubusercontent.com/' || regexp_replace(regexp_extract(url, 'github\\.com/([^?#]+)', 1), '\\.git$', '') || '/main/README.md' END AS first_try
-    FROM {sql_rows(_REPOS, "url")}""",
+    FROM {made_sql("pages", **_REPOS)}""",
 )
 def code_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = F.col("url")
-    return values(spark, _REPOS, "url string").select("url", urls.raw_file(u).alias("raw"), F.get(urls.readme_candidates(u), F.lit(0)).alias("first_try"))
+    return made(spark, sf_dir, "pages", **_REPOS).select("id", urls.raw_file(u).alias("raw"), F.get(urls.readme_candidates(u), F.lit(0)).alias("first_try"))
 
 
-_WIKI = [(1, "Lead.\n== History ==\nOld.\n== See also ==\nA\n=== Sub ===\nB\n== Uses ==\nC\n==References==\nD"), (2, "Plain\ntext"), (3, "== Notes ==\nx\n== Notes2 ==\ny")]
+#: Articles with parts of references before, between and after others.
+_WIKI = {
+    "id": "doc_id",
+    "text": "text || chr(10) || '== ' || CASE doc_id % 3 WHEN 0 THEN 'See also' WHEN 1 THEN 'History' ELSE 'REFERENCES ' END || ' ==' || chr(10) || lang || chr(10) || '=== Sub ===' || chr(10) || source || chr(10) || '==Uses ==' || chr(10) || 'end' || chr(10) || '== Notes' || CASE WHEN doc_id % 2 = 0 THEN '' ELSE '2' END || ' ==' || chr(10) || source",
+}
 _LINES = "l AS (SELECT id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n, unnest(string_split(text, chr(10))) AS line FROM w)"
 
 
-def wiki_stripped(text: Column) -> Column:
-    """Lines outside the level-two sections of references and the like, by one fold over the lines."""
-    drop = ("bibliography", "citations", "external links", "further reading", "notes", "references", "see also", "sources")
-    name = lambda x: F.lower(F.trim(F.regexp_extract(x, r"^\s*==\s*([^=].*?)\s*==\s*$", 1)))
-    start = F.struct(F.filter(F.array(F.lit("")), lambda x: F.lit(False)).alias("kept"), F.lit(False).alias("skip"))
-
-    def step(a, x):
-        skip = F.when(name(x) != "", name(x).isin(*drop)).otherwise(a["skip"])
-        return F.struct(F.when(skip, a["kept"]).otherwise(F.concat(a["kept"], F.array(x))).alias("kept"), skip.alias("skip"))
-
-    return F.array_join(F.aggregate(chunking.lines(text), start, step, lambda a: a["kept"]), "\n")
-
-
 @query(
     "wiki_strip",
-    f"""WITH w AS {sql_rows(_WIKI, "id, text")}, {_LINES},
+    f"""WITH w AS {made_sql("documents", **_WIKI)}, {_LINES},
     m AS (SELECT *, CASE WHEN regexp_matches(line, '^\\s*==\\s*[^=].*?\\s*==\\s*$') THEN lower(trim(regexp_extract(line, '^\\s*==\\s*([^=].*?)\\s*==\\s*$', 1))) IN ('bibliography', 'citations', 'external links', 'further reading', 'notes', 'references', 'see also', 'sources') END AS d FROM l),
     s AS (SELECT *, coalesce(last_value(d IGNORE NULLS) OVER (PARTITION BY id ORDER BY n), false) AS skip FROM m)
-    SELECT id, coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT skip), '') AS text FROM s GROUP BY id""",
+    SELECT id, count(*) FILTER (NOT skip) AS lines, sha1(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT skip), '')) AS text_sha1 FROM s GROUP BY id""",
 )
 def wiki_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return values(spark, _WIKI, "id int, text string").select("id", wiki_stripped(F.col("text")).alias("text"))
+    stripped = F.udf(segment.without_reference_parts, ST.StringType(), useArrow=True)
+    kept = made(spark, sf_dir, "documents", **_WIKI).select("id", stripped("text").alias("text"))
+    return kept.select("id", F.size(chunking.lines(F.col("text"))).cast("bigint").alias("lines"), F.sha1(F.col("text").cast("binary")).alias("text_sha1"))
 
 
-_FRONT = [(1, "---\nTitle: \"A b\"\n# note: x\nsource_url: https://x.org/a:b\n---\n# H\nbody"), (2, "no front"), (3, "---\nbroken\n")]
+#: Pages with and without a leading block; some repeat a key, some have no address.
+_FRONT = {
+    "id": "p_partkey",
+    "text": "CASE p_partkey % 4 WHEN 0 THEN p_name || chr(10) || p_brand ELSE '---' || chr(10) || 'Title: \"' || p_name || '\"' || chr(10) || '# note: x' || chr(10) || CASE p_partkey % 4 WHEN 1 THEN 'source_url: https://x.org/' || p_partkey || '?a:b' || chr(10) WHEN 2 THEN 'title: ' || p_type || chr(10) ELSE '' END || '---' || chr(10) || '# ' || p_name || chr(10) || p_brand END",
+}
 
 
 @query(
     "front_matter",
-    f"""WITH w AS {sql_rows(_FRONT, "id, text")}, f AS (SELECT id, text, regexp_extract(text, '(?s)\\A-{{3}}[\\t ]{{0,}}\\n(.*?)\\n-{{3}}[\\t ]{{0,}}\\n', 1) AS block FROM w)
-    SELECT id, nullif(regexp_extract(block, '(?m)^Title:\\s*"?([^"\\n]*)"?$', 1), '') AS title, nullif(regexp_extract(block, '(?m)^source_url:\\s*(.*)$', 1), '') AS url, regexp_replace(text, '(?s)\\A-{{3}}[\\t ]{{0,}}\\n(.*?)\\n-{{3}}[\\t ]{{0,}}\\n', '') AS body FROM f""",
+    f"""WITH w AS {made_sql("part", **_FRONT)}, f AS (SELECT id, text, regexp_extract(text, '(?s)\\A---[ \\t]*\\n(.*?)\\n---[ \\t]*\\n', 1) AS block FROM w)
+    SELECT id, list_last(regexp_extract_all(block, '(?im)^title:\\s*"?([^"\\n]*)"?$', 1)) AS title, nullif(regexp_extract(block, '(?m)^source_url:\\s*(.*)$', 1), '') AS url, regexp_replace(text, '(?s)\\A---[ \\t]*\\n(.*?)\\n---[ \\t]*\\n', '') AS body FROM f""",
 )
 def front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
     meta = T.front_matter(F.col("text"))
-    return values(spark, _FRONT, "id int, text string").select("id", F.try_element_at(meta, F.lit("title")).alias("title"), F.try_element_at(meta, F.lit("source_url")).alias("url"), T.without_front_matter(F.col("text")).alias("body"))
+    return made(spark, sf_dir, "part", **_FRONT).select("id", F.try_element_at(meta, F.lit("title")).alias("title"), F.try_element_at(meta, F.lit("source_url")).alias("url"), T.without_front_matter(F.col("text")).alias("body"))
 
 
-_HEADS = [("# A",), ("   ## B b ##",), ("    # code",), ("== W ==",), ("=== V===",), ("== x ===",), ("#none",), ("plain",), ("###### six",)]
+_HEADS = {
+    "id": "p_partkey",
+    "line": "CASE p_partkey % 9 WHEN 0 THEN '# ' || p_name WHEN 1 THEN '   ## ' || p_name || ' ##' WHEN 2 THEN '    # ' || p_name WHEN 3 THEN '== ' || p_name || ' ==' WHEN 4 THEN '=== ' || p_name || '===' WHEN 5 THEN '== ' || p_name || ' ===' WHEN 6 THEN '#' || p_name WHEN 7 THEN '###### ' || p_type ELSE p_name END",
+}
 
 
 @query(
     "headings_levels",
-    f"""WITH w AS {sql_rows(_HEADS, "line")}, a AS (SELECT line, regexp_extract(line, '^\\s?\\s?\\s?(#|##|###|####|#####|######)\\s+(.+?)\\s{{0,}}#{{0,}}\\s{{0,}}$', 1) AS h, regexp_extract(line, '^\\s?\\s?\\s?(#|##|###|####|#####|######)\\s+(.+?)\\s{{0,}}#{{0,}}\\s{{0,}}$', 2) AS t,
-      regexp_extract(line, '^\\s*(={{2,}})\\s*[^=].*?[^=]*\\s*(={{2,}})\\s*$', 1) AS o, regexp_extract(line, '(={{2,}})\\s*$', 1) AS c FROM w)
-    SELECT line, (CASE WHEN h <> '' THEN len(h) WHEN o <> '' AND len(c) >= len(o) THEN len(o) END)::VARCHAR AS level,
-      CASE WHEN h <> '' THEN trim(t) WHEN o <> '' AND len(c) >= len(o) THEN trim(substr(trim(line), len(o) + 1, len(trim(line)) - 2 * len(o))) END AS name FROM a""",
+    f"""WITH w AS {made_sql("part", **_HEADS)}, a AS (SELECT *, CASE WHEN starts_with(line, '    ') THEN '' ELSE regexp_extract(ltrim(line), '^(#+) ', 1) END AS h, regexp_extract(line, '^(=+)', 1) AS o, regexp_extract(line, '(=+)$', 1) AS c FROM w)
+    SELECT id, (CASE WHEN h <> '' THEN len(h) WHEN o <> '' AND len(c) >= len(o) THEN len(o) END)::VARCHAR AS level,
+      CASE WHEN h <> '' THEN trim(trim(line), '# ') WHEN o <> '' AND len(c) >= len(o) THEN trim(substr(line, len(o) + 1, len(line) - 2 * len(o))) END AS name FROM a""",
 )
 def headings_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = T.heading(F.col("line"))
-    return values(spark, _HEADS, "line string").select("line", h["level"].cast("string").alias("level"), h["name"].alias("name"))
+    return made(spark, sf_dir, "part", **_HEADS).select("id", h["level"].cast("string").alias("level"), h["name"].alias("name"))
 
 
-_SECTIONED = [(1, "Guide", "lead\n# Guide\nintro\n### Deep\ndeep text\n## Next\n```\n# not a heading\n```\nnext text"), (2, "W", "start\n== One ==\na\n=== Two ===\nb\n== Three ==\nc"), (3, "E", "\n \n")]
+#: Every text under headings whose levels jump, with fenced code, and some in wiki style.
+_SECTIONED = {
+    "id": "doc_id",
+    "text": "CASE WHEN doc_id % 5 = 0 THEN 'start ' || source || chr(10) || '== One ==' || chr(10) || text || chr(10) || '=== Two ===' || chr(10) || lang || chr(10) || '== Three ==' || chr(10) || ' ' || chr(10) || '== Four ==' || chr(10) || 'c' "
+    "ELSE 'lead ' || source || chr(10) || '# ' || source || chr(10) || lang || chr(10) || repeat('#', 1 + CAST(doc_id % 4 AS INT)) || ' Deep ' || doc_id || chr(10) || text || chr(10) || '## Next' || chr(10) || '```' || chr(10) || '# not a heading' || chr(10) || '```' || chr(10) || 'next text' END",
+}
 
 
 @query(
     "section_paths",
-    f"""WITH RECURSIVE w AS {sql_rows(_SECTIONED, "id, title, text")}, {_LINES},
-    f AS (SELECT *, coalesce(sum(regexp_matches(line, '^\\s{{0,3}}(?:~~~|```)')::INT) OVER (PARTITION BY id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS inside, regexp_matches(line, '^\\s{{0,3}}(?:~~~|```)') AS fence FROM l),
-    h AS (SELECT *, CASE WHEN inside OR fence THEN NULL WHEN regexp_matches(line, '^\\s{{0,3}}#{{1,6}}\\s') THEN len(regexp_extract(line, '(#+)', 1)) WHEN regexp_matches(line, '^={{2,}} .* ={{2,}}$') THEN len(regexp_extract(line, '^(=+)', 1)) END AS level, trim(line, '#= ') AS name FROM f),
+    f"""WITH RECURSIVE w AS {made_sql("documents", **_SECTIONED)}, {_LINES},
+    f AS (SELECT *, coalesce(sum(starts_with(line, '```')::INT) OVER (PARTITION BY id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS inside, starts_with(line, '```') AS fence FROM l),
+    h AS (SELECT *, CASE WHEN inside OR fence THEN NULL WHEN regexp_matches(line, '^#+ ') THEN len(regexp_extract(line, '^(#+)', 1)) WHEN regexp_matches(line, '^={{2,}} .* ={{2,}}$') THEN len(regexp_extract(line, '^(=+)', 1)) END AS level, trim(line, '#= ') AS name FROM f),
     s AS (SELECT *, sum((level IS NOT NULL)::INT) OVER (PARTITION BY id ORDER BY n) AS sec FROM h),
     hd AS (SELECT id, sec, level, name FROM s WHERE level IS NOT NULL),
     st AS (SELECT id, 0::HUGEINT AS sec, []::STRUCT(l BIGINT, n VARCHAR)[] AS stack FROM w
       UNION ALL SELECT st.id, hd.sec, list_append(list_filter(stack, lambda x: x.l < hd.level), {{'l': hd.level, 'n': hd.name}}) FROM st JOIN hd ON hd.id = st.id AND hd.sec = st.sec + 1),
     b AS (SELECT id, sec, coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (level IS NULL), '') AS body FROM s GROUP BY ALL)
-    SELECT id, array_to_string(list_transform(stack, lambda x: x.n), ' > ') AS path, body FROM b JOIN st USING (id, sec) WHERE trim(body, E' \\n') <> ''""",
+    SELECT id, array_to_string(list_transform(stack, lambda x: x.n), ' > ') AS path, sha1(body) AS body_sha1 FROM b JOIN st USING (id, sec) WHERE trim(body, E' \\n') <> ''""",
 )
 def section_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = values(spark, _SECTIONED, "id int, title string, text string").select("id", F.explode(chunking.sections(F.col("text"))).alias("s"))
-    return found.select("id", F.array_join("s.path", " > ").alias("path"), F.col("s.body").alias("body"))
+    found = made(spark, sf_dir, "documents", **_SECTIONED).select("id", F.explode(chunking.sections(F.col("text"))).alias("s"))
+    return found.select("id", F.array_join("s.path", " > ").alias("path"), F.sha1(F.col("s.body").cast("binary")).alias("body_sha1"))
 
 
 @query(
     "fence_parity",
-    f"""WITH w AS {sql_rows(_SECTIONED, "id, title, text")}, {_LINES}
-    SELECT id, n, coalesce(sum(regexp_matches(line, '^\\s{{0,3}}(?:~~~|```)')::INT) OVER (PARTITION BY id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT % 2 AS inside FROM l""",
+    f"""WITH w AS {made_sql("documents", **_SECTIONED)}, {_LINES}
+    SELECT id, n, coalesce(sum(starts_with(line, '```')::INT) OVER (PARTITION BY id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT % 2 AS inside FROM l""",
 )
 def fence_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = values(spark, _SECTIONED, "id int, title string, text string").select("id", F.posexplode(chunking.lines(F.col("text"))).alias("n", "line"))
+    rows = made(spark, sf_dir, "documents", **_SECTIONED).select("id", F.posexplode(chunking.lines(F.col("text"))).alias("n", "line"))
     before = Window.partitionBy("id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     return rows.select("id", (F.col("n") + 1).cast("bigint").alias("n"), (F.coalesce(F.sum(T.is_fence(F.col("line")).cast("int")).over(before), F.lit(0)) % 2).cast("bigint").alias("inside"))
 
@@ -196,7 +207,7 @@ k AS (SELECT doc_id, source, ss, 1 AS i, []::VARCHAR[] AS done, []::VARCHAR[] AS
     list_append(CASE WHEN flush THEN cur[len(cur) - t + 1:] ELSE cur END, ss[i]), CASE WHEN flush THEN coalesce(list_sum(list_transform(cur[len(cur) - t + 1:], lambda x: len(x) + 1)), 0) ELSE size END::BIGINT + len(ss[i]) + 1
   FROM (SELECT *, len(cur) > 0 AND size + len(ss[i]) + 1 > 1400 AS flush,
     coalesce(list_max(list_filter(range(0, len(cur) + 1), lambda j: j = 0 OR coalesce(list_sum(list_transform(cur[len(cur) - j + 2:], lambda x: len(x) + 1)), 0) + len(cur[len(cur) - j + 1]) <= 200)), 0) AS t FROM k WHERE i <= len(ss))),
-p AS (SELECT doc_id, source, CASE WHEN len(cur) > 0 THEN list_append(done, array_to_string(cur, ' ')) ELSE done END AS ps FROM k WHERE i = len(ss) + 1),
+p AS (SELECT doc_id, source, ss, CASE WHEN len(cur) > 0 THEN list_append(done, array_to_string(cur, ' ')) ELSE done END AS ps FROM k WHERE i = len(ss) + 1),
 g AS (SELECT doc_id, source, unnest(CASE WHEN len(list_filter(ps, lambda x: len(x) >= 120)) > 0 THEN list_filter(ps, lambda x: len(x) >= 120) ELSE list_filter(ps, lambda x: len(x) = list_max(list_transform(ps, lambda y: len(y))))[:1] END) AS text,
   unnest(range(0, CASE WHEN len(list_filter(ps, lambda x: len(x) >= 120)) > 0 THEN len(list_filter(ps, lambda x: len(x) >= 120)) ELSE 1 END)) AS chunk_no FROM p)"""
 
@@ -214,10 +225,10 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("chunk_id", "doc_id", "section", F.col("chunk_no").cast("bigint").alias("chunk_no"), F.length("text").cast("bigint").alias("size"), F.md5(F.col("text").cast("binary")).alias("text_md5"), F.md5(F.col("embed_text").cast("binary")).alias("embed_md5"))
 
 
-@query("chunk_pack")
+@query("chunk_pack", f"WITH {_CHUNKS} SELECT doc_id, unnest(range(0, len(ps))) AS n, unnest(list_transform(ps, lambda x: len(x))) AS size, unnest(list_transform(ps, lambda x: md5(x))) AS text_md5 FROM p")
 def chunk_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.pack(T.sentences(T.collapse(F.col("text"))))).alias("n", "piece"))
-    return packed.select("doc_id", "n", F.length("piece").alias("size"))
+    return packed.select("doc_id", F.col("n").cast("bigint").alias("n"), F.length("piece").cast("bigint").alias("size"), F.md5(F.col("piece").cast("binary")).alias("text_md5"))
 
 
 @query("chunk_size_stats", f"WITH {_CHUNKS} SELECT count(*) AS chunks, max(len(text)) AS largest, list_sort(list(len(text)))[count(*) // 2 + 1] AS median FROM g")
@@ -225,18 +236,30 @@ def chunk_size_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.chunk_sizes(chunking.chunk(_titled(spark, sf_dir)))
 
 
-@query("route_questions", "SELECT conv_id, turn, regexp_matches(text, '" + T.CORPUS_QUESTION.replace("'", "''") + "') AS corpus_level FROM conversations")
+#: Questions about the collection and about facts in it, one form in turn, and the turns themselves.
+_QUESTIONS = {
+    "conv_id": "conv_id",
+    "turn": "turn",
+    "q": "CASE conv_id % 14 WHEN 0 THEN 'Summarise everything in the ' || role WHEN 1 THEN 'What topics do these texts cover, ' || role || '?' WHEN 2 THEN 'how many documents are there' WHEN 3 THEN 'List all the articles' WHEN 4 THEN 'TL;DR' WHEN 5 THEN 'give me an overview' WHEN 6 THEN 'What is in the corpus?' "
+    "WHEN 7 THEN 'Tell me about your collection' WHEN 8 THEN 'What is the limit of ' || role || '?' WHEN 9 THEN 'Who wrote an overview of ' || role WHEN 10 THEN 'How many ' || role || ' requests are there' WHEN 11 THEN 'list of ports' ELSE text END",
+}
+
+
+@query(
+    "route_questions",
+    f"""SELECT conv_id, turn, regexp_matches(lower(q), '^summarise everything in|^what topics do these|^how many documents|^list all the articles|^tl;dr$|^give me an overview|^what is in the corpus|^tell me about your collection') AS corpus_level FROM {made_sql("conversations", **_QUESTIONS)}""",
+)
 def route_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.is_corpus_question(F.col("text")).alias("corpus_level"))
+    return made(spark, sf_dir, "conversations", **_QUESTIONS).select("conv_id", "turn", T.is_corpus_question(F.col("q")).alias("corpus_level"))
 
 
 #: Sources stand for documents and languages for their sections.
-_CHUNKED = "c AS (SELECT source AS doc_id, source AS title, CASE WHEN doc_id % 7 = 0 THEN '' ELSE lang || ' > x' END AS section, doc_id AS idx, source || '#' || doc_id AS chunk_id, left(text, 100) AS text FROM documents)"
+_CHUNKED = "c AS (SELECT source AS doc_id, source AS title, CASE WHEN doc_id % 7 = 0 THEN '' ELSE lang || ' > x' END AS section, doc_id AS idx, source || '#' || doc_id AS chunk_id, text FROM documents)"
 
 
 def _by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     section = F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.concat("lang", F.lit(" > x")))
-    return table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("source").alias("title"), section.alias("section"), F.col("doc_id").alias("idx"), F.concat_ws("#", "source", F.col("doc_id").cast("string")).alias("chunk_id"), F.left("text", F.lit(100)).alias("text"))
+    return table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("source").alias("title"), section.alias("section"), F.col("doc_id").alias("idx"), F.concat_ws("#", "source", F.col("doc_id").cast("string")).alias("chunk_id"), F.lit("").alias("url"), "text")
 
 
 _MANIFEST = f"""{_CHUNKED}, n AS (SELECT doc_id, count(*) AS n, arg_min(title, idx) AS title FROM c GROUP BY 1),
@@ -256,9 +279,11 @@ def lead_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "overview_context",
-    f"""WITH {_MANIFEST}, l AS (SELECT * FROM c WHERE section = '' QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY idx) = 1)
-    SELECT 0 AS n, 'corpus#manifest' AS chunk_id, 'Corpus manifest' AS title, 'This collection contains ' || count(*) || ' documents (' || sum(n)::BIGINT || ' indexed passages in total). The documents and their sections are:' || chr(10) || chr(10) || string_agg('- ' || title || ' (' || n || ' passages) - sections: ' || sections, chr(10) ORDER BY title, doc_id) AS text FROM m
-    UNION ALL SELECT row_number() OVER (ORDER BY title, idx), chunk_id, title, text FROM l""",
+    f"""WITH {_MANIFEST}, l AS (SELECT * FROM c WHERE section = '' QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY idx) = 1),
+    b AS (SELECT 1 AS n, 'corpus#manifest' AS chunk_id, 'Corpus manifest' AS title, 'This collection contains ' || count(*) || ' documents (' || sum(n)::BIGINT || ' indexed passages in total). The documents and their sections are:' || chr(10) || chr(10) || string_agg('- ' || title || ' (' || n || ' passages) - sections: ' || sections, chr(10) ORDER BY title, doc_id) AS text FROM m
+    UNION ALL SELECT row_number() OVER (ORDER BY title, idx) + 1, chunk_id, title, text FROM l)
+    SELECT n, chunk_id, title, len(text) AS characters, md5(text) AS text_md5 FROM b""",
 )
 def overview_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overview.overview_blocks(_by_source(spark, sf_dir)).withColumn("n", F.col("n").cast("bigint"))
+    blocks = overview.overview_blocks(spark, _by_source(spark, sf_dir))
+    return blocks.select(F.col("n").cast("bigint").alias("n"), "chunk_id", "title", F.length("text").cast("bigint").alias("characters"), F.md5(F.col("text").cast("binary")).alias("text_md5"))

@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast up to this many rows and bytes of its strings; beyond it, it is shuffled.
@@ -64,3 +64,16 @@ def few(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` (numbers and strings) marked for broadcast if its measured size allows; else as it is, to be shuffled."""
     return F.broadcast(df) if few(df, limit) else df
+
+
+def numbered(spark: SparkSession, df: DataFrame, name: str, *order: Column | str) -> DataFrame:
+    """``df`` with the number of each row, from 1, in this order.
+
+    Ranges of the order are sorted side by side; only their sizes, one row a range, are summed in one place.
+    """
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    placed = Scratch(spark, "numbered").table(placed, "rows")
+    part, at = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    before = sizes.withColumn("__before", F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).select("__part", "__before")
+    return placed.withColumn("__part", part).withColumn("__at", at).join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__at") + 1).drop("__part", "__at", "__before")  # before: one row a range

@@ -20,7 +20,7 @@ def test_bm25_counts_repeated_terms(spark):
     texts = {1: "apple pear apple", 2: "pear plum", 3: "", 4: "plum plum plum"}
     docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
     asked = spark.createDataFrame([(0, "apple apple plum zzz the")], "query_id bigint, q string")
-    got = {r["doc_id"]: r["bm25"] for r in lexical.bm25(docs, asked, "doc_id", F.col("text"), F.col("q")).collect()}
+    got = {r["doc_id"]: r["bm25"] for r in lexical.bm25(spark, docs, asked, "doc_id", "text", "q").collect()}
     counts = {i: Counter(t.split()) for i, t in texts.items()}
     lens = {i: sum(c.values()) for i, c in counts.items()}
     avg = sum(lens.values()) / 4
