@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.dataset as ds
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkgrove.llm.common import fold, steps, texts
@@ -47,6 +47,8 @@ SMOOTH = 0.1
 CHUNK = 16 << 20
 #: Commonest words that every worker knows, their length and their bytes together; distinct words that a worker counts before it hands them on.
 HOT_WORDS, HOT_LENGTH, HOT_BYTES, COUNTED_WORDS = 200_000, 4096, 32 << 20, 100_000
+#: Frequency classes to each doubling of a word's count.
+GRADES = 16
 #: Bytes of text whose positions are held as numbers at a time.
 PART = 1 << 19
 
@@ -305,10 +307,18 @@ def score_texts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     ends = trained.count()
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     tokens, distinct = total["n"] + ends, total["v"] + (ends > 0)
-    size = F.octet_length("word")
-    common = counts.where(size <= HOT_LENGTH).orderBy(F.desc("n"), "word").limit(HOT_WORDS)
-    common = common.withColumn("upto", F.sum(size).over(Window.orderBy(F.desc("n"), "word")))  # bounded by the limit
-    scratch.table(common.where(F.col("upto") <= HOT_BYTES).select("word", "n"), "common")
+    # all words of a frequency class or none are common: the classes from the highest down that fit the bounds
+    size, grade = F.octet_length("word"), F.floor(F.log2("n") * GRADES).cast("int")
+    fits = counts.where(size <= HOT_LENGTH)
+    grades = fits.groupBy(grade.alias("g")).agg(F.count("*").alias("words"), F.sum(size).alias("bytes")).orderBy(F.desc("g")).collect()  # GRADES a power of two
+    words = bytes_ = 0
+    least = 1 << 30
+    for r in grades:
+        words, bytes_ = words + r["words"], bytes_ + r["bytes"]
+        if words > HOT_WORDS or bytes_ > HOT_BYTES:
+            break
+        least = r["g"]
+    scratch.table(fits.where(grade >= least).select("word", "n"), "common")
 
     def log(n: float) -> float:
         return float(np.log10((n + SMOOTH) / (tokens + SMOOTH * (distinct + 1))))

@@ -303,9 +303,9 @@ def plain_ppm(train, texts, order):
     return out
 
 
-@pytest.mark.parametrize(("leaves", "hot"), [(ppm.LEAVES, ppm.HOT_WORDS), (90, 3)])
+@pytest.mark.parametrize(("leaves", "hot"), [(ppm.LEAVES, ppm.HOT_WORDS), (90, 20)])
 def test_scores_match_brute_force(spark, monkeypatch, leaves, hot):
-    """With the trie in one part and all words known to every worker, and with many parts and three known words."""
+    """With the trie in one part and all words known to every worker, and with many parts and few known words."""
     monkeypatch.setattr(ppm, "HOT_WORDS", hot)
     monkeypatch.setattr(ppm, "COUNTED_WORDS", 50)
     random.seed(6)
