@@ -12,6 +12,19 @@ def unique_list(value: str) -> list[str]:
     return list(dict.fromkeys(x for x in (p.strip() for p in re.split(r"[,\n]", value)) if x))
 
 
+def read_dotenv(path: str) -> dict[str, str]:
+    """``NAME=value`` lines of a file, with or without ``export`` and quotes; an absent file has none."""
+    if not os.path.exists(path):
+        return {}
+    found = {}
+    with open(path, encoding="utf-8") as lines:
+        for line in lines:
+            name, sign, value = line.strip().removeprefix("export ").partition("=")
+            if sign and not name.startswith("#"):
+                found[name.strip()] = value.strip().strip("\"'")
+    return found
+
+
 @dataclass(frozen=True)
 class Settings:
     """Sizes are in characters, thresholds are cosines."""
@@ -39,9 +52,9 @@ class Settings:
     bm25_b: float = 0.75
 
     @classmethod
-    def from_env(cls, prefix: str = "SPARKGROVE_", env: dict[str, str] | None = None) -> Settings:
-        """Defaults overridden by ``<prefix><FIELD>``; lists are parsed by :func:`unique_list`."""
-        env = dict(os.environ) if env is None else env
+    def from_env(cls, prefix: str = "SPARKGROVE_", env: dict[str, str] | None = None, dotenv: str | None = None) -> Settings:
+        """Defaults overridden by ``<prefix><FIELD>`` of the environment, and before it of a file of ``NAME=value`` lines; lists are parsed by :func:`unique_list`."""
+        env = (read_dotenv(dotenv) if dotenv else {}) | (dict(os.environ) if env is None else env)
         found: dict[str, object] = {}
         for name, spec in cls.__dataclass_fields__.items():
             if (raw := env.get(prefix + name.upper())) is not None:

@@ -20,6 +20,12 @@ def collapse(text: str) -> str:
     return " ".join(text.split())
 
 
+def tidy(text: str) -> str:
+    """One kind of line end, no blanks at line ends, at most one empty line in a row, trimmed."""
+    lines = [x.rstrip(" \t") for x in re.split("\r\n?|\n", text)]
+    return "\n".join(x for k, x in enumerate(lines) if x or not k or lines[k - 1]).strip()
+
+
 def sentences(text: str) -> list[str]:
     """Sentences of a text; a cut after an abbreviation or an initial is not made."""
     found: list[str] = []

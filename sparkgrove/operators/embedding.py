@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkgrove.functions.edge import KeyRing, Limiter, with_retry
 from sparkgrove.functions.text import STOP
+from sparkgrove.storage import Scratch, Versioned
 
 _RUN = re.compile("[0-9a-z]+")
 
@@ -81,8 +84,52 @@ def misses(texts: DataFrame, text: str, cache: DataFrame, embedder: Embedder, ta
     return keyed.join(cache.select("key"), "key", "left_anti")
 
 
-def embed_with_cache(texts: DataFrame, text: str, cache: DataFrame, embedder: Embedder, task: str = "document") -> tuple[DataFrame, DataFrame]:
-    """(texts with their vectors, cache rows to append). Vectors follow the texts, repeats included."""
-    new = embed_column(misses(texts, text, cache, embedder, task), "text", embedder, task).select("key", "vector")
+CACHE = T.StructType([T.StructField("key", T.StringType()), T.StructField("vector", T.ArrayType(T.FloatType()))])
+#: Texts whose vectors are written to the cache at once.
+WRITE_EVERY = 200_000
+
+
+def embed_with_cache(spark: SparkSession, texts: DataFrame, text: str, cache: Versioned, embedder: Embedder, task: str = "document", every: int = WRITE_EVERY, batch: int = 32) -> DataFrame:
+    """The texts with their vectors, repeats included. Each lot of new vectors is in the cache before the next is asked for, so a failed run keeps what it got."""
+    scratch = Scratch(spark, "embed")
+    new = misses(texts, text, cache.read(CACHE), embedder, task)
+    new = scratch.table(new, "misses")
+    lots = -(-new.count() // every)
+    lot = F.pmod(F.xxhash64("key"), F.lit(max(lots, 1)))
+    for k in range(lots):
+        part = new.where(lot == k)
+        cache.append(embed_column(part.coalesce(1) if getattr(embedder, "serial", False) else part, "text", embedder, task, batch=batch).select("key", "vector"))
     keyed = texts.withColumn("key", cache_key(embedder.name, embedder.dim, task, F.col(text)))
-    return keyed.join(cache.select("key", "vector").unionByName(new), "key").drop("key"), new
+    known = cache.read(CACHE).dropDuplicates(["key"])
+    return keyed.join(known, "key").drop("key")
+
+
+class WithPrefix:
+    """An embedder that tells documents from queries by what it puts before them."""
+
+    def __init__(self, inner: Embedder, document: str = "passage: ", query: str = "query: ") -> None:
+        self.inner, self.prefix = inner, {"document": document, "query": query}
+        self.name, self.dim = f"{inner.name}+prefix", inner.dim
+
+    def embed(self, texts: list[str], task: str) -> np.ndarray:
+        return self.inner.embed([self.prefix[task] + t for t in texts], task)
+
+
+class ServiceEmbedder:
+    """An outside service behind ``call(key, texts, task) -> rows``, with retries, a limit of texts a minute and several keys.
+
+    The limit holds for one process, so such texts are embedded in one task.
+    """
+
+    serial = True
+
+    def __init__(self, name: str, dim: int, call: Callable[[str, list[str], str], list[list[float]]], keys: list[str], per_minute: int = 95, attempts: int = 6, **clock: Callable) -> None:
+        self.name, self.dim, self.call, self.attempts = name, dim, call, attempts
+        self.ring, self.limiter, self.sleep = KeyRing(keys), Limiter(per_minute, **clock), clock.get("sleep", time.sleep)
+
+    def embed(self, texts: list[str], task: str) -> np.ndarray:
+        self.limiter.reserve(len(texts))
+        rows = self.ring.call(self.name, lambda key: with_retry(lambda: self.call(key, texts, task), self.attempts, sleep=self.sleep))
+        if len(rows) != len(texts) or any(len(r) != self.dim for r in rows):
+            raise ValueError(f"{len(texts)} texts of {self.dim} numbers asked for, {len(rows)} rows came")
+        return np.array(rows, np.float64)

@@ -90,3 +90,16 @@ def summaries(chunks: DataFrame) -> DataFrame:
         F.concat(F.col("m").cast("string"), F.lit(" leaf chunks, "), F.col("docs").cast("string"), F.lit(" documents")).alias("section"),
         F.concat(F.lit("This group covers "), F.col("k").cast("string"), F.lit(" related items:\n"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n")).alias("text"),
     )
+
+
+def summary_chunks(spark: SparkSession, chunks: DataFrame, size: int = 20) -> DataFrame | None:
+    """Chunks that each sum up a cluster of ``chunks`` (idx, doc_id, title, text, vector), without vectors; none for a corpus too small to cluster."""
+    k = cluster_count(chunks.count(), size)
+    if not k:
+        return None
+    assigned, _ = kmeans(spark, chunks, "idx", "vector", k)
+    found = summaries(chunks.join(assigned.select("idx", "cluster"), "idx"))
+    return found.select(
+        "chunk_id", "doc_id", "title", F.lit("").alias("url"), "section", F.array().cast("array<string>").alias("path"), F.lit(0).alias("chunk_no"), "text",
+        F.concat("title", F.lit("\n\n"), "text").alias("embed_text"),
+    )

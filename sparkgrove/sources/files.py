@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkgrove.functions.text import clean, document_id, front_matter, markdown_title, without_front_matter
+from sparkgrove.functions.text import clean, document_id, front_matter, markdown_title, plain, without_front_matter
 
 DOCUMENT = T.StructType([T.StructField(c, T.StringType()) for c in ("doc_id", "title", "url", "text", "kind")])
 KINDS = {"txt": "text", "text": "text", "rst": "text", "log": "text", "csv": "text", "md": "markdown", "markdown": "markdown", "html": "html", "htm": "html", "pdf": "pdf"}
@@ -18,22 +19,32 @@ _BLOCK = frozenset("p div li tr br section article h1 h2 h3 h4 h5 h6 pre blockqu
 _SKIP = frozenset("script style nav header footer aside form noscript svg head".split())
 
 
+_ADS = frozenset("ad ads advert cookie menu sidebar".split())
+#: Under the first size a page is read again with its edges, under the second it has no text.
+SPARSE, LEAST_PAGE = 200, 100
+
+
 class _Text(HTMLParser):
-    """Visible text with Markdown headings; navigation, scripts and blocks of class ad are left out."""
+    """Visible text with Markdown headings; navigation and blocks of class ad are left out unless ``all_`` is asked for."""
 
-    def __init__(self) -> None:
+    def __init__(self, all_: bool = False) -> None:
         super().__init__(convert_charrefs=True)
-        self.title, self.parts, self._skip, self._in_title, self._stack = "", [], 0, False, []
+        self.title, self.given, self.parts, self._skip, self._in_title, self._stack = "", "", [], 0, False, []
+        self._left_out = frozenset(("script", "style", "head", "noscript", "svg")) if all_ else _SKIP
+        self._ads = frozenset() if all_ else _ADS
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "title":
             self._in_title = True
         if tag in ("br", "img", "meta", "link", "input", "hr"):
+            named = dict(attrs) if tag == "meta" else {}
+            if "og:title" in (named.get("property"), named.get("name")):
+                self.given = named.get("content") or ""
             if tag == "br":
                 self.parts.append("\n")
             return
-        ad = (dict(attrs).get("class") or "").lower() in ("ad", "ads", "advert", "cookie", "sidebar", "menu")
-        self._stack.append((tag, ad or tag in _SKIP))
+        ad = (dict(attrs).get("class") or "").lower() in self._ads
+        self._stack.append((tag, ad or tag in self._left_out))
         self._skip += self._stack[-1][1]
         if tag in _BLOCK and not self._skip:
             self.parts.append("\n\n")
@@ -58,17 +69,24 @@ class _Text(HTMLParser):
             self.parts.append(" ".join(data.split()) + " " if data.strip() else " ")
 
 
-def extract_html(html: str | None) -> tuple[str, str]:
-    """(title, text) of a page."""
-    parser = _Text()
-    parser.feed(html or "")
+def _extract(html: str, all_: bool) -> tuple[str, str]:
+    parser = _Text(all_)
+    parser.feed(html)
     parser.close()
     lines = [" ".join(x.split()) for x in "".join(parser.parts).split("\n")]
-    return " ".join(parser.title.split()), "\n".join(lines).strip()
+    return " ".join((parser.given or parser.title).split()), "\n".join(lines).strip()
+
+
+def extract_html(html: str | None, sparse: int = SPARSE, least: int = LEAST_PAGE) -> tuple[str, str | None]:
+    """(title, text) of a page. A sparse one is read again with its edges; without enough text even so it has none."""
+    title, text = _extract(html or "", False)
+    if len(text) < sparse:
+        text = max(text, _extract(html or "", True)[1], key=len)
+    return title, text if len(text) >= least else None
 
 
 def html_documents(pages: DataFrame, html: str = "html") -> DataFrame:
-    """All columns and title and text of each page, by Arrow batches."""
+    """All columns and title and text of each page, by Arrow batches; the text is null where a page has none."""
     kept = pages.drop("title", "text")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -95,7 +113,7 @@ def decoded(content: Column) -> Column:
     return F.regexp_replace(F.coalesce(F.try_validate_utf8(content.cast("string")), _windows_1252(content), F.decode(content, "ISO-8859-1")), "^\\uFEFF", "")
 
 
-def load(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+def load(spark: SparkSession, path: str, glob: str = "*", pdf_reader: Callable | None = None) -> DataFrame:
     """Documents of all files with a known ending under a path, sub-folders included; unreadable and empty ones are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
     ending = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
@@ -107,34 +125,93 @@ def load(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     text = plain.where("kind = 'text'").select(F.col("stem").alias("title"), F.col("path").alias("url"), clean(F.col("raw")).alias("text"), "kind", "path")
     markdown = plain.where("kind = 'markdown'").select(F.coalesce(F.try_element_at(meta, F.lit("title")), markdown_title(body, F.col("stem"))).alias("title"), F.coalesce(F.try_element_at(meta, F.lit("source_url")), F.col("path")).alias("url"), clean(body).alias("text"), "kind", "path")
     html = html_documents(plain.where("kind = 'html'"), "raw").select(F.coalesce(F.nullif("title", F.lit("")), F.col("stem")).alias("title"), F.col("path").alias("url"), clean(F.col("text")).alias("text"), "kind", "path")
-    found = text.unionByName(markdown).unionByName(html).unionByName(_pdf(named.where("kind = 'pdf'")))
+    found = text.unionByName(markdown).unionByName(html).unionByName(_pdf(named.where("kind = 'pdf'"), pdf_reader))
     return found.where("text <> ''").select(document_id(F.col("title"), F.col("path")).alias("doc_id"), "title", "url", "text", "kind")
 
 
-def _pdf(files: DataFrame) -> DataFrame:
-    """Pages of a PDF under ``## Page N`` headings; no rows where no reader is installed."""
+def pdf_text(content: bytes, stem: str, reader: Callable[[bytes], tuple[list[str], str | None]] | None = None) -> tuple[str, str] | None:
+    """(title, text) of a PDF, a ``## Page N`` section for each page with text; None without text or where it can't be read.
+
+    ``reader`` gives the pages' texts and the title of a file's bytes; by default pypdf does, where it is installed.
+    """
+    try:
+        pages, title = (reader or _pypdf)(content)
+    except Exception:  # a damaged or locked file is one that has no text
+        return None
+    parts = [f"## Page {n}\n\n{t.strip()}" for n, t in enumerate(pages, 1) if t and t.strip()]
+    return ((title or "").strip() or stem, "\n\n".join(parts)) if parts else None
+
+
+def _pypdf(content: bytes) -> tuple[list[str], str | None]:
+    import io
+
+    from pypdf import PdfReader
+
+    file = PdfReader(io.BytesIO(content))
+    if file.is_encrypted:
+        file.decrypt("")
+    return [p.extract_text() or "" for p in file.pages], file.metadata.title if file.metadata else None
+
+
+def _pdf(files: DataFrame, reader: Callable | None = None) -> DataFrame:
     schema = "title string, url string, text string, kind string, path string"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        try:
-            import io
-
-            from pypdf import PdfReader
-        except ImportError:
-            return
         for frame in frames:
-            rows = []
-            for path, stem, content in zip(frame["path"], frame["stem"], frame["content"], strict=True):
-                reader = PdfReader(io.BytesIO(content))
-                if reader.is_encrypted and not reader.decrypt(""):
-                    continue
-                parts = [f"## Page {n}\n\n{t.strip()}" for n, p in enumerate(reader.pages, 1) if (t := p.extract_text() or "").strip()]
-                rows.append(((reader.metadata and reader.metadata.title) or stem, path, "\n\n".join(parts), "pdf", path))
-            yield pd.DataFrame(rows, columns=["title", "url", "text", "kind", "path"])
+            found = [(path, pdf_text(content, stem, reader)) for path, stem, content in zip(frame["path"], frame["stem"], frame["content"], strict=True)]
+            yield pd.DataFrame([(x[0], path, x[1], "pdf", path) for path, x in found if x], columns=["title", "url", "text", "kind", "path"])
 
     return files.select("path", "stem", "content").mapInPandas(run, schema)
 
 
-def corpus_json(spark: SparkSession, path: str) -> DataFrame:
-    """Documents kept as one JSON file each, with the order of their file names."""
-    return spark.read.schema(DOCUMENT).json(path, multiLine=True).withColumn("sort_name", F.concat("doc_id", F.lit(".json")))
+def corpus_json(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """Documents kept as one JSON file each, with the order of their file names; with ``strict`` none is an error."""
+    found = spark.read.schema(DOCUMENT).json(path, multiLine=True).withColumn("sort_name", F.concat("doc_id", F.lit(".json")))
+    if strict and found.isEmpty():
+        raise ValueError(f"no documents under {path}")
+    return found
+
+
+def write_json(docs: DataFrame, path: str) -> None:
+    """Rows as lines of JSON, in one folder."""
+    docs.write.mode("overwrite").json(path)
+
+
+def text_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(doc, line_no, line) of text files; doc is the file's path."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("doc"), F.split(F.regexp_replace("value", "\r\n?", "\n"), "\n", -1).alias("lines"))
+    return whole.select("doc", F.posexplode("lines").alias("line_no", "line"))
+
+
+_ITEM = "name: string, url: string, summary: string, category: string, pricing_url: string, launched: string, free_tier: string"
+
+
+def catalogue_json(spark: SparkSession, path: str, fields: dict[str, str]) -> DataFrame:
+    """(cat_ord, name, url, summary, category, pricing_url, launched, free_tier) of product directories: ``items[].item.additionalFields``.
+
+    ``fields`` names the directory's field of each column. Fragments of HTML become text, addresses lose their query.
+    """
+    wanted = [part.split(":")[0] for part in _ITEM.split(", ")]
+    inner = ", ".join(f"`{fields[c]}`: string" for c in wanted if c in fields)
+    read = spark.read.schema(f"items array<struct<item: struct<additionalFields: struct<{inner}>>>>").json(path, multiLine=True)
+    rows = read.select(F.posexplode("items.item.additionalFields").alias("cat_ord", "x"))
+    column = lambda c: F.col(f"x.`{fields[c]}`") if c in fields else F.lit(None).cast("string")
+    tidy = lambda c: F.substring_index(column(c), "?", 1) if c.endswith("url") else plain(column(c))
+    return rows.select("cat_ord", *[tidy(c).alias(c) for c in wanted]).where("name <> ''")
+
+
+def write_pages(pages: DataFrame, folder: str) -> None:
+    """One file a row of (file, page) in a folder of the shared file system, whose old pages go first."""
+    files, root = pafs.FileSystem.from_uri(folder) if "://" in folder else (pafs.LocalFileSystem(), folder)
+    files.create_dir(root, recursive=True)
+    for old in files.get_file_info(pafs.FileSelector(root)):
+        if old.path.endswith(".md"):
+            files.delete_file(old.path)
+
+    def run(rows: Iterator) -> None:
+        there, base = pafs.FileSystem.from_uri(folder) if "://" in folder else (pafs.LocalFileSystem(), folder)
+        for row in rows:
+            with there.open_output_stream(f"{base}/{row['file']}") as out:
+                out.write(row["page"].encode())
+
+    pages.select("file", "page").foreachPartition(run)

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 RAW = "https://raw.githubusercontent.com/"
+README_REFS, README_NAMES = ("main", "master"), ("README.md", "readme.md", *(f"README.{ending}" for ending in ("rst", "txt")))
 _CODE = r"^https?://(?:www\.)?github\.com/"
 
 
@@ -32,5 +33,4 @@ def raw_file(url: Column) -> Column:
 def readme_candidates(url: Column) -> Column:
     """Raw addresses to try for a bare repository, in order."""
     owner, name = F.regexp_extract(url, _CODE + r"([^/?#]+)/([^/?#]+?)(?:\.git)?/?(?:[?#].*)?$", 1), F.regexp_extract(url, _CODE + r"([^/?#]+)/([^/?#]+?)(?:\.git)?/?(?:[?#].*)?$", 2)
-    names = ["README.md", "readme.md", *[f"README.{ending}" for ending in ("rst", "txt")]]
-    return F.when(owner != "", F.array(*[F.concat(F.lit(RAW), F.concat_ws("/", owner, name, F.lit(ref), F.lit(n))) for ref in ("main", "master") for n in names]))
+    return F.when(owner != "", F.array(*[F.concat(F.lit(RAW), F.concat_ws("/", owner, name, F.lit(ref), F.lit(n))) for ref in README_REFS for n in README_NAMES]))

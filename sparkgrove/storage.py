@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A side of a join is broadcast up to this many rows and bytes of its strings; beyond it, it is shuffled.
 BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32 << 20
@@ -30,6 +31,60 @@ def shared_folder(spark: SparkSession) -> str:
     return _own[key]
 
 
+def delete(spark: SparkSession, path: str) -> bool:
+    """Delete a folder with all that is in it; whether it was there."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Versioned:
+    """A table that is replaced as a whole: a new version counts once it is written to its end.
+
+    The version before stays for those who are reading it; older ones go.
+    """
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _versions(self) -> list[int]:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v*/_SUCCESS")
+        found = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at) or []
+        return sorted(int(f.getPath().getParent().getName()[1:]) for f in found)
+
+    def exists(self) -> bool:
+        return bool(self._versions())
+
+    def folder(self) -> str:
+        """The folder of the version that counts."""
+        if not (found := self._versions()):
+            raise FileNotFoundError(f"no table under {self.path}")
+        return f"{self.path}/v{found[-1]}"
+
+    def read(self, schema: T.StructType | str | None = None) -> DataFrame:
+        """The table; with a schema an absent table is an empty one, and files that can't be read are left out."""
+        if schema is None:
+            return self.spark.read.parquet(self.folder())
+        if not self.exists():
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("ignoreCorruptFiles", "true").parquet(self.folder())
+
+    def write(self, df: DataFrame, *partition: str) -> DataFrame:
+        """Replace the table."""
+        old = self._versions()
+        path = f"{self.path}/v{(old[-1] if old else 0) + 1}"
+        df.write.mode("overwrite").parquet(path, partitionBy=list(partition) or None)
+        for v in old[:-1]:
+            delete(self.spark, f"{self.path}/v{v}")
+        return self.spark.read.parquet(path)
+
+    def append(self, df: DataFrame) -> None:
+        """Add rows to the version that counts."""
+        df.write.mode("append").parquet(self.folder() if self.exists() else f"{self.path}/v1")
+
+    def clear(self) -> bool:
+        return delete(self.spark, self.path)
+
+
 class Scratch:
     """Tables in the shared folder; they cut lineage and outlive executors."""
 
@@ -47,9 +102,7 @@ class Scratch:
     def drop(self, name: str | None = None) -> None:
         """Delete one table, or everything."""
         try:
-            jvm = self.spark.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            delete(self.spark, f"{self.root}/{name}" if name else self.root)
         except Exception:  # the session has ended; what is left is the cluster's to clear
             return
 
