@@ -3,7 +3,8 @@
 An agenda holds the adjacent symbol pairs whose join is a piece, best score first and
 leftmost among equals. The top pair is merged, pairs that lost a symbol are skipped
 when they come up, and the two new neighbours enter the agenda. Symbols without a
-piece become bytes. No piece of such a vocabulary joins a character to a space mark
+piece become bytes. The agendas of many short texts are worked off side by side: each
+round merges the top pair of every text at once, in arrays. No piece of such a vocabulary joins a character to a space mark
 after it (this is checked when a model is loaded), so a text falls into units, each a
 run of space marks with what follows, that never merge across. A bounded memo keeps
 the units met before. Every unit that enters it is compared with the sentencepiece
@@ -18,6 +19,7 @@ import re
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,10 +31,12 @@ SPACE = "▁"
 #: A run of space marks and what follows; a text starts with one.
 UNIT = re.compile(f"{SPACE}+[^{SPACE}]*")
 #: Units of each of the two generations that a worker remembers; the older one goes when the newer is full.
-MEMO = 200_000
+MEMO = 400_000
 #: From this length on, an agenda is a heap.
 LONG_UNIT = 48
-NEVER = float("inf")
+NEVER, LAST = float("inf"), np.iinfo(np.int64).max
+#: Stands before the code of a letter that has no piece.
+BARE = 1 << 28
 
 
 def model_fields(data: bytes) -> list[tuple[int, object]]:
@@ -101,6 +105,79 @@ class PieceModel:
         self.older: dict[str, tuple[str, int, str | None]] = {}
         self.text = [None if raw or piece is None else piece.decode() for piece, raw in zip(self.out, self.raw, strict=True)]
         self.library = None
+        self._pair_table()
+
+    def _pair_table(self) -> None:
+        """All pairs of pieces whose join is a piece, sorted, with the places of their joins' scores, best first, and the joins."""
+        number = {name: i for name, (_, i) in self.rank.items()}
+        place = {x: k for k, x in enumerate(sorted(set(self.score.values())))}
+        found = sorted((number[name[:k]] << 32 | number[name[k:]], place[self.score[name]], i) for name, i in number.items() for k in range(1, len(name)) if name[:k] in number and name[k:] in number)
+        self.pairs, self.place, self.joined = (np.array([x[k] for x in found], np.int64) for k in range(3))
+        self.letter = np.full(0x110000, -1, np.int64)
+        for name, i in number.items():
+            if len(name) == 1:
+                self.letter[ord(name)] = i
+
+    def _places(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of the score, or LAST, and the join of each pair."""
+        if not len(self.pairs):
+            return np.full(len(left), LAST), np.zeros(len(left), np.int64)
+        keys = left << 32 | right
+        at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
+        hit = self.pairs[at] == keys
+        return np.where(hit, self.place[at], LAST), self.joined[at]
+
+    def merge_all(self, units: list[str]) -> list[list[int]]:
+        """:meth:`merge` of many units, their agendas side by side; only long units go one by one."""
+        if len(units) < 32:
+            return [self.merge(u) for u in units]
+        sizes = np.array([len(u) for u in units])
+        letters = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).astype(np.int64)
+        symbols = self.letter[letters]
+        symbols = np.where(symbols < 0, BARE + letters, symbols)  # no pair has a letter without a piece
+        owner = np.repeat(np.arange(len(units)), sizes)
+        long = sizes > LONG_UNIT
+        bare = np.zeros(len(units), bool)
+        bare[owner[symbols >= BARE]] = True
+        keep = ~long[owner]
+        symbols, owner = symbols[keep], owner[keep]
+        out: list[list[int]] = [[] for _ in units]
+        for k in np.flatnonzero(long).tolist():
+            out[k] = self.merge(units[k])
+        place, join = self._places(symbols[:-1], symbols[1:])
+        place = np.append(np.where(owner[:-1] == owner[1:], place, LAST), LAST)[: len(symbols)]
+        join = np.append(join, 0)[: len(symbols)]
+        while len(symbols):
+            starts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+            length = np.diff(np.append(starts, len(owner)))
+            best = np.minimum.reduceat(place, starts)
+            done = best == LAST
+            if done.any():
+                over = np.repeat(done, length)
+                ready, ends = symbols[over].tolist(), np.cumsum(length[done]).tolist()
+                for k, end, n in zip(owner[starts[done]].tolist(), ends, length[done].tolist(), strict=True):
+                    out[k] = ready[end - n : end]
+                symbols, owner, place, join = symbols[~over], owner[~over], place[~over], join[~over]
+                best, length = best[~done], length[~done]
+                if not len(symbols):
+                    break
+            # the leftmost of the best of each unit
+            top = np.flatnonzero(place == np.repeat(best, length))
+            top = top[np.concatenate(([True], owner[top[1:]] != owner[top[:-1]]))]
+            symbols[top] = join[top]
+            gone = np.zeros(len(symbols), bool)
+            gone[top + 1] = True
+            at = (top - np.arange(len(top)))  # places of the joins once their second symbols have gone
+            symbols, owner, place, join = symbols[~gone], owner[~gone], place[~gone], join[~gone]
+            for left in (at, at[at > 0] - 1):
+                left = left[left + 1 < len(symbols)]
+                left = left[owner[left] == owner[left + 1]]
+                place[left], join[left] = self._places(symbols[left], symbols[left + 1])
+            ends = at[(at + 1 == len(symbols)) | (owner[np.minimum(at + 1, len(symbols) - 1)] != owner[at])]
+            place[ends] = LAST
+        for k in np.flatnonzero(bare & ~long).tolist():
+            out[k] = [i for x in out[k] for i in ([x] if x < BARE else [self.byte[b] for b in chr(x - BARE).encode()])]
+        return out
 
     def merge(self, unit: str) -> list[int]:
         """Ids of one unit by the agenda; a short unit's agenda is a list, a long one's a heap."""
@@ -208,7 +285,7 @@ class PieceModel:
                 known[u] = found
             else:
                 new.append(u)
-        ids = [self.merge(u) for u in new]
+        ids = self.merge_all(new)
         text = self.text
         back = ["".join(got) if None not in (got := [text[i] for i in x]) else self.decode(x, first=False) for x in ids]
         if self.verify and new:

@@ -203,6 +203,15 @@ def test_long_units_by_heap_and_by_list_agree():
         assert m.merge(unit) == m._merge_long(unit)
 
 
+def test_agendas_side_by_side_agree_with_one_by_one():
+    m = pieces.PieceModel(MODEL)
+    rng = random.Random(4)
+    units = ["▁" * rng.randint(1, 3) + "".join(rng.choices("aehinorstß日1,.é\U0001f600", k=rng.randint(0, 60))) for _ in range(3000)]
+    assert m.merge_all(units) == [m.merge(u) for u in units]
+    assert m.merge_all(units[:5]) == [m.merge(u) for u in units[:5]]
+    assert m.merge_all([]) == []
+
+
 def test_other_models_are_refused(tmp_path):
     bad = tmp_path / "bad.model"
     data = bytearray(open(MODEL, "rb").read())
