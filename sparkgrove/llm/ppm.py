@@ -50,7 +50,7 @@ HOT_WORDS, HOT_LENGTH, HOT_BYTES, COUNTED_WORDS = 200_000, 4096, 32 << 20, 100_0
 #: Frequency classes to each doubling of a word's count.
 GRADES = 16
 #: Bytes of text whose positions are held as numbers at a time.
-PART = 1 << 19
+PART = 1 << 18
 
 
 def symbols(docs: list[bytes], order: int = ORDER) -> np.ndarray:
@@ -108,14 +108,12 @@ class Lookup:
         self.bits = max(4, (len(keys) * 3 // 2).bit_length())
         self.slots = np.full(1 << self.bits, -1, np.int32)
         self.keys = np.append(keys, np.uint64(0))
-        self.held = np.zeros(1 << self.bits, np.uint64)
         waiting, at = np.arange(len(keys), dtype=np.int32), self._hash(keys)
         while len(waiting):
             free = self.slots[at] < 0
             place, first = np.unique(at[free], return_index=True)
             chosen = waiting[free][first]
             self.slots[place] = chosen
-            self.held[place] = keys[chosen]
             rest = self.slots[at] != waiting
             waiting, at = waiting[rest], (at[rest] + 1) & ((1 << self.bits) - 1)
 
@@ -126,12 +124,11 @@ class Lookup:
         """Place of each key, -1 where it is not there."""
         at = self._hash(keys)
         out = self.slots[at]
-        open_ = np.flatnonzero((self.held[at] != keys) & (out >= 0))
+        open_ = np.flatnonzero((self.keys[out] != keys) & (out >= 0))
         while len(open_):
             at[open_] = (at[open_] + 1) & ((1 << self.bits) - 1)
-            now = at[open_]
-            out[open_] = self.slots[now]
-            open_ = open_[(self.held[now] != keys[open_]) & (out[open_] >= 0)]
+            now = out[open_] = self.slots[at[open_]]
+            open_ = open_[(self.keys[now] != keys[open_]) & (now >= 0)]
         return out
 
 
