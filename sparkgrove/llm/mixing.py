@@ -67,7 +67,8 @@ def poisson_mix(spark: SparkSession, docs: DataFrame, weights: dict[str, float]
     """The columns of ``docs`` and copy_no (from 1), n_copies, mix_key (48 bits), in global shuffle order.
 
     A null id hashes as empty text and a null source is the source of the empty name.
-    Rows that repeat an id draw the same number. Texts are only carried along. An
+    Rows that repeat an id draw the same number and have the same keys; their order among
+    themselves is open. Texts are only carried along. An
     empty table gives an empty result. Input columns named copy_no, n_copies or mix_key
     are replaced. ``mix_key`` orders the whole result: partition by partition, and
     within each.

@@ -313,10 +313,14 @@ class PieceModel:
 
     def encode(self, text: str, end: bool = True) -> list[int]:
         """Ids of a whole text, with the end id."""
-        units = self.units(text)
-        self.learn([units])
-        ids = [int(i) for u in units for i in self.known[u][0].split()]
-        return [*ids, self.end] if end else ids
+        return self.encode_all([text], end)[0]
+
+    def encode_all(self, batch: list[str], end: bool = True) -> list[list[int]]:
+        """Ids of whole texts, with the end id; new units are learnt and checked together."""
+        cut = [self.units(t) for t in batch]
+        self.learn(cut)
+        tail = [self.end] if end else []
+        return [[int(i) for u in units for i in self.known[u][0].split()] + tail for units in cut]
 
     def digests(self, batch: list[str]) -> list[tuple[int, str, str]]:
         """(n_tokens, SHA-256 of the ids, SHA-256 of the decoded text) of each text, end id included."""
@@ -363,12 +367,17 @@ def encode_digests(spark: SparkSession, docs: DataFrame, path: str, verify: bool
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, path: str, verify: bool = True, text_col: str = "text", out_col: str = "token_ids") -> DataFrame:
-    """All columns of ``docs`` and the ids of its texts, end id included, as an array of integers."""
+    """All columns of ``docs`` and the ids of its texts, end id included, as an array of integers.
+
+    A null or empty text has the end id alone; rows that repeat are encoded alike, whatever
+    their ids; a very long text is one unit of work; an empty table gives an empty result.
+    A column named ``out_col`` is replaced, all others are handed on.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path, verify)
         for part in steps(batches, text_col, 1 << 20):
-            ids = [m.encode(t.decode()) for t in texts(part, text_col)]
+            ids = m.encode_all([t.decode() for t in texts(part, text_col)])
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*part.schema.names, out_col])
 
     kept = docs.drop(out_col)

@@ -33,6 +33,13 @@ def against_duckdb(spark, docs, sql, got):
     return pick([tuple(r) for r in got.collect()], got.columns), pick(found.fetchall(), [c[0] for c in found.description])
 
 
+def test_mixing_hands_on_clashing_columns(spark):
+    docs = spark.createDataFrame([(k % 3, "t", "s", 1, 2, 3, "n") for k in range(30)], "doc_id bigint, text string, source string, rate int, n int, w int, part string")
+    got = mixing.poisson_mix(spark, docs, weights={"s": 1}, total=60)
+    assert got.columns == [*docs.columns, "copy_no", "n_copies", "mix_key"]
+    assert {(r["rate"], r["n"], r["w"], r["part"]) for r in got.collect()} == {(1, 2, 3, "n")}
+
+
 def test_mixing_matches_sql(spark):
     random.seed(1)
     rows = [(k, f"t{k}", "big" if k % 3 else f"s{k % 7}") for k in range(400)] + [(None, None, None), (5, "t5", "big"), (900, "", None), (901, "x " * 50000, "one")]
@@ -125,7 +132,7 @@ def plain_maximal(words, least):
 
 def test_repetition(spark):
     random.seed(3)
-    texts = ["".join(random.choice(["a", "b", "é", "#", *map(str, range(k))]) + random.choice([" ", "\n", "\t ", "\x1c ", "\xa0"]) for _ in range(random.randint(0, 60))) for k in (2, 9) * 60]
+    texts = ["".join(random.choice(["ab", "ab", "é", "#", *map(str, range(k))][: 2 + 2 * k]) + random.choice([" ", "\n", "\t ", "\x1c ", "\xa0"]) for _ in range(random.randint(0, 60))) for k in (0, 1, 9) * 40]
     texts += ["", None, " \n ", "a " * 300, "one two\none two\n\nx"]
     got = {r["doc_id"]: r for r in repetition.quality(spark, frame(spark, [(k, t, "s") for k, t in enumerate(texts)])).collect()}
     for k, t in enumerate(texts):
@@ -145,6 +152,9 @@ def test_repetition(spark):
         assert r["base_failed"] == (len(words) < 50 or 100 * len(in_three) > 50 * len(words))
         assert r["kept"] == (not r["base_failed"] and r["covered"] <= repetition.MOST_COVERED and r["longest_repeat"] <= repetition.LONGEST)
     assert repetition.quality(spark, frame(spark, [])).count() == 0
+    more = spark.createDataFrame([(1, "y" * (3 << 20), 5, True), (2, "a b " * 40000, 5, True), (2, "a b " * 40000, 5, True), (None, None, None, None)], "doc_id bigint, text string, n_words int, kept boolean")
+    rows = sorted((str(r["doc_id"]), r["n_words"], r["longest_repeat"], r["kept"]) for r in repetition.quality(spark, more).collect())
+    assert rows == [("1", 1, 0, False), ("2", 80000, 79998, False), ("2", 80000, 79998, False), ("None", 0, 0, False)]
 
 
 def test_repetition_beyond_the_base_rule():
@@ -193,6 +203,10 @@ def test_pieces_match_the_library(spark):
     assert columns.columns == [*docs.columns, "token_ids"]
     assert columns.where("doc_id = 0").first()["token_ids"] == [*library.encode(texts[0]), 2]
     assert pieces.encode_digests(spark, docs.limit(0), MODEL).count() == 0
+    again = spark.createDataFrame([(None, "Abc def", 1, "x"), (7, "Abc def", 2, "y"), (7, "Abc def", 2, "y")], "doc_id bigint, text string, n_tokens int, id string")
+    rows = pieces.encode_digests(spark, again, MODEL).collect()
+    assert sorted(str(r["doc_id"]) for r in rows) == ["7", "7", "None"] and len({r["ids_sha256"] for r in rows}) == 1
+    assert [r["token_ids"] for r in pieces.token_ids(spark, again, MODEL).collect()] == [[*library.encode("Abc def"), 2]] * 3
 
 
 def test_long_units_by_heap_and_by_list_agree():
