@@ -49,10 +49,31 @@ def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.sha1(T.plain(F.col("html")).cast("binary")).alias("plain"))
 
 
-@query("html_extract")
+def _visible_sql(html: str, left_out: str) -> str:
+    """Text of a page in SQL: some elements and all comments go, headings get marks, blocks part words, entities are letters."""
+    out = f"regexp_replace({html}, '(?s)<!--.*?-->', '', 'g')"
+    out = f"regexp_replace({out}, '(?s)<({left_out})[ >].*?</({left_out})>', '', 'g')"
+    for level in range(1, 7):
+        out = f"regexp_replace({out}, '<h{level}[^>]*>', ' {'#' * level} ', 'g')"
+    out = f"regexp_replace({out}, '</?(p|div|li|tr|br|section|article|h1|h2|h3|h4|h5|h6|pre|blockquote|td|th|ul|ol|table)[^>]*>', ' ', 'g')"
+    out = f"regexp_replace({out}, '<[^>]*>', '', 'g')"
+    for entity, letter in (("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&nbsp;", "chr(160)"), ("&copy;", "chr(169)"), ("&middot;", "chr(183)"), ("&amp;", "'&'")):
+        out = f"replace({out}, '{entity}', {letter})"
+    return f"trim(regexp_replace({out}, '[\\s' || chr(160) || ']+', ' ', 'g'))"
+
+
+_PAGE = _visible_sql("regexp_replace(html, '(?s)<div class=.ad.>.*?</div>', '', 'g')", "head|script|style|nav|header|footer|aside|form|noscript|svg")
+
+
+@query(
+    "html_extract",
+    f"""WITH t AS (SELECT page_id, trim(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&quot;', chr(34)), '&amp;', '&')) AS title, {_PAGE} AS near, {_visible_sql("html", "head|script|style|noscript|svg")} AS every FROM pages),
+    u AS (SELECT page_id, title, CASE WHEN len(near) < 200 AND len(every) > len(near) THEN every ELSE near END AS text FROM t)
+    SELECT page_id, title, CASE WHEN len(text) >= 100 THEN len(text) END::VARCHAR AS characters, CASE WHEN len(text) >= 100 THEN sha1(text) END AS text_sha1 FROM u""",
+)
 def html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = files.html_documents(table(spark, sf_dir, "pages").select("page_id", "html"))
-    return found.select("page_id", "title", F.length("text").alias("characters"), F.sha1(F.col("text").cast("binary")).alias("text_sha1"))
+    found = files.html_documents(table(spark, sf_dir, "pages").select("page_id", "html")).withColumn("text", T.collapse(F.col("text")))
+    return found.select("page_id", "title", F.length("text").cast("string").alias("characters"), F.sha1(F.col("text").cast("binary")).alias("text_sha1"))
 
 
 @query("html_title", "SELECT page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title FROM pages")

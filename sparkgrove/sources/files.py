@@ -78,11 +78,12 @@ def _extract(html: str, all_: bool) -> tuple[str, str]:
 
 
 def extract_html(html: str | None, sparse: int = SPARSE, least: int = LEAST_PAGE) -> tuple[str, str | None]:
-    """(title, text) of a page. A sparse one is read again with its edges; without enough text even so it has none."""
+    """(title, text) of a page. A sparse one is read again with its edges; without enough text even so it has none. Runs of white space count as one character."""
     title, text = _extract(html or "", False)
-    if len(text) < sparse:
-        text = max(text, _extract(html or "", True)[1], key=len)
-    return title, text if len(text) >= least else None
+    size = lambda t: len(" ".join(t.split()))
+    if size(text) < sparse:
+        text = max(text, _extract(html or "", True)[1], key=size)
+    return title, text if size(text) >= least else None
 
 
 def html_documents(pages: DataFrame, html: str = "html") -> DataFrame:
