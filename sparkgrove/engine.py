@@ -21,7 +21,7 @@ from sparkgrove.functions.text import is_corpus_question
 from sparkgrove.operators import ann, chunking, dense, embedding, fusion, grounding, hierarchy, lexical, overview
 from sparkgrove.operators import corpus as rows
 from sparkgrove.sources.files import DOCUMENT
-from sparkgrove.storage import Scratch, Versioned, numbered, small
+from sparkgrove.storage import Scratch, Versioned, numbered, releasing, small
 
 _SHOWN = ("chunk_id", "doc_id", "title", "url", "section", "text")
 
@@ -95,6 +95,10 @@ class Engine:
 
     def ingest(self) -> Meta:
         """Build the index of the whole corpus; only texts that the cache lacks are embedded."""
+        with releasing():
+            return self._ingest()
+
+    def _ingest(self) -> Meta:
         s, scratch = self.settings, Scratch(self.spark, "ingest")
         docs = self.corpus.documents(strict=True)
         cut = chunking.chunk(docs, s.chunk_chars, s.chunk_overlap, s.min_chunk_chars).withColumn("__file", F.concat("doc_id", F.lit(".json")))

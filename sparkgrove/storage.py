@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,6 +14,8 @@ from pyspark.sql import types as T
 
 #: A side of a join is broadcast up to this many rows and bytes of its strings; beyond it, it is shuffled.
 BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32 << 20
+#: Rows of an Arrow batch where rows hold texts.
+ARROW_ROWS = 2_000
 
 _own: dict[str, str] = {}
 
@@ -85,13 +89,41 @@ class Versioned:
         return delete(self.spark, self.path)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """From here on the session hands rows to Python in Arrow batches of at most ``ARROW_ROWS``: rows hold whole texts, and a task holds a batch outside the heap."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
+
+
+_made: list[Scratch] = []
+
+
+@atexit.register
+def _drop_all() -> None:
+    for scratch in _made:
+        scratch.drop()
+
+
+@contextmanager
+def releasing() -> Iterator[None]:
+    """Scratch tables made inside are deleted at its end: for work whose result is written by then."""
+    first = len(_made)
+    try:
+        yield
+    finally:
+        for scratch in _made[first:]:
+            scratch.drop()
+        del _made[first:]
+
+
 class Scratch:
     """Tables in the shared folder; they cut lineage and outlive executors."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        atexit.register(self.drop)
+        _made.append(self)
 
     def table(self, df: DataFrame, name: str, partition: str | None = None, **options: str) -> DataFrame:
         """``df`` written as Parquet, in folders by ``partition`` (the last column) if given, and read again with its own schema."""
