@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkgrove.llm.common import fold, steps, texts
+from sparkgrove.llm.common import fold, steps, texts, to_arrow
 
 LETTER = regex.compile(r"\p{L}")
 #: Bytes of a window, and those of its neighbours that are read before it from either side.
@@ -246,7 +246,7 @@ def fit(docs: DataFrame, documents: int = DOCUMENTS, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("lang"), pa.array(picked, pa.binary())], names=["id", "lang", "bytes"])
 
     kind = read.schema["id"].dataType.simpleString()
-    found = read.select("id", "lang", "text").mapInArrow(run, f"id {kind}, lang string, bytes binary")
+    found = to_arrow(read.select("id", "lang", "text"), run, f"id {kind}, lang string, bytes binary")
     one = found.groupBy("id").agg(F.min(F.struct("lang", "bytes")).alias("x")).select("id", "x.lang", "x.bytes")
     got = one.toArrow().sort_by("id")
     return train(got["bytes"].to_pylist(), got["lang"].to_pylist())
@@ -267,7 +267,7 @@ def predict(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str
 
     read = docs.select(F.col(id_col).alias("id"), (fold(id_col, HELD_OUT_FOLDS) == HELD_OUT).alias("held_out"), F.col(text_col).alias("text"))
     kind = read.schema["id"].dataType.simpleString()
-    return read.mapInArrow(run, f"id {kind}, held_out boolean, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return to_arrow(read, run, f"id {kind}, held_out boolean, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
 def language(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -25,13 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkgrove.llm.common import steps, texts
+from sparkgrove.llm.common import kept, steps, texts, to_arrow
 
 SPACE = "▁"
 #: A run of space marks and what follows; a text starts with one.
 UNIT = re.compile(f"{SPACE}+[^{SPACE}]*")
 #: Units of each of the two generations that a worker remembers; the older one goes when the newer is full.
-MEMO = 400_000
+MEMO = 300_000
 #: From this length on, an agenda is a heap.
 LONG_UNIT = 48
 NEVER, LAST = float("inf"), np.iinfo(np.int64).max
@@ -101,8 +101,9 @@ class PieceModel:
             raise ValueError("the vocabulary has no bytes to fall back to")
         self.end, self.unknown = trainer.get(42, 2), trainer.get(40, 0)
         self.most, self.verify, self.path = memo, verify, path
-        self.known: dict[str, tuple[str, int, str | None]] = {}
-        self.older: dict[str, tuple[str, int, str | None]] = {}
+        # ids of a unit between spaces, and its text where decoding gives another one, which few do
+        self.known: dict[str, str | tuple[str, str]] = {}
+        self.older: dict[str, str | tuple[str, str]] = {}
         self.text = [None if raw or piece is None else piece.decode() for piece, raw in zip(self.out, self.raw, strict=True)]
         self.library = None
         self._pair_table()
@@ -113,7 +114,7 @@ class PieceModel:
         place = {x: k for k, x in enumerate(sorted(set(self.score.values())))}
         found = sorted((number[name[:k]] << 32 | number[name[k:]], place[self.score[name]], i) for name, i in number.items() for k in range(1, len(name)) if name[:k] in number and name[k:] in number)
         self.pairs, self.place, self.joined = (np.array([x[k] for x in found], np.int64) for k in range(3))
-        self.letter = np.full(0x110000, -1, np.int64)
+        self.letter = np.full(0x110000, -1, np.int32)
         for name, i in number.items():
             if len(name) == 1:
                 self.letter[ord(name)] = i
@@ -133,7 +134,7 @@ class PieceModel:
             return [self.merge(u) for u in units]
         sizes = np.array([len(u) for u in units])
         letters = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).astype(np.int64)
-        symbols = self.letter[letters]
+        symbols = self.letter[letters].astype(np.int64)
         symbols = np.where(symbols < 0, BARE + letters, symbols)  # no pair has a letter without a piece
         owner = np.repeat(np.arange(len(units)), sizes)
         long = sizes > LONG_UNIT
@@ -291,8 +292,7 @@ class PieceModel:
         if self.verify and new:
             self.check(new, ids, back)
         for u, x, t in zip(new, ids, back, strict=True):
-            # most units decode to themselves; only another text is kept
-            known[u] = (" ".join(map(str, x)), len(x), None if t == u.replace(SPACE, " ") else t)
+            known[u] = " ".join(map(str, x)) if t == u.replace(SPACE, " ") else (" ".join(map(str, x)), t)
 
     def check(self, units: list[str], ids: list[list[int]], back: list[str]) -> None:
         """The library must give the same ids and text for the units as one text."""
@@ -320,7 +320,7 @@ class PieceModel:
         cut = [self.units(t) for t in batch]
         self.learn(cut)
         tail = [self.end] if end else []
-        return [[int(i) for u in units for i in self.known[u][0].split()] + tail for units in cut]
+        return [[int(i) for u in units for i in _ids(self.known[u]).split()] + tail for units in cut]
 
     def digests(self, batch: list[str]) -> list[tuple[int, str, str]]:
         """(n_tokens, SHA-256 of the ids, SHA-256 of the decoded text) of each text, end id included."""
@@ -330,20 +330,23 @@ class PieceModel:
         out = []
         for units in cut:
             got = [known[u] for u in units]
-            ids = " ".join([g[0] for g in got] + [tail])
-            text = "".join([u if g[2] is None else g[2] for u, g in zip(units, got, strict=True)]).replace(SPACE, " ")
-            out.append((sum(g[1] for g in got) + 1, sha(ids.encode()).hexdigest(), sha(text[text.startswith(" ") :].encode()).hexdigest()))
+            ids = " ".join([g if g.__class__ is str else g[0] for g in got] + [tail])
+            text = "".join([u if g.__class__ is str else g[1] for u, g in zip(units, got, strict=True)]).replace(SPACE, " ")
+            out.append((ids.count(" ") + 1, sha(ids.encode()).hexdigest(), sha(text[text.startswith(" ") :].encode()).hexdigest()))
         return out
 
 
-_models: dict[tuple[str, bool], PieceModel] = {}
+def _ids(known: str | tuple[str, str]) -> str:
+    return known if known.__class__ is str else known[0]
 
 
-def model(path: str, verify: bool = True) -> PieceModel:
+def model(path: str, verify: bool = True, memo: int = MEMO) -> PieceModel:
     """A worker's own model; its memo serves all tasks of the worker."""
-    if (path, verify) not in _models:
-        _models[path, verify] = PieceModel(path, verify=verify)
-    return _models[path, verify]
+    models = kept("pieces")
+    if (path, verify, memo) not in models:
+        models.clear()
+        models[path, verify, memo] = PieceModel(path, memo, verify)
+    return models[path, verify, memo]
 
 
 def encode_digests(spark: SparkSession, docs: DataFrame, path: str, verify: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -357,28 +360,29 @@ def encode_digests(spark: SparkSession, docs: DataFrame, path: str, verify: bool
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path, verify)
-        for part in steps(batches, "text", 1 << 20):
+        for part in steps(batches, "text", owner="pieces"):
             rows = m.digests([t.decode() for t in texts(part, "text")])
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = read.schema["id"].dataType.simpleString()
-    return read.mapInArrow(run, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return to_arrow(read, run, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
 
 
-def token_ids(spark: SparkSession, docs: DataFrame, path: str, verify: bool = True, text_col: str = "text", out_col: str = "token_ids") -> DataFrame:
+def token_ids(spark: SparkSession, docs: DataFrame, path: str, verify: bool = True, text_col: str = "text", out_col: str = "token_ids", memo: int = MEMO) -> DataFrame:
     """All columns of ``docs`` and the ids of its texts, end id included, as an array of integers.
 
     A null or empty text has the end id alone; rows that repeat are encoded alike, whatever
     their ids; a very long text is one unit of work; an empty table gives an empty result.
-    A column named ``out_col`` is replaced, all others are handed on.
+    A column named ``out_col`` is replaced, all others are handed on. ``memo``: units of each
+    of the two generations that a worker remembers; fewer take less memory and more time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(path, verify)
-        for part in steps(batches, text_col, 1 << 20):
+        m = model(path, verify, memo)
+        for part in steps(batches, text_col, owner="pieces"):
             ids = m.encode_all([t.decode() for t in texts(part, text_col)])
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*part.schema.names, out_col])
 
     kept = docs.drop(out_col)
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType()))]))
+    return to_arrow(kept, run, T.StructType([*kept.schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType()))]))

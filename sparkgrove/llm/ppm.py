@@ -30,7 +30,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkgrove.llm.common import fold, steps, texts
+from sparkgrove.llm.common import fold, kept, steps, texts, to_arrow
 from sparkgrove.storage import Scratch
 
 #: Bytes of context, two or more. The trie has a leaf for each distinct sequence of ORDER + 1 bytes.
@@ -229,15 +229,13 @@ def _read(path: str, *columns: str) -> pa.Table:
     return ds.dataset(root, filesystem=files, format="parquet").to_table(columns=list(columns))
 
 
-_held: dict[str, tuple[str, object]] = {}
-
-
 def _hold(kind: str, path: str, build: Callable[[], object]):
     """A worker's one object of a kind, built again when another path is asked for."""
-    if kind not in _held or _held[kind][0] != path:
-        _held.pop(kind, None)
-        _held[kind] = (path, build())
-    return _held[kind][1]
+    held = kept("ppm")
+    if kind not in held or held[kind][0] != path:
+        held.pop(kind, None)
+        held[kind] = (path, build())
+    return held[kind][1]
 
 
 def _words_of(texts_: Iterator[list[bytes]]) -> Iterator[pa.RecordBatch]:
@@ -279,7 +277,7 @@ def score_texts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
             keys, n = counted_block(low)
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
 
-    leaves = scratch.table(trained.mapInArrow(count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")), "leaves")
+    leaves = scratch.table(to_arrow(trained, count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")), "leaves")
     by_pair = leaves.groupBy(F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF)).cast("int").alias("pair")).agg(F.count("*").alias("n")).collect()  # 65,536 rows at most
     sizes = np.zeros(1 << 16, np.int64)
     sizes[[r["pair"] for r in by_pair]] = [r["n"] for r in by_pair]
@@ -300,7 +298,7 @@ def score_texts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
         return _hold("trie", f"{root}/{k}", build)
 
     # the base model: counts of all words, the commonest of them for every worker
-    counts = scratch.table(trained.mapInArrow(lambda batches: _words_of(lowered(batches, 1 << 20)), "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    counts = scratch.table(to_arrow(trained, lambda batches: _words_of(lowered(batches, 1 << 20)), "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words")
     ends = trained.count()
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     tokens, distinct = total["n"] + ends, total["v"] + (ends > 0)
@@ -327,7 +325,7 @@ def score_texts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, end = _hold("words", root, known), log(ends)
-        for part in steps(batches, "text", (1 << 20) if n_parts == 1 else CHUNK):
+        for part in steps(batches, "text", (1 << 20) if n_parts == 1 else CHUNK, "ppm"):
             docs_ = [t.lower() for t in texts(part, "text")]
             scores = sum(trie(k).score(docs_, None if n_parts == 1 else part_of == k) for k in range(n_parts))
             rows, rare, times = [], [], []
@@ -345,7 +343,7 @@ def score_texts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "held_out", "n_tokens", "hot_known", "hot_score", "score", "bits_per_byte", "rare", "times"])
 
-    packed = read.mapInArrow(score, f"id {kind}, held_out boolean, n_tokens bigint, hot_known bigint, hot_score double, score double, bits_per_byte double, rare array<binary>, times array<bigint>")
+    packed = to_arrow(read, score, f"id {kind}, held_out boolean, n_tokens bigint, hot_known bigint, hot_score double, score double, bits_per_byte double, rare array<binary>, times array<bigint>")
     rows = scratch.table(packed.withColumn("row", F.monotonically_increasing_id()), "rows")
     asked = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     met = asked.join(counts, "word", "left").select("row", "times", F.coalesce("n", F.lit(0)).alias("n"))

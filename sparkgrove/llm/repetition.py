@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkgrove.llm.common import steps, texts
+from sparkgrove.llm.common import steps, texts, to_arrow
 
 SYMBOLS = b"#*$%&|<>"
 #: Repeats of fewer words are ordinary prose.
@@ -215,4 +215,4 @@ def quality(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
 
     read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = read.schema["id"].dataType.simpleString()
-    return read.mapInArrow(run, f"id {kind}, " + ", ".join(f"{c} {t}" for c, t in _COLUMNS.items())).withColumnRenamed("id", id_col)
+    return to_arrow(read, run, f"id {kind}, " + ", ".join(f"{c} {t}" for c, t in _COLUMNS.items())).withColumnRenamed("id", id_col)

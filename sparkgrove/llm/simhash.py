@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkgrove.llm.common import steps, texts
+from sparkgrove.llm.common import steps, texts, to_arrow
 from sparkgrove.storage import Scratch, small
 from sparkgrove.operators.components import components
 
@@ -90,7 +90,7 @@ def fingerprint_table(docs: DataFrame, width: int = 3, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(fp)], names=["id", "fp"])
 
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return chosen.mapInArrow(run, f"id {chosen.schema['id'].dataType.simpleString()}, fp bigint")
+    return to_arrow(chosen, run, f"id {chosen.schema['id'].dataType.simpleString()}, fp bigint")
 
 
 def links(spark: SparkSession, scratch: Scratch, prints: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -198,7 +198,7 @@ def _shingle_sets(docs: DataFrame) -> DataFrame:
             sets = [x for t in texts(part, "text") if len(x := shingle_set(t))]
             yield pa.RecordBatch.from_arrays([pa.array(map(set_digest, sets), pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["same", "shingles"])
 
-    return docs.select("text").mapInArrow(run, "same binary, shingles array<bigint>")
+    return to_arrow(docs.select("text"), run, "same binary, shingles array<bigint>")
 
 
 def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -230,7 +230,7 @@ def _prints(docs: DataFrame, common: np.ndarray, ranks: np.ndarray) -> DataFrame
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "same", "fp", "parity", "keys"]).filter(worded)
 
-    return docs.mapInArrow(run, f"id {kind}, n int, same binary, fp bigint, parity array<bigint>, keys array<bigint>")
+    return to_arrow(docs, run, f"id {kind}, n int, same binary, fp bigint, parity array<bigint>, keys array<bigint>")
 
 
 def _may_be_alike(na: Column, pa_: Column, nb: Column, pb: Column) -> Column:
@@ -389,7 +389,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([*part.columns, same], names=[*part.schema.names, "__sg_same"])
 
     unsure = docs.join(repeated, here, "left_semi")
-    unsure = unsure.mapInArrow(run, T.StructType([*unsure.schema.fields, T.StructField("__sg_same", T.BinaryType())]))
+    unsure = to_arrow(unsure, run, T.StructType([*unsure.schema.fields, T.StructField("__sg_same", T.BinaryType())]))
     names = [F.col(f"`{c}`") for c in docs.columns]
     kept = near.prints.join(small(near.repeated), near.prints["id"].eqNullSafe(near.repeated["id"]), "left_semi").join(small(gone.select("row")), "row", "left_anti").select(F.col("id").alias("__sg_id"), F.col("same").alias("__sg_kept"))
     alone = unsure.where("__sg_same is not null").groupBy(F.col(id_col).alias("__sg_own"), "__sg_same").agg(F.first(F.struct(*names)).alias("__sg_row"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkgrove.llm.common import fold, steps, texts
+from sparkgrove.llm.common import fold, steps, texts, to_arrow
 
 WORD = re.compile(r"[^\W_]+")
 #: Documented bounds of the training sample, of positives and of unlabelled rows.
@@ -141,7 +141,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, prior: float |
 
     read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id").select("id", "positive", "text")
     kind = read.schema["id"].dataType.simpleString()
-    found = read.mapInArrow(run, f"id {kind}, positive boolean, words binary")
+    found = to_arrow(read, run, f"id {kind}, positive boolean, words binary")
     got = found.groupBy("id", "positive").agg(F.min("words").alias("words")).toArrow().sort_by([("id", "ascending"), ("positive", "ascending")])
     rows = [(p, np.frombuffer(w, np.uint32).astype(np.int64)) for p, w in zip(got["positive"].to_pylist(), got["words"].to_pylist(), strict=True)]
     return train_nnpu([w for p, w in rows if p], [w for p, w in rows if not p], prior)
@@ -157,7 +157,7 @@ def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str
 
     read = docs.select(F.col(id_col).alias("id"), (fold(id_col, HELD_OUT_FOLDS) == HELD_OUT).alias("held_out"), F.col(text_col).alias("text"))
     kind = read.schema["id"].dataType.simpleString()
-    scored = read.mapInArrow(run, f"id {kind}, held_out boolean, score double")
+    scored = to_arrow(read, run, f"id {kind}, held_out boolean, score double")
     return scored.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -186,4 +186,4 @@ def clean(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str =
             keep = pa.array([scorer.logit(word_hashes(t)) < edge for t in texts(part, text_col)], pa.bool_())
             yield part.filter(keep)
 
-    return docs.mapInArrow(run, docs.schema)
+    return to_arrow(docs, run, docs.schema)
