@@ -12,11 +12,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkgrove.llm import exact_dedup, mixing, pieces, simhash, toxicity
-from sparkgrove.storage import Scratch
+from sparkgrove.storage import Scratch, releasing
 from sparkgrove.llm.queries import tokenizer_path
 from sparkgrove.tables import table
 
 
+#: Units of text that a worker remembers while it encodes.
+MEMO = 80_000
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier calls toxic go."""
     return toxicity.clean(spark, docs, table(spark, sf_dir, "labels"))
@@ -38,8 +42,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with the ids of their texts."""
-    return pieces.token_ids(spark, docs, tokenizer_path())
+    """Documents with the ids of their texts; the stages before leave less memory than a task of its own would have."""
+    return pieces.token_ids(spark, docs, tokenizer_path(), memo=MEMO)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -58,10 +62,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = scratch.table(docs, f"stage{k}")
-            if k:
-                scratch.drop(f"stage{k - 1}")
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        with releasing():  # what a stage kept for itself goes once its result is written
+            docs = scratch.table(stage(spark, docs, sf_dir), f"stage{k}")
+        if k:
+            scratch.drop(f"stage{k - 1}")
+    return STAGES[-1][1](spark, docs, sf_dir)
