@@ -15,27 +15,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkgrove.functions.vectors import dot
-from sparkgrove.operators.dense import _matrix
+from sparkgrove.operators.dense import _matrix, scan
 from sparkgrove.operators.lexical import top
 from sparkgrove.storage import Scratch
 
 TABLES, BITS, SEED = 12, 6, 1
 
 
+def _codes(v: np.ndarray) -> np.ndarray:
+    """A byte a table for each vector: the signs of its directions."""
+    planes = np.random.default_rng(SEED).standard_normal((v.shape[1], TABLES * BITS))
+    bits = ((v @ planes) > 0).reshape(len(v), TABLES, BITS)
+    return (bits @ (1 << np.arange(BITS))).astype(np.uint8)
+
+
 def _buckets(vectors: DataFrame, key: str, vector: str, near: bool) -> DataFrame:
     """(key, bucket) of every table; with ``near`` also the buckets one sign away."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             v = _matrix(batch.column("v"))
-            if planes is None:
-                planes = np.random.default_rng(SEED).standard_normal((v.shape[1], TABLES * BITS))
-            bits = ((v @ planes) > 0).reshape(len(v), TABLES, BITS)
-            own = bits @ (1 << np.arange(BITS))
+            own = _codes(v).astype(np.int64)
             flips = np.concatenate(([0], 1 << np.arange(BITS))) if near else np.array([0])
             found = (own[:, :, None] ^ flips) + (np.arange(TABLES)[None, :, None] << BITS)
             yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(np.repeat(np.arange(len(v)), TABLES * len(flips)))), pa.array(found.ravel())], names=["key", "bucket"])
@@ -54,11 +56,14 @@ class Hashed:
     buckets: DataFrame
 
     def search(self, queries: DataFrame, vector: str, take: int) -> DataFrame:
-        """(query_id, key, cosine, rank) of the best candidates of each query (query_id, vector)."""
-        asked = _buckets(queries, "query_id", vector, near=True)
-        pairs = asked.join(self.buckets, "bucket").select("query_id", self.key).distinct()
-        near = pairs.join(self.vectors.select(self.key, F.col(self.vector).alias("__v")), self.key).join(queries.select("query_id", F.col(vector).alias("__q")), "query_id")
-        return top(near.select("query_id", self.key, dot(F.col("__v"), F.col("__q")).alias("cosine")), self.key, "cosine", take)
+        """(query_id, key, cosine, rank) of the best candidates of each query (query_id, vector).
+
+        With so few bits a query's buckets hold a fixed share of all vectors, so candidates are
+        as many as queries times vectors. They are told by comparing codes in blocks, and no pair
+        is written out or shuffled.
+        """
+        asked = queries.select("query_id", F.col(vector).alias(self.vector))
+        return top(scan(queries.sparkSession, self.vectors, asked, self.key, self.vector, take, _codes), self.key, "cosine", take)
 
     def add(self, vectors: DataFrame) -> Hashed:
         """The index with the rows whose keys it lacks."""
