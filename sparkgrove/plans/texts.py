@@ -11,6 +11,7 @@ from sparkgrove.functions import text as T
 from sparkgrove.operators import chunking, corpus, overview
 from sparkgrove.plans.registry import query
 from sparkgrove.sources import files, urls
+from sparkgrove.storage import bound_batches
 from sparkgrove.tables import table
 
 _SLUG = "coalesce(nullif(regexp_replace(substr(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60), '-+$', ''), ''), 'doc')"
@@ -130,6 +131,7 @@ _LINES = "l AS (SELECT id, unnest(range(1, len(string_split(text, chr(10))) + 1)
     SELECT id, count(*) FILTER (NOT skip) AS lines, sha1(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT skip), '')) AS text_sha1 FROM s GROUP BY id""",
 )
 def wiki_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     stripped = F.udf(segment.without_reference_parts, ST.StringType(), useArrow=True)
     kept = made(spark, sf_dir, "documents", **_WIKI).select("id", stripped("text").alias("text"))
     return kept.select("id", F.size(chunking.lines(F.col("text"))).cast("bigint").alias("lines"), F.sha1(F.col("text").cast("binary")).alias("text_sha1"))
