@@ -151,12 +151,14 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if few(df, limit) else df
 
 
-def spread(df: DataFrame, key: str, per_task: int) -> DataFrame:
+def spread(df: DataFrame, key: str, per_task: int, most: int | None = None) -> DataFrame:
     """``df`` with rows of a key together, in tasks of about ``per_task`` rows: the number of tasks grows with the rows counted, not the memory of one.
 
+    ``most`` bounds the number of tasks, for work whose memory doesn't depend on the rows of a task.
+
     The number is fixed, so that adaptive execution doesn't put tasks together by their compressed bytes.
     """
-    return df.repartition(-(-df.count() // per_task) or 1, key)
+    return df.repartition(min(-(-df.count() // per_task) or 1, most or 1 << 30), key)
 
 
 def numbered(spark: SparkSession, df: DataFrame, name: str, *order: Column | str) -> DataFrame:
