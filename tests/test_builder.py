@@ -50,7 +50,7 @@ def held(spark, name):
 
 
 @pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables here")
-@pytest.mark.parametrize("name", ["toc_parse", "discover_headings", "segment_body"])
+@pytest.mark.parametrize("name", ["toc_parse", "discover_headings", "segment_body", "thin_sections"])
 def test_documents_are_worked_off_one_by_one(spark, name):
     assert held(spark, name) == ["Exchange"]  # the spreading of the documents
 
