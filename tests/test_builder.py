@@ -108,3 +108,15 @@ def test_no_step_is_done_before_the_spreading(spark, name):
     plan = catalogue.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "lambda" not in plan[plan.index("REPARTITION_BY_NUM") :]
     assert name == "category_counts" or held(spark, name) == ["Exchange"]
+
+
+def test_a_value_named_twice_is_worked_out_once_and_not_copied(spark):
+    docs = spark.createDataFrame([], "lines array<struct<line_no:int,line:string>>, names array<string>")
+    lines, names, lists = F.col("lines"), F.col("names"), (["Compute"], ["Compare options"])
+    for step in (builder.contents_in(lines, *lists, []), builder.content_in(lines, names, "head"), builder.discovered_in(lines, names, *lists), builder.segments_in(lines, names, *lists)):
+        plan = docs.select(step)._jdf.queryExecution().analyzed().toString()
+        assert "transform(array(" not in plan  # an array of the value: what is done to its one element is copied
+    once = spark.range(2).select("id", builder._let(F.when(F.col("id") == 1, F.rand()), lambda v: F.struct(v.alias("a"), (v + 0).alias("b"), F.coalesce(v, F.lit(-1.0)).alias("c"))).alias("s"))
+    null, one = [r["s"] for r in once.orderBy("id").collect()]
+    assert tuple(null) == (None, None, -1.0)
+    assert one["a"] == one["b"] == one["c"] >= 0
